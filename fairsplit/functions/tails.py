@@ -14,6 +14,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Ship these helpers inside the UDF, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -105,21 +106,21 @@ def _each(function, *columns: pd.Series) -> pd.Series:
                      dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
     return _each(normal_tail, z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return _each(lambda v, k: chi2_tail(v, int(k)), x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_critical(df: pd.Series) -> pd.Series:
     return _each(t_975, df)
