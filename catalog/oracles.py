@@ -283,7 +283,7 @@ ORACLES: dict[str, str] = {
           FROM deduplicated
           UNION ALL SELECT 'device', COUNT(*), COUNT(device), FALSE FROM deduplicated)
         SELECT (SELECT COUNT(*) FROM raw) AS rows_in_file, ANY_VALUE(n) AS rows_loaded,
-               0 AS malformed, (SELECT COUNT(*) FROM raw) - ANY_VALUE(n) AS duplicates,
+               CAST(0 AS BIGINT) AS malformed, (SELECT COUNT(*) FROM raw) - ANY_VALUE(n) AS duplicates,
                'notes' AS dropped,
                COALESCE(STRING_AGG("column", ',') FILTER (WHERE coerced), '') AS coerced,
                STRING_AGG("column", ',' ORDER BY 1 - ok / CAST(n AS DOUBLE) DESC)

@@ -389,12 +389,13 @@ def f1_standardise(spark, sf_dir):
 
 def _model(spark, sf_dir):
     design = inputs.units(spark, sf_dir).select(
-        (F.col("variant_conf") == TREATMENT).cast("int").alias("treated"), F.col("pre_value").alias("v0"))
+        F.col("user_id").alias(matching.UNIT), F.col("pre_value").alias("v0"),
+        (F.col("variant_conf") == TREATMENT).cast("int").alias("treated"))
     design = materialize(design, "design")
-    arms = feature_stats(design, [F.col("v0")])
+    arms = feature_stats(design, [F.col("v0")], ["v0"])
     means, scales = pooled_scale(arms)
     return propensity.fit_propensity(design, [F.col("v0")], means, scales, ["v0"],
-                                     arms[0].n + arms[1].n)
+                                     arms[0].n + arms[1].n, arms[0].patterns + arms[1].patterns)
 
 
 def f2_propensity_model(spark, sf_dir):

@@ -8,7 +8,7 @@ expressions over that narrow table and exist only inside the jobs that use them.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,7 @@ from ..errors import StatisticsError
 from ..functions.columns import as_double, field_type, label, present, quoted, require_columns
 
 MAX_LEVELS = 256
+UNIT = "_row_id"
 
 
 @dataclass
@@ -87,27 +88,34 @@ def is_categorical(df: DataFrame, name: str) -> bool:
     return not isinstance(field_type(df, name), T.NumericType | T.BooleanType)
 
 
+def rough_levels(df: DataFrame, covariates: Sequence[str]) -> dict[str, Column]:
+    """Sketched number of levels of each categorical covariate, as aggregates."""
+    return {c: F.approx_count_distinct(F.col(quoted(c)).cast("string"))
+            for c in covariates if is_categorical(df, c)}
+
+
 def find_levels(df: DataFrame, covariates: Sequence[str], max_levels: int = MAX_LEVELS,
-                shown: Sequence[str] = ()) -> Covariates:
+                shown: Sequence[str] = (), rough: Mapping[str, int] | None = None) -> Covariates:
     """Levels of the categorical covariates among the given rows.
 
-    A sketch of bounded size first rules out columns with far too many levels,
-    so the exact collection afterwards is small. Too wide is an error: no
-    level is ever merged or left out.
+    A sketch of bounded size, ``rough`` if already known for these rows or a
+    superset, first rules out columns with far too many levels, so the exact
+    collection afterwards is small. Too wide is an error: no level is ever
+    merged or left out.
     """
     require_columns(df, covariates, "covariate")
     titles = dict(zip(covariates, shown or covariates, strict=True))
     wide = [c for c in covariates if is_categorical(df, c)]
     if not wide:
         return Covariates(list(covariates), {}, list(shown))
-    values = {c: F.col(quoted(c)).cast("string") for c in wide}
-    rough = df.agg(*[F.approx_count_distinct(v).alias(f"d{i}")
-                     for i, v in enumerate(values.values())]).first()
-    for i, name in enumerate(wide):
-        if rough[i] > 2 * max_levels:
+    if rough is None:
+        rough = df.agg(*[v.alias(c) for c, v in rough_levels(df, wide).items()]).first().asDict()
+    for name in wide:
+        if rough[name] > 2 * max_levels:
             raise StatisticsError(
-                f"covariate '{titles[name]}' has about {rough[i]} levels; at most {max_levels} can be "
-                "one-hot encoded. Leave it out or group its levels.")
+                f"covariate '{titles[name]}' has about {rough[name]} levels; at most {max_levels} "
+                "can be one-hot encoded. Leave it out or group its levels.")
+    values = {c: F.col(quoted(c)).cast("string") for c in wide}
     exact = df.agg(*[F.collect_set(v).alias(f"l{i}") for i, v in enumerate(values.values())]).first()
     levels = {name: sorted(exact[i]) for i, name in enumerate(wide)}
     for name, found in levels.items():
@@ -132,22 +140,28 @@ def design_matrix(df: DataFrame, covariates: Sequence[str], keep: Sequence[str]
 
 @dataclass
 class ArmStats:
-    """Count, means and sample variances of the features of one arm."""
+    """Count, means and sample variances of the features of one arm.
+
+    ``patterns`` is about the number of distinct covariate combinations.
+    """
 
     n: int
     means: list[float]
     variances: list[float]
+    patterns: int = 0
 
 
-def feature_stats(design: DataFrame, features: Sequence[Column]) -> dict[int, ArmStats]:
+def feature_stats(design: DataFrame, features: Sequence[Column],
+                  slots: Sequence[str] = ()) -> dict[int, ArmStats]:
     """Per-arm statistics of all features, in one pass: ``{0: ..., 1: ...}``."""
-    parts = []
+    parts = [F.approx_count_distinct(F.xxhash64(*slots)).alias("patterns")] if slots else []
     for i, f in enumerate(features):
         parts += [F.avg(f).alias(f"a{i}"), F.var_samp(f).alias(f"v{i}")]
     rows = design.groupBy("treated").agg(F.count(F.lit(1)).alias("n"), *parts).collect()
     width = range(len(features))
     return {r["treated"]: ArmStats(r["n"], [r[f"a{i}"] for i in width],
-                                   [r[f"v{i}"] or 0.0 for i in width]) for r in rows}
+                                   [r[f"v{i}"] or 0.0 for i in width],
+                                   r["patterns"] if slots else 0) for r in rows}
 
 
 def pooled_scale(arms: dict[int, ArmStats]) -> tuple[list[float], list[float]]:

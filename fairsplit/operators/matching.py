@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.attach import HOT_ROWS, attach, join_levels
 from ..plans.ordered import with_buckets
-
-UNIT = "_row_id"
+from .design import UNIT
 
 
 def nearest_controls(scored: DataFrame, splits: Sequence[float], payload: Sequence[str] = (),
@@ -47,23 +46,34 @@ def nearest_controls(scored: DataFrame, splits: Sequence[float], payload: Sequen
     around = levels.select("bucket", "logit", "n_treated",
                            F.last(control, True).over(up).alias("below"),
                            F.last(control, True).over(down).alias("above"))
+    wanted = "n_treated > 0"
     if splits:
+        # Plain columns rather than structs keep this a hash aggregate, and
+        # using every column of the levels lets it share their shuffle.
         at = F.when(is_control, F.col("logit"))
+        ends = {"first": (F.min, F.min_by), "last": (F.max, F.max_by)}
         edges = levels.groupBy("bucket").agg(
-            F.min_by(control, at).alias("first_in"), F.max_by(control, at).alias("last_in"))
+            F.sum("n_treated").alias("bucket_treated"),
+            *[extreme(at).alias(f"{end}_logit") for end, (extreme, _) in ends.items()],
+            *[pick(c, at).alias(f"{end}_{c}") for end, (_, pick) in ends.items() for c in names])
+        found = {end: F.when(F.col(f"{end}_control_id").isNotNull(), F.struct(
+            F.col(f"{end}_logit").alias("control_logit"),
+            *[F.col(f"{end}_{c}").alias(c) for c in names])) for end in ends}
         earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         later = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-        edges = edges.select("bucket", F.last("last_in", True).over(earlier).alias("before"),
-                             F.last("first_in", True).over(later).alias("after"))
+        edges = edges.select("bucket", "bucket_treated",
+                             F.last(found["last"], True).over(earlier).alias("before"),
+                             F.last(found["first"], True).over(later).alias("after"))
         around = attach(around, edges, ["bucket"], never_null=["bucket"])
         around = around.withColumns({"below": F.coalesce("below", "before"),
                                      "above": F.coalesce("above", "after")})
-    wanted = around.where("n_treated > 0")
+        wanted += " AND bucket_treated > 0"
+    around = around.where(wanted)
     gap_below = F.col("logit") - F.col("below.control_logit")
     gap_above = F.col("above.control_logit") - F.col("logit")
     take_above = gap_below.isNull() | (gap_above <= gap_below)
     best = F.when(take_above, F.col("above")).otherwise(F.col("below"))
-    return wanted.select("logit", "n_treated", best.alias("_best"),
+    return around.select("logit", "n_treated", best.alias("_best"),
                          F.when(take_above, gap_above).otherwise(gap_below).alias("gap")) \
         .select("logit", "n_treated", "gap", "_best.*")
 

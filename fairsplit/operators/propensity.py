@@ -45,15 +45,16 @@ def logit(p: Column) -> Column:
 
 
 def fit_propensity(design: DataFrame, features: Sequence[Column], means: Sequence[float],
-                   scales: Sequence[float], slots: Sequence[str], n: int) -> PropensityModel:
+                   scales: Sequence[float], slots: Sequence[str], n: int,
+                   patterns: int) -> PropensityModel:
     """L2-penalised logistic regression of ``treated`` on standardised features.
 
     The penalty is half the squared weights against the summed log loss with
     the intercept free, that is ``regParam = 1/n`` on Spark's mean loss. Rows
     that share all covariates and the arm are collapsed into one weighted row
-    first whenever that makes the input much smaller; the optimum is the same.
+    first if ``patterns``, a sketch of how many such rows there are, says that
+    this makes the input much smaller; the optimum is the same.
     """
-    patterns = design.agg(F.approx_count_distinct(F.xxhash64(*slots, "treated"))).first()[0]
     weight = "weight"
     if patterns * 10 <= n and patterns <= MAX_PATTERNS:
         design = design.groupBy(*slots, "treated").agg(F.count(F.lit(1)).cast("double").alias(weight))

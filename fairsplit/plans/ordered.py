@@ -53,8 +53,11 @@ def with_buckets(df: DataFrame, splits: Mapping[str, list[float]],
             splitsArray=[[-math.inf, *splits[v], math.inf] for v in cut],
             inputCols=cut, outputCols=[names[v] for v in cut], handleInvalid="keep",
         ).transform(df)
+    # Never NULL, so that joins on the bucket add no filter and both of their
+    # sides can share one shuffle.
     return df.withColumns({
-        names[v]: F.col(names[v]).cast("int") if v in cut else F.lit(0) for v in names
+        names[v]: F.coalesce(F.col(names[v]).cast("int"), F.lit(-1)) if v in cut else F.lit(0)
+        for v in names
     })
 
 
@@ -75,10 +78,10 @@ def stack_values(df: DataFrame, values: Mapping[str, str], splits: Mapping[str,
     return long.select(*keep, "_v.*").where("value IS NOT NULL")
 
 
-def _levels(rows: DataFrame, by: Sequence[str], flag: Column) -> DataFrame:
-    """Distinct values with counts and the rank range inside their bucket."""
-    counted = rows.groupBy(*by, "bucket", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("n_flag"))
+def _levels(rows: DataFrame, by: Sequence[str], flag: Column | None = None) -> DataFrame:
+    """Distinct values with counts and the rows up to them inside their bucket."""
+    flagged = [] if flag is None else [F.count_if(flag).alias("n_flag")]
+    counted = rows.groupBy(*by, "bucket", "value").agg(F.count(F.lit(1)).alias("n"), *flagged)
     upto = (Window.partitionBy(*by, "bucket").orderBy("value")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return counted.withColumn("upto", F.sum("n").over(upto))
@@ -91,14 +94,14 @@ def _before(totals: DataFrame, by: Sequence[str]) -> Column:
     return F.coalesce(F.sum("n").over(earlier), F.lit(0))
 
 
-def midranks(rows: DataFrame, by: Sequence[str] = (), flag: Column | None = None) -> DataFrame:
-    """Average rank of every distinct value: ``(by..., value, n, n_flag, midrank)``."""
-    levels = _levels(rows, by, F.lit(True) if flag is None else flag)
+def midranks(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Average rank of every distinct value: ``(by..., value, n, midrank)``."""
+    levels = _levels(rows, by)
     totals = levels.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
     offsets = totals.select(*by, "bucket", _before(totals, by).alias("before"))
     placed = attach(levels, offsets, [*by, "bucket"], never_null=["bucket"])
     middle = F.col("before") + F.col("upto") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)
-    return placed.select(*by, "value", "n", "n_flag", middle.alias("midrank"))
+    return placed.select(*by, "value", "n", middle.alias("midrank"))
 
 
 def rank_totals(rows: DataFrame, flag: Column, by: Sequence[str] = ()) -> DataFrame:

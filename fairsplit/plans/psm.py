@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..errors import StatisticsError
 from ..functions.columns import as_double, label, present, quoted, require_columns, require_metrics
 from ..operators.design import (MAX_LEVELS, ArmStats, Covariates, complete_cases, feature_stats,
-                                find_levels, is_categorical, pooled_scale)
+                                find_levels, is_categorical, pooled_scale, rough_levels)
 from ..operators.effects import (GAMMA_GRID, balance, bootstrap_effects, bootstrap_summary,
                                  resamples, rosenbaum_bounds, signed_rank_totals)
 from ..operators.matching import (UNIT, match_counts, matched_pairs, nearest_controls,
@@ -100,8 +100,11 @@ def propensity_score_match(
         *[as_double(df, m).alias(y) for m, y in outcomes.items()],
     ), "complete_cases")
 
+    rough = rough_levels(stored, list(columns.values()))
     filled = stored.agg(F.count(F.lit(1)).alias("n"),
-                        *[F.count(y).alias(y) for y in outcomes.values()]).first()
+                        *[F.count(y).alias(y) for y in outcomes.values()],
+                        *[v.alias(c) for c, v in rough.items()]).first()
+    rough = {c: filled[c] for c in rough}
     shared = [m for m, y in outcomes.items() if filled[y] == filled["n"]]
     groups = [shared] if shared else []
     groups += [[m] for m in metrics if m not in shared]
@@ -110,7 +113,7 @@ def propensity_score_match(
         ys = {m: outcomes[m] for m in group}
         rows = stored if group == shared else stored.where(F.col(ys[group[0]]).isNotNull())
         part = _match(rows, ys, columns, caliper_sd, bootstrap_samples, rosenbaum_grid,
-                      random_state, direction, max_levels, rows_per_bucket, hot_rows)
+                      random_state, direction, max_levels, rough, rows_per_bucket, hot_rows)
         for target, new in zip(found, part, strict=True):
             target.extend(new)
     spark = df.sparkSession
@@ -140,22 +143,24 @@ def _after_match(pairs: DataFrame, covariates: Covariates,
 
 def _match(rows: DataFrame, ys: dict[str, str], columns: dict[str, str], caliper_sd: float,
            bootstrap_samples: int, grid: Sequence[float], seed: int, direction: str,
-           max_levels: int, rows_per_bucket: int, hot_rows: int) -> _Rows:
+           max_levels: int, rough: dict[str, int], rows_per_bucket: int,
+           hot_rows: int) -> _Rows:
     """Match one set of complete cases and evaluate all its metrics."""
-    covariates = find_levels(rows, list(columns.values()), max_levels, list(columns))
+    covariates = find_levels(rows, list(columns.values()), max_levels, list(columns), rough)
     slots, features = covariates.slots(), covariates.features()
     design = rows.select(UNIT, "treated", *covariates.encoded(rows), *ys.values())
 
     outcome_columns = [F.col(y) for y in ys.values()]
-    arms = feature_stats(design, [*features, *outcome_columns])
+    arms = feature_stats(design, [*features, *outcome_columns], slots)
     if set(arms) != {0, 1}:
         raise StatisticsError("Need both treated and control rows for PSM.")
     width = len(features)
     naive = {m: arms[1].means[width + i] - arms[0].means[width + i] for i, m in enumerate(ys)}
+    patterns = arms[0].patterns + arms[1].patterns
     arms = {t: ArmStats(a.n, a.means[:width], a.variances[:width]) for t, a in arms.items()}
     means, scales = pooled_scale(arms)
     total = arms[0].n + arms[1].n
-    model = fit_propensity(design, features, means, scales, slots, total)
+    model = fit_propensity(design, features, means, scales, slots, total, patterns)
 
     scored = design.withColumn("p", model.probability(features)).withColumn("logit", logit(F.col("p")))
     support = common_support(scored)
