@@ -441,15 +441,15 @@ ORACLES: dict[str, str] = {
             f"{r(f'({c} - AVG({c}) OVER ()) / STDDEV_POP({c}) OVER ()', 6)} AS {c}"
             for c in ('pre_value', '"o_orderstatus_O"', '"o_orderstatus_P"'))} FROM wide""",
     "f2_propensity_model": f"""WITH {EXPERIMENT_SQL}, {newton()}
-        SELECT 'intercept' AS term, {r('b0', 6)} AS weight FROM model
-        UNION ALL SELECT 'pre_value', {r('b1', 6)} FROM model""",
+        SELECT 'intercept' AS term, {r('b0', 5)} AS weight FROM model
+        UNION ALL SELECT 'pre_value', {r('b1', 5)} FROM model""",
     "f3_logit": f"""WITH {EXPERIMENT_SQL}, {newton()}, scores AS (
           SELECT device, 1 / (1 + EXP(-(b0 + b1 * x))) AS p,
                  1 / (1 + EXP(-(pre_value - 250000) / 15000)) AS steep FROM design, model),
         logits AS (SELECT device, p, {clip_logit('p')} AS l, {clip_logit('steep')} AS s FROM scores)
-        SELECT device, {r('AVG(p)', 6)} AS mean_p, {r('AVG(l)', 6)} AS mean_logit,
-               {r('STDDEV_SAMP(l)', 6)} AS sd_logit, {r('AVG(s)', 6)} AS mean_clipped,
-               {r('MAX(s)', 6)} AS max_clipped, {r('MIN(s)', 6)} AS min_clipped
+        SELECT device, {r('AVG(p)', 4)} AS mean_p, {r('AVG(l)', 4)} AS mean_logit,
+               {r('STDDEV_SAMP(l)', 4)} AS sd_logit, {r('AVG(s)', 4)} AS mean_clipped,
+               {r('MAX(s)', 4)} AS max_clipped, {r('MIN(s)', 4)} AS min_clipped
         FROM logits GROUP BY device""",
     "f4_support": f"""WITH {SCORED_SQL}
         SELECT {r('ANY_VALUE(low)', 8)} AS low, {r('ANY_VALUE(high)', 8)} AS high,

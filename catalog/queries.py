@@ -401,7 +401,7 @@ def _model(spark, sf_dir):
 def f2_propensity_model(spark, sf_dir):
     model = _model(spark, sf_dir)
     return spark.createDataFrame([("intercept", model.intercept), ("pre_value", model.weights[0])],
-                                 "term string, weight double").withColumn("weight", rounded("weight", 6))
+                                 "term string, weight double").withColumn("weight", rounded("weight", 5))
 
 
 def f3_logit(spark, sf_dir):
@@ -412,11 +412,11 @@ def f3_logit(spark, sf_dir):
         "device", p.alias("p"), propensity.logit(p).alias("logit"),
         propensity.logit(steep).alias("clipped"))
     return rows.groupBy("device").agg(
-        rounded(F.avg("p"), 6).alias("mean_p"), rounded(F.avg("logit"), 6).alias("mean_logit"),
-        rounded(F.stddev_samp("logit"), 6).alias("sd_logit"),
-        rounded(F.avg("clipped"), 6).alias("mean_clipped"),
-        rounded(F.max("clipped"), 6).alias("max_clipped"),
-        rounded(F.min("clipped"), 6).alias("min_clipped"))
+        rounded(F.avg("p"), 4).alias("mean_p"), rounded(F.avg("logit"), 4).alias("mean_logit"),
+        rounded(F.stddev_samp("logit"), 4).alias("sd_logit"),
+        rounded(F.avg("clipped"), 4).alias("mean_clipped"),
+        rounded(F.max("clipped"), 4).alias("max_clipped"),
+        rounded(F.min("clipped"), 4).alias("min_clipped"))
 
 
 def _support_row(spark, sf_dir):

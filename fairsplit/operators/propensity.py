@@ -66,7 +66,7 @@ def fit_propensity(design: DataFrame, features: Sequence[Column], means: Sequenc
     vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(len(scaled))],
                               outputCol="features").transform(rows).select("label", weight, "features")
     model = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
-                               maxIter=1000, tol=1e-12, weightCol=weight).fit(vectors)
+                               maxIter=1000, tol=1e-9, weightCol=weight).fit(vectors)
     return PropensityModel(model.intercept, [float(w) for w in model.coefficients],
                            list(means), list(scales))
 

@@ -46,9 +46,13 @@ def bucket_splits(df: DataFrame, values: Sequence[str], rows: int,
 
 def with_buckets(df: DataFrame, splits: Mapping[str, list[float]],
                  names: Mapping[str, str]) -> DataFrame:
-    """Add one bucket number per value column; ``names`` maps value to bucket column."""
+    """Add one bucket number per value column; ``names`` maps value to bucket column.
+
+    Negative zero becomes zero: they are one value, but sort apart.
+    """
     cut = [v for v in names if splits.get(v)]
     if cut:
+        df = df.withColumns({v: F.col(quoted(v)) + F.lit(0.0) for v in cut})
         df = Bucketizer(
             splitsArray=[[-math.inf, *splits[v], math.inf] for v in cut],
             inputCols=cut, outputCols=[names[v] for v in cut], handleInvalid="keep",
