@@ -538,9 +538,10 @@ def g2_balance_table(spark, sf_dir):
 
 def g3_analyze(spark, sf_dir):
     tables = analyze(
-        inputs.experiment(spark, sf_dir).drop("variant"), variant_column="variant_conf",
-        primary_metric="revenue", secondary_metrics=["converted"],
-        covariates=["pre_value", "device"], expected_ratio=inputs.PLAN, row_id="user_id")
+        inputs.experiment(spark, sf_dir), variant_column="variant_conf", control_label=CONTROL,
+        treatment_label=TREATMENT, primary_metric="revenue", secondary_metrics=["converted"],
+        covariates=["pre_value", "device"], expected_ratio=inputs.PLAN, row_id="user_id",
+        store_input=True)
     return tables["verdict"]
 
 

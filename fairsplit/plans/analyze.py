@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import RoutingError, StatisticsError
-from ..functions.columns import is_numeric, raise_first_issue
-from ..operators.clean import QualityReport, data_columns
+from ..functions.columns import is_numeric, quoted, raise_first_issue
+from ..operators.clean import ROW_ID, QualityReport, data_columns
 from ..operators.correction import adjust_p_values
 from ..operators.metrics import apply_cuped, arm_moments, metric_tests
 from ..operators.profile import Profile, profile_table
@@ -44,7 +44,7 @@ def analyze(
     secondary_metrics: Sequence[str] | None = None, covariates: Sequence[str] | None = None,
     expected_ratio: Mapping[str, float] | None = None, srm_threshold: float = SRM_THRESHOLD,
     cuped: str | None = None, correction: str = "bh", profile: Profile | None = None,
-    quality: QualityReport | None = None, **psm_options,
+    quality: QualityReport | None = None, store_input: bool = False, **psm_options,
 ) -> dict[str, DataFrame]:
     """All result tables of one experiment, keyed by name.
 
@@ -52,6 +52,10 @@ def analyze(
     ``balance``, ``sensitivity`` if there are covariates; ``cuped`` and
     ``quality`` if asked for. Every step runs even when the allocation is off;
     only the verdict stops there.
+
+    The input is read once for the moments, once for the ranks and once for
+    the complete cases. If it is itself a costly query, ``store_input=True``
+    first writes the columns in use to the scratch folder.
     """
     spark = df.sparkSession
     if expected_ratio is not None:
@@ -60,6 +64,10 @@ def analyze(
         df, profile, variant_column=variant_column, control_label=control_label,
         treatment_label=treatment_label, primary_metric=primary_metric,
         secondary_metrics=secondary_metrics, covariates=covariates)
+    if store_input:
+        used = dict.fromkeys([roles.variant_column, *roles.metrics, *roles.covariates])
+        extra = [c for c in (cuped, psm_options.get("row_id"), ROW_ID) if c in df.columns]
+        df = materialize(df.select(*[quoted(c) for c in dict.fromkeys([*used, *extra])]), "units")
     out: dict[str, DataFrame] = {}
     adjusted = None
     if cuped is not None:

@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
                .config("spark.sql.shuffle.partitions", "4")
                .config("spark.driver.memory", "4g")
                .config("spark.ui.enabled", "false")
+               .config("spark.sql.codegen.cache.maxEntries", "2000")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
                .config("spark.sql.session.timeZone", "UTC").getOrCreate())
