@@ -28,6 +28,7 @@ NA_TOKENS = [
 IDENTIFIER_NAMES = [
     "user_id", "id", "uid", "userid", "session_id", "event_id", "customer_id",
 ]
+# Tokens read as booleans.
 TRUE_TOKENS = ["True", "TRUE", "true"]
 FALSE_TOKENS = ["False", "FALSE", "false"]
 

@@ -11,6 +11,7 @@ from ..functions.columns import require_columns
 from ..plans.attach import attach
 from ..plans.ordered import ROWS_PER_BUCKET, bucket_splits, with_buckets
 
+# Names of the methods in results.
 METHODS = {"bh": "Benjamini-Hochberg FDR", "bonferroni": "Bonferroni", "none": None}
 
 

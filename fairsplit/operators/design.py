@@ -130,7 +130,7 @@ def design_matrix(df: DataFrame, covariates: Sequence[str], keep: Sequence[str]
                   max_levels: int = MAX_LEVELS) -> DataFrame:
     """``keep`` plus one double column per design feature."""
     if not covariates:
-        raise StatisticsError("No covariates provided for PSM.")
+        raise StatisticsError("A design matrix needs at least one covariate.")
     found = find_levels(df, covariates, max_levels)
     stored = df.select(*[F.col(quoted(c)) for c in keep], *found.encoded(df))
     return stored.select(*[F.col(quoted(c)) for c in keep],

@@ -19,6 +19,7 @@ from ..plans.attach import attach
 from ..plans.ordered import ROWS_PER_BUCKET, bucket_splits, rank_totals, stack_values
 from ..plans.storage import materialize
 
+# Preconditions and the significance level.
 MIN_ARM_ROWS = 30
 MIN_CELL = 5
 ALPHA = 0.05
@@ -83,12 +84,13 @@ def compare_arms(moments: DataFrame, control_label: str, treatment_label: str,
     small = F.least(s_c, n_c - s_c, s_t, n_t - s_t) < MIN_CELL
     issue = (
         F.when((n_c < MIN_ARM_ROWS) | (n_t < MIN_ARM_ROWS), F.format_string(
-            "Sample too small for metric '%s' (control=%d, treatment=%d).", "metric", n_c, n_t))
+            "metric '%s': sample too small, an arm has fewer than 30 values (control %d, treatment %d).",
+            "metric", n_c, n_t))
         .when((F.col("kind") == "binary") & small, F.format_string(
-            "Cells below 5 in 2x2 table for metric '%s'; chi-square is unreliable.", "metric"))
+            "metric '%s': a cell of the 2x2 table is below 5, too few for chi-square.", "metric"))
         .when((F.col("kind") == "continuous") & (F.col("control_var") == 0)
               & (F.col("treatment_var") == 0), F.format_string(
-            "metric '%s' has zero variance in both groups.", "metric"))
+            "metric '%s': both arms have zero variance.", "metric"))
     )
     return paired.withColumn("issue", issue)
 
@@ -276,7 +278,7 @@ def cuped_stats(df: DataFrame, metric: str, covariate: str, by: Sequence[str] =
         F.try_divide(theta * F.col("_cov"), F.col("_var_y")).alias("variance_reduction"),
         F.lit(f"{metric}__cuped").alias("adjusted_metric"),
         F.when(F.coalesce(F.col("_var_x"), F.lit(0.0)) == 0, F.lit(
-            f"CUPED covariate '{covariate}' has zero variance.")).alias("issue"))
+            f"CUPED needs a covariate that varies: '{covariate}' has zero variance.")).alias("issue"))
 
 
 def apply_cuped(df: DataFrame, metric: str, covariate: str, *, by: Sequence[str] = (),

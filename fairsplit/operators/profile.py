@@ -94,7 +94,7 @@ def sample_rows(df: DataFrame, n: int = 5) -> DataFrame:
 
 def require_usable(profile: Profile) -> None:
     if not profile.binary_candidates:
-        raise DataError("No column with exactly two distinct values was found; "
-                        "cannot identify a variant/treatment column.")
+        raise DataError("No column has exactly two distinct values, so none can be the "
+                        "assignment.")
     if not profile.names(numeric=True):
-        raise DataError("No numeric columns found; there is nothing to measure.")
+        raise DataError("The table has no numeric column to measure.")

@@ -76,7 +76,7 @@ def support_bounds(scored: DataFrame, p: str = "p") -> tuple[float, float]:
     treated, value = F.col("treated") == 1, F.col(p)
     row = scored.agg(F.min(F.when(treated, value)), F.max(F.when(~treated, value))).first()
     if row[0] is None or row[1] is None:
-        raise StatisticsError("Need both treated and control rows for PSM.")
+        raise StatisticsError("Matching needs rows of both arms, treated and control.")
     return row[0], row[1]
 
 
@@ -105,8 +105,8 @@ def common_support(scored: DataFrame, p: str = "p", logit_column: str = "logit")
         F.count_if(~inside & treated).alias("ot"), F.count_if(~inside & ~treated).alias("oc"),
         F.stddev_samp(F.when(inside, F.col(logit_column))).alias("sd")).first()
     if row["t"] + row["c"] == 0:
-        raise StatisticsError("No units inside the common-support region: covariate "
-                              "distributions do not overlap.")
+        raise StatisticsError("No unit lies in the common support: the scores of the arms "
+                              "do not overlap.")
     if row["t"] == 0 or row["c"] == 0:
-        raise StatisticsError("Common-support trimming removed all of one arm; refusing to match.")
+        raise StatisticsError("One arm lies wholly outside the common support.")
     return Support(low, high, row["t"], row["c"], row["ot"], row["oc"], row["sd"])

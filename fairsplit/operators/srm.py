@@ -14,6 +14,7 @@ from ..functions.tails import chi2_sf
 from ..plans.attach import attach
 from ..plans.storage import materialize
 
+# Detection threshold and smallest expected count.
 SRM_THRESHOLD = 0.001
 MIN_EXPECTED = 5
 
@@ -29,7 +30,7 @@ def planned_ratio(expected_ratio: Mapping[str, float]) -> dict[str, float]:
     """Checked plan; a sum within 1e-6 of one is accepted and renormalised."""
     total = sum(expected_ratio.values())
     if abs(total - 1.0) > 1e-6:
-        raise StatisticsError(f"expected_ratio must sum to 1.0 (got {total:.6f}).")
+        raise StatisticsError(f"the planned shares must sum to 1, not {total:.6f}.")
     return {str(k): v / total for k, v in sorted(expected_ratio.items())}
 
 
@@ -80,10 +81,9 @@ def srm_from_counts(counts: DataFrame, variant_column: str,
     issue = (
         F.when(F.col("k") < 2, F.lit(f"variant column '{variant_column}' has fewer than 2 levels."))
         .when(F.col("mismatch"), F.lit(
-            f"expected_ratio keys {plan_text} don't match observed variants."))
+            f"expected_ratio names {plan_text}, which are not the observed arms."))
         .when(F.col("min_expected") < MIN_EXPECTED, F.lit(
-            "Expected counts below 5 in at least one cell; the sample is too "
-            "small for a reliable chi-square SRM test."))
+            "Expected counts below 5 for some arm: too few rows for the allocation test."))
     )
     judged = grouped.withColumn("issue", issue)
     ok = F.col("issue").isNull()

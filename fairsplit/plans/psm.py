@@ -82,7 +82,7 @@ def propensity_score_match(
     """
     metrics = [metrics] if isinstance(metrics, str) else list(metrics)
     if not covariates:
-        raise StatisticsError("PSM requires at least one covariate.")
+        raise StatisticsError("Matching needs at least one covariate.")
     require_columns(df, [variant_column], "variant column")
     require_columns(df, covariates, "covariate")
     require_columns(df, metrics, "metric")
@@ -153,7 +153,7 @@ def _match(rows: DataFrame, ys: dict[str, str], columns: dict[str, str], caliper
     outcome_columns = [F.col(y) for y in ys.values()]
     arms = feature_stats(design, [*features, *outcome_columns], slots)
     if set(arms) != {0, 1}:
-        raise StatisticsError("Need both treated and control rows for PSM.")
+        raise StatisticsError("Matching needs rows of both arms, treated and control.")
     width = len(features)
     naive = {m: arms[1].means[width + i] - arms[0].means[width + i] for i, m in enumerate(ys)}
     patterns = arms[0].patterns + arms[1].patterns
@@ -172,8 +172,7 @@ def _match(rows: DataFrame, ys: dict[str, str], columns: dict[str, str], caliper
     nearest = materialize(nearest_controls(inside, splits, payload), "nearest_controls")
     counts = match_counts(nearest, caliper)
     if not counts["matched"]:
-        raise StatisticsError(f"No treated unit found a control match within caliper "
-                              f"({caliper:.4f}) after common-support trimming.")
+        raise StatisticsError(f"No treated unit has a control within the caliper of {caliper:.4f}.")
     diffs = {m: f"d_{y}" for m, y in ys.items()}
     pairs = matched_pairs(inside, within_caliper(nearest, caliper), counts["matched"],
                           counts["largest"], hot_rows)
@@ -191,7 +190,7 @@ def _match(rows: DataFrame, ys: dict[str, str], columns: dict[str, str], caliper
     boot = {r["metric"]: r for r in bootstrap_summary(drawn, estimates).collect()}
     for r in boot.values():
         if (r["resamples"] or 0) < 2:
-            raise StatisticsError("Bootstrap produced too few valid resamples.")
+            raise StatisticsError("Fewer than two resamples have an effect.")
 
     sizes = pairs.select(*[F.abs(d).alias(f"d{i}") for i, d in enumerate(diffs.values())])
     cuts = bucket_splits(sizes, sizes.columns, n_pairs, rows_per_bucket)

@@ -98,7 +98,7 @@ def load_experiment_csv(spark: SparkSession, path: str, *, drop_duplicates: bool
         raise DataError(f"CSV {path} is empty.")
     data, quality = repair(scan.rows, drop_duplicates, scan.malformed)
     if not data_columns(data):
-        raise DataError(f"CSV {path} has no non-empty columns.")
+        raise DataError(f"CSV {path} holds no values.")
     profile = profile_table(data)
     require_usable(profile)
     return LoadedExperiment(data, profile, quality)

@@ -12,6 +12,7 @@ from ..plans.storage import materialize
 from .csv import scan_csv
 from .sinks import write_table
 
+# Columns of the raw and of the mapped table.
 FEATURES = [f"f{i}" for i in range(12)]
 REQUIRED = [*FEATURES, "treatment", "conversion", "visit"]
 OUTPUT_COLUMNS = ["variant", "conversion", "visit", *FEATURES]
@@ -24,8 +25,8 @@ def _number(name: str):
 def require_uplift_columns(df: DataFrame) -> None:
     absent = sorted(set(REQUIRED) - set(df.columns))
     if absent:
-        raise DataError(f"Uplift table is missing expected columns: {absent}. "
-                        f"Got columns: {df.columns}")
+        raise DataError(f"The uplift table is missing expected columns {absent}; "
+                        f"it has {df.columns}.")
 
 
 def map_uplift(df: DataFrame, invalid_treatment: str = "control") -> DataFrame:

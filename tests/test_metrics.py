@@ -96,10 +96,10 @@ def test_missing_values_and_nan_are_left_out(spark):
 
 
 @pytest.mark.parametrize("rows, message", [
-    ([("control", 1.0 * i) for i in range(50)] + [("treatment", 1.0)] * 20, "Sample too small"),
+    ([("control", 1.0 * i) for i in range(50)] + [("treatment", 1.0)] * 20, "sample too small"),
     ([("control", 3.0)] * 40 + [("treatment", 3.0)] * 40, "zero variance"),
     ([("control", float(i < 2)) for i in range(40)] + [("treatment", float(i < 20)) for i in range(40)],
-     "Cells below 5")])
+     "below 5")])
 def test_unfit_data(spark, rows, message):
     df = spark.createDataFrame(rows, "variant string, m double")
     with pytest.raises(StatisticsError, match=message):

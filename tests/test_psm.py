@@ -100,7 +100,7 @@ def test_preconditions(balanced):
         propensity_score_match(balanced, "nope", *ARMS, ["pre_value"])
     with pytest.raises(StatisticsError, match="covariate 'nope' not in DataFrame"):
         propensity_score_match(balanced, "revenue", *ARMS, ["nope"])
-    with pytest.raises(StatisticsError, match="both treated and control"):
+    with pytest.raises(StatisticsError, match="both arms"):
         propensity_score_match(balanced, "revenue", "variant", "control", "absent", ["pre_value"])
 
 

@@ -46,8 +46,8 @@ def test_numeric_labels_compare_as_text(spark):
 
 
 @pytest.mark.parametrize("ratio, message", [
-    ({"a": 0.3, "b": 0.3}, "sum to 1"), ({"a": 0.5, "z": 0.5}, "don't match"),
-    ({"a": 0.5, "b": 0.25, "c": 0.25}, "don't match")])
+    ({"a": 0.3, "b": 0.3}, "sum to 1"), ({"a": 0.5, "z": 0.5}, "not the observed arms"),
+    ({"a": 0.5, "b": 0.25, "c": 0.25}, "not the observed arms")])
 def test_bad_plans(spark, ratio, message):
     rows = spark.createDataFrame([("a",)] * 100 + [("b",)] * 100, "variant string")
     with pytest.raises(StatisticsError, match=message):
