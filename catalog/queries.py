@@ -194,7 +194,7 @@ def c5_adapt(spark, sf_dir):
 def c6_sample(spark, sf_dir):
     raw = inputs.uplift(spark, sf_dir)
     plain = sample_rows(raw, 20_000).select(F.lit("bernoulli").alias("mode"), "treatment")
-    strata = sample_rows(raw.where("treatment IS NOT NULL"), 20_000, stratified=True)
+    strata = sample_rows(raw, 20_000, stratified=True)
     both = plain.unionByName(strata.select(F.lit("stratified").alias("mode"), "treatment"))
     return both.groupBy("mode", "treatment").agg(F.count(F.lit(1)).alias("n"))
 

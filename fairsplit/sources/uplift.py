@@ -47,8 +47,8 @@ def sample_rows(df: DataFrame, sample: int | None, seed: int = 0, *, rows: int |
                 stratified: bool = False) -> DataFrame:
     """About ``sample`` rows; None, or no fewer than there are, keeps all.
 
-    Every row is kept with the same probability. ``stratified`` draws with the
-    same fraction inside each treatment level.
+    Every row is kept with the same probability. ``stratified`` draws with that
+    fraction inside each arm, as the mapping will define the arms.
     """
     if sample is None:
         return df
@@ -57,7 +57,8 @@ def sample_rows(df: DataFrame, sample: int | None, seed: int = 0, *, rows: int |
         return df
     fraction = sample / rows
     if stratified:
-        return df.sampleBy(_number("treatment"), {0.0: fraction, 1.0: fraction}, seed)
+        arm = F.when(_number("treatment") == 1, 1).otherwise(0)
+        return df.sampleBy(arm, {0: fraction, 1: fraction}, seed)
     return df.sample(fraction, seed)
 
 
