@@ -102,6 +102,6 @@ def test_file_to_verdict(spark, balanced, tmp_path):
     path = str(tmp_path / "experiment")
     balanced.write.csv(path, header=True)
     loaded = load_experiment_csv(spark, path)
-    tables = analyze(loaded.data, profile=loaded.profile, quality=loaded.quality, bootstrap_samples=20)
+    tables = analyze(loaded.data, profile=loaded.profile, quality=loaded.quality, covariates=[])
     assert tables["verdict"].first()["verdict"] == v.SAFE
     assert not tables["quality"].first()["has_issues"]
