@@ -1,4 +1,4 @@
-"""Guardrail checks for controlled experiments, as Spark jobs."""
+"""Checks for controlled experiments, as Spark jobs."""
 
 from .errors import DataError, ExperimentError, RoutingError, StatisticsError
 from .operators.correction import adjust_p_values

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_text
 from fairsplit.operators import matching, propensity
-from fairsplit.operators.effects import (bootstrap_effects, bootstrap_summary, digest_word,
+from fairsplit.operators.effects import (bootstrap_effects, bootstrap_summary, critical_gamma, digest_word,
                                          hashed_word, matched_effect, poisson_count, resamples,
                                          rosenbaum_bounds, signed_rank_totals)
 from fairsplit.plans.ordered import bucket_splits, midranks, with_buckets
@@ -222,6 +222,8 @@ def test_rosenbaum_against_the_definition(spark, rows_per_bucket):
     want = brute_rosenbaum(d, got["gamma"])
     assert got["upper_p"].to_numpy() == pytest.approx(want, rel=1e-9)
     assert (np.diff(got["upper_p"]) >= -1e-9).all()
+    first = got.loc[got["upper_p"] > 0.05, "gamma"].min()
+    assert critical_gamma(rosenbaum_bounds(totals)).first()["gamma_critical"] == first
 
 
 def test_rosenbaum_direction_and_few_pairs(spark):
