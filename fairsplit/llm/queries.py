@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, url_filter
-from .common import table
+from . import decontaminate, language, near_dedup, packing, toxicity, url_filter
+from .common import remainder, table
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,19 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs, remainder("doc_id", 4) != 2)
+    return language.identify(docs, model).withColumn(
+        "held_out", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
     return judged.drop("mean", "low")
@@ -31,6 +45,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_near_dedup": op3_near_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op7_language": op7_language,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
 }
