@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, near_dedup, packing, toxicity, url_filter
+from . import decontaminate, language, line_dedup, lm_score, near_dedup, packing, toxicity, url_filter
 from .common import remainder, table
 
 
@@ -46,6 +46,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), lm_score.held_out())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": op7_language,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
+    "op10_lm_score": op10_lm_score,
 }
 
 #: Statements for DuckDB, where SQL can state an operator's rows at the cost of the check.
