@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, lm_score, near_dedup, packing, toxicity, url_filter
+from . import decontaminate, language, line_dedup, lm_score, near_dedup, packing, topk, toxicity, url_filter
 from .common import remainder, table
 
 
@@ -24,6 +24,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_near_dedup": op3_near_dedup,
+    "op4_topk": op4_topk,
     "op6_toxicity": op6_toxicity,
     "op7_language": op7_language,
     "op8_url_filter": op8_url_filter,
@@ -63,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Statements for DuckDB, where SQL can state an operator's rows at the cost of the check.
 ORACLES: dict[str, str] = {
+    "op4_topk": topk.oracle_sql(),
     "op8_url_filter": url_filter.oracle_sql(),
 }
