@@ -17,7 +17,6 @@ after the other within the same job, and the spans are merged at the end.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -245,18 +244,18 @@ def phrase_blocks(benchmark: DataFrame, item_id: str, text: str, window: int,
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text",
                        item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
-                       block_words: int = BLOCK_WORDS, keep_text: bool = False) -> DataFrame:
+                       block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Where benchmark windows occur in documents.
 
     Returns one row per input row: the id, ``n_words``, ``spans`` (merged runs of hit words,
-    end exclusive, by word number), ``items`` (sorted ids of the items found) and, if asked for, the text.
+    end exclusive, by word number), ``items`` (sorted ids of the items found) and the input columns of ``keep``.
 
     Cases: a null or word-free text has no words and no spans; repeated rows are judged one by one; a
     null id is carried along; an item without words has no window; a null item id marks words but is not
     listed; items that share an id count once; other columns of either table are ignored. Without any
     benchmark window every document is clean.
     """
-    kept = docs.select(F.col(id_column), F.col(text).alias("_text"))
+    kept = docs.select(F.col(id_column), F.col(text).alias("_text"), *(F.col(c) for c in keep if c != text))
     out = kept.withColumns({
         "n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPAN),
         "items": F.array().cast("array<string>")})
@@ -266,8 +265,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_column: str = "
         blocks += 1
     if not blocks:
         out = _mapped(out, Phrases([], window))
-    out = out.withColumnRenamed("_text", text)
-    return out if keep_text else out.drop(text)
+    return out.withColumnRenamed("_text", text) if text in keep else out.drop("_text")
 
 
 def _mapped(df: DataFrame, phrases: Phrases) -> DataFrame:
@@ -284,8 +282,3 @@ def digest(spans: DataFrame) -> DataFrame:
         "n_hit": hit, "n_items": F.size("items").cast("long"),
         "items_sha256": F.sha2(F.concat_ws(",", "items"), 256),
     }).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
-
-def sha256_of(items: list[str]) -> str:
-    """The digest of a sorted list of item ids."""
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -187,20 +187,26 @@ def learn(docs: DataFrame, learning: Column, id_column: str = "doc_id", text: st
     return train(sample(rows, id_column, text, label, per_label), idf)
 
 
-def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score of every row.
+def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text",
+             keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred and score of every row, or the columns of ``keep`` with lang_pred and score.
 
     Cases: a null text, an empty one and one without letters are ``und`` with score 0; repeated rows and
     null ids are judged one by one; other columns are ignored; an empty table gives no rows; a model of
     no labels predicts ``und``.
     """
+    source = docs.select(*keep) if keep else docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    names = list(keep) or ["doc_id"]
+    column = text if keep else "text"
+    if column not in source.columns:
+        raise ValueError(f"keep must hold {column}")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_groups(batches, "text"):
+        for batch, texts in text_groups(batches, column):
             got = [model.predict(x.decode()) if x else (UNKNOWN, 0.0) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()),
-                 pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
+                [*(batch.column(c) for c in names), pa.array([g[0] for g in got], pa.string()),
+                 pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in names)
+    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double")

@@ -114,18 +114,18 @@ def similar_lines(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def deduplicate_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
-                      percent: int = PERCENT) -> DataFrame:
+                      percent: int = PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents without the lines that repeat, nearly or exactly, an earlier line of any document.
 
     Returns per input row: doc_id, text (the lines that stay, in order), n_lines and n_removed (lines that are
-    not blank; removed ones). Earlier means a smaller id, then a smaller place.
+    not blank; removed ones), and the columns of ``keep``. Earlier means a smaller id, then a smaller place.
 
     Cases: a null text stays null with no lines; blank lines are no lines and stay; a line shorter than a
     shingle is compared whole; rows that share an id are treated alike, and so are their lines of one place;
     a row with a null id is returned as it is and takes no part; other columns are ignored; an empty table
     gives no rows.
     """
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), *keep)
     lines = lines_of(source, "doc_id", "text")
     tied = similar_lines(lines, percent)
     placed = stored(lines.select("doc_id", "place", F.xxhash64("line").alias("node")), "lines")
@@ -142,4 +142,4 @@ def deduplicate_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     return source.join(removed.hint("merge"), "doc_id", "left").select(
         "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(filled).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"), *keep)

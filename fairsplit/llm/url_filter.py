@@ -171,7 +171,7 @@ def oracle_sql(rules=RULES, bound: Bound = Bound()) -> str:
           sum(n * (bad / n - mean) ** 2 / (mean * (1 - mean))) AS spread FROM {source} WHERE n > 0)),
 {name} AS (SELECT {keys}, s * mean + bad AS a, s * (1 - mean) + n - bad AS b FROM {source}, {name}_s)"""
 
-    return f"""
+    return rf"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r
            FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
