@@ -1,0 +1,8 @@
+"""Lets the tests of this folder import their helper."""
+
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
