@@ -14,9 +14,11 @@ the counts of earlier tasks, so no length is ever gathered in one task.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from .common import stored, text_groups
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a worker remembers, and their greatest length.
-CACHE_WORDS, CACHE_CHARS = 600_000, 64
+#: Words whose ids a worker remembers (some 200 bytes each), and their greatest length.
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
 #: Lengths, most frequent first, that combinations of three are formed from.
 TRIPLE_LENGTHS = 48
 NNLS_STEPS = 400
@@ -51,6 +53,8 @@ class WordEncoder:
     """
 
     MARK = "0"
+    #: A full stop or comma between an ASCII letter and a gap is a part of its own.
+    STOP = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -77,13 +81,13 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for x in words for w in x} - self.known.keys())
+        words = [self.STOP.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
+        new = list(set(chain.from_iterable(words)) - self.known.keys())
         learned = self._learn(new) if new else {}
         long = {w: x for w, x in learned.items() if len(w) > CACHE_CHARS}
         if len(self.known) + len(learned) > CACHE_WORDS:
             self.known = {"": b""}
-            learned = self._learn(list({w for x in words for w in x} - {""}))
+            learned = self._learn(list(set(chain.from_iterable(words)) - {""}))
         self.known.update(learned)
         out = [b"".join(map(self.known.__getitem__, x)) for x in words]
         for word in long:
