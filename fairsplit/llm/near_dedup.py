@@ -32,7 +32,7 @@ from .components import components
 SHINGLE = 2
 ORDERS, DEPTH = 20, 8
 START_DEPTH = 4
-REGION, NEAREST = 32, 8
+REGION, NEAREST = 12, 2
 SKETCH = 64
 #: Share of equal sketch bytes below which a pair is dropped: five standard deviations under 0.8.
 SKETCH_FLOOR = 0.55
@@ -272,29 +272,54 @@ def _pairwise(percent: int):
     return run
 
 
+def _tied_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of one task as stars around the smallest document: the same components from fewer rounds."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    rows = [(root(x), x) for x in parent if root(x) != x]
+    for start in range(0, len(rows), 65_536):
+        a, b = zip(*rows[start:start + 65_536])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def tied_documents(links: DataFrame) -> DataFrame:
+    return components(links.select("a", "b").mapInArrow(_tied_within, "a long, b long"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Node and component after confirming candidate pairs on full shingle sets."""
-    groups = components(pairs)
     nodes = pairs.select(F.explode(F.array(
         F.struct(F.col("a").alias("doc_id"), F.col("b").alias("p"), "score"),
         F.struct(F.col("b").alias("doc_id"), F.col("a").alias("p"), "score"))).alias("x")).select("x.*")
-    edges = nodes.groupBy("doc_id").agg(F.collect_list(F.struct("p", "score")).alias("edges"))
-    wanted = (edges.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-              .withColumn("component", F.coalesce("component", "doc_id")))
-    sets = stored(docs.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(
+    # Documents are ordered by the least of their neighbours' least neighbours: most groups are then in one place.
+    near = stored(nodes.groupBy("doc_id").agg(F.collect_list(F.struct("p", "score")).alias("edges"), F.least(
+        F.first("doc_id"), F.min("p")).alias("near")), "neighbours")
+    place = (near.select(F.explode("edges.p").alias("doc_id"), "near").groupBy("doc_id")
+             .agg(F.min("near").alias("place")))
+    wanted = near.join(place.hint("merge"), "doc_id").select("doc_id", "edges", F.least("near", "place").alias("place"))
+    sets = stored(docs.join(near.select("doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(
         _sets, "doc_id long, shingles binary"), "shingles")
-    ordered = (wanted.join(sets, "doc_id").repartitionByRange("component", "doc_id")
-               .sortWithinPartitions("component", "doc_id").select("doc_id", "shingles", "edges"))
+    ordered = (wanted.join(sets.hint("merge"), "doc_id").repartitionByRange("place", "doc_id")
+               .sortWithinPartitions("place", "doc_id").select("doc_id", "shingles", "edges"))
     tested = stored(ordered.mapInArrow(_stream(percent), "a long, b long, linked boolean"), "tested")
-    links = tested.where("linked").select("a", "b")
+    tied = tied_documents(tested.where("linked"))
     for whole in (False, True):
         # Candidates between documents that are not tied yet: the best of each two components, then all.
-        tied = components(links)
-        open_ = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        open_ = pairs
         for end in ("a", "b"):
             names = tied.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
             open_ = open_.join(names, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-        open_ = open_.where("ca != cb")
+        open_ = open_.where("ca != cb").join(tested.select("a", "b"), ["a", "b"], "left_anti")
         if not whole:
             open_ = open_.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(
                 F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b")
@@ -307,8 +332,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "left", "right")
             .mapInArrow(_pairwise(percent), "a long, b long, linked boolean"), "checked")
         tested = tested.unionAll(checked)
-        links = links.unionAll(checked.where("linked").select("a", "b"))
-    return components(links)
+        new = checked.where("linked").select("a", "b")
+        if not new.isEmpty():
+            # What is tied already goes on as stars.
+            tied = tied_documents(tied.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(new))
+    return tied
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
