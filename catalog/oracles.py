@@ -5,12 +5,21 @@ Tail probabilities have no SQL function; they are integrated numerically.
 
 from __future__ import annotations
 
-from fairsplit.operators.effects import poisson_limits
-from fairsplit.operators.roles import COVARIATE_PREFIXES, OUTCOME_TOKENS
+import math
 
 from .inputs import (DOUBLE_LOGGED_SQL, EXPERIMENT_SQL, KEPT_LINES_SQL, RAW_EVENTS_SQL, SCENARIOS_SQL,
                      SCORED_SQL, UPLIFT_SQL)
 
+# The names by which roles are recognised, stated here once more as a check.
+OUTCOME_TOKENS = [
+    "converted", "conversion", "click", "clicked", "purchase", "purchased", "order", "ordered",
+    "signup", "signed_up", "subscribe", "subscribed", "revenue", "spend", "spent", "value", "ltv",
+    "gmv", "session", "retention",
+]
+COVARIATE_PREFIXES = [
+    "pre_", "prior_", "baseline_", "user_", "device", "country", "region",
+]
+
 Z = "CAST(1.959963984540054 AS DOUBLE)"
 
 
@@ -152,6 +161,18 @@ step_{k + 1} AS (
     return ",".join(parts)
 
 
+def fitted_pairs() -> str:
+    """The match of SCORED_SQL on the fitted score of the price alone."""
+    return EXPERIMENT_SQL + "," + newton() + """,
+scored AS (
+  SELECT user_id, CASE WHEN variant_conf = 'treatment' THEN 1 ELSE 0 END AS treated,
+         1 / (1 + EXP(-(b0 + b1 * x))) AS p, b0 + b1 * x AS logit, pre_value,
+         CAST(CASE WHEN device = '1-URGENT' THEN 1 ELSE 0 END AS DOUBLE) AS urgent, revenue,
+         CAST(converted AS DOUBLE) AS converted
+  FROM (SELECT *, (pre_value - AVG(pre_value) OVER ()) / STDDEV_POP(pre_value) OVER () AS x FROM experiment), model),
+bounds AS (""" + SCORED_SQL.split("bounds AS (")[1]
+
+
 def clip_logit(p: str) -> str:
     clipped = f"LEAST(GREATEST({p}, CAST(1e-6 AS DOUBLE)), CAST(1 - 1e-6 AS DOUBLE))"
     return f"LN({clipped} / (1 - {clipped}))"
@@ -195,8 +216,13 @@ def one_hot(column: str, levels: list[str]) -> str:
 
 
 def resample_weight() -> str:
+    # Cumulative Poisson(1) probabilities of 0 to 12, in units of 2^-32.
+    limits, below = [], 0.0
+    for k in range(13):
+        below += math.exp(-1) / math.prod(range(1, k + 1))
+        limits.append(int(below * 2**32))
     word = "CAST('0x' || SUBSTR(MD5(user_id || '-' || b || '-7'), 1, 8) AS BIGINT)"
-    cases = " ".join(f"WHEN word < {limit} THEN {k}" for k, limit in enumerate(poisson_limits()))
+    cases = " ".join(f"WHEN word < {limit} THEN {k}" for k, limit in enumerate(limits))
     return f"""
 draws AS (
   SELECT b, d_revenue, d_converted, {word} AS word
@@ -330,6 +356,15 @@ ORACLES: dict[str, str] = {
                  AVG(pre_value) AS mean FROM experiment)
         SELECT user_id, {r('revenue - theta * (pre_value - mean)', 2)} AS revenue__cuped
         FROM experiment, stats""",
+    "c6_sample": f"""WITH {UPLIFT_SQL},
+        sizes AS (SELECT CASE WHEN treatment = 1 THEN 1 ELSE 0 END AS arm, COUNT(*) AS n FROM uplift GROUP BY 1),
+        shares AS (SELECT arm, n, SUM(n) OVER () AS total,
+                     CASE WHEN SUM(n) OVER () > 20000 THEN 20000 ELSE SUM(n) OVER () END AS sample FROM sizes),
+        parts AS (SELECT *, sample * n // total AS base, sample * n % total AS rest FROM shares),
+        filled AS (SELECT arm, base + CASE WHEN ROW_NUMBER() OVER (ORDER BY rest DESC, arm)
+                     <= sample - SUM(base) OVER () THEN 1 ELSE 0 END AS n FROM parts)
+        SELECT 'stratified' AS mode, arm, CAST(n AS BIGINT) AS n FROM filled
+        UNION ALL SELECT 'plain', NULL, CAST(LEAST(20000, SUM(n)) AS BIGINT) FROM sizes""",
     "c5_adapt": f"""WITH {UPLIFT_SQL}
         SELECT CASE WHEN treatment = 1 THEN 'treatment' ELSE 'control' END AS variant,
                CAST(conversion AS DOUBLE) AS conversion, CAST(visit AS DOUBLE) AS visit,
@@ -344,6 +379,12 @@ ORACLES: dict[str, str] = {
     "d1_srm_uniform": f"""WITH {NATION_SRM}
         SELECT r_name, n_name, n, k, k - 1 AS df, {r('chi2', 6)} AS chi2,
                {r('p_value', 8)} AS p_value, p_value < 0.001 AS srm_detected FROM tests""",
+    "d1_srm_many_arms": f"""WITH arms AS (
+          SELECT CASE WHEN l_linenumber = 1 THEN 'first' ELSE CAST(l_partkey AS VARCHAR) END AS arm,
+                 COUNT(*) AS o FROM lineitem GROUP BY 1),
+        totals AS (SELECT SUM(o) AS n, COUNT(*) AS k, SUM(POWER(o, 2)) / AVG(o) - SUM(o) AS chi2 FROM arms)
+        SELECT CAST(n AS BIGINT) AS n, k, k - 1 AS df, {r('chi2', 4)} AS chi2, CAST(0 AS DOUBLE) AS p_value,
+               chi2 > (k - 1) + 40 * SQRT(2 * (k - 1)) AS srm_detected FROM totals""",
     "d1_srm_levels": f"""WITH {EXPERIMENT_SQL}
         SELECT variant_conf AS level, COUNT(*) AS observed,
                CAST(CASE variant_conf WHEN 'control' THEN 0.38 ELSE 0.62 END AS DOUBLE) AS expected_ratio,
@@ -430,6 +471,16 @@ ORACLES: dict[str, str] = {
     "e2_bh": f"""WITH {NATION_SRM}
         SELECT r_name, n_name, {r('p_value', 8)} AS p_value, {r('bh', 8)} AS adjusted_p_value,
                'Benjamini-Hochberg FDR' AS adjustment_method FROM stepped""",
+    "e2_bh_fleet": f"""WITH cells AS (
+          SELECT l_partkey, l_orderkey % 3 AS arm, COUNT(*) AS o FROM lineitem GROUP BY 1, 2),
+        tests AS (
+          SELECT l_partkey, EXP(-0.5 * (SUM(POWER(o, 2)) / AVG(o) - SUM(o))) AS p FROM cells
+          GROUP BY 1 HAVING COUNT(*) = 3 AND AVG(o) >= 5),
+        ranked AS (SELECT *, p * COUNT(*) OVER () / COUNT(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS scaled
+                   FROM tests)
+        SELECT l_partkey, {r('p', 8)} AS p_value,
+               {r('LEAST(1, MIN(scaled) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING))', 8)} AS adjusted_p_value
+        FROM ranked""",
     "e3_bonferroni": f"""WITH {NATION_SRM}
         SELECT 'bonferroni' AS method, n_name,
                {r('LEAST(p_value * COUNT(*) OVER (), 1)', 8)} AS adjusted_p_value FROM tests
@@ -469,6 +520,25 @@ ORACLES: dict[str, str] = {
                      THEN AVG(CASE WHEN att <= 0 THEN 1 ELSE 0 END)
                      ELSE AVG(CASE WHEN att >= 0 THEN 1 ELSE 0 END) END)''', 6)} AS p_value
         FROM resampled JOIN estimates USING (metric) GROUP BY metric""",
+    "f7_bootstrap_hashed": """
+        SELECT UNNEST(['revenue', 'converted']) AS metric, CAST(500 AS BIGINT) AS resamples, TRUE AS se_is_near,
+               TRUE AS covered""",
+    "f9_psm_numeric": f"""WITH {fitted_pairs()},
+        sizes AS (SELECT COUNT(*) FILTER (WHERE treated = 1) AS t, COUNT(*) FILTER (WHERE treated = 0) AS c,
+                    AVG(revenue) FILTER (WHERE treated = 1) - AVG(revenue) FILTER (WHERE treated = 0) AS naive_revenue,
+                    AVG(converted) FILTER (WHERE treated = 1) - AVG(converted) FILTER (WHERE treated = 0)
+                      AS naive_converted FROM scored),
+        kept AS (SELECT COUNT(*) FILTER (WHERE treated = 1) AS t, COUNT(*) FILTER (WHERE treated = 0) AS c FROM inside),
+        found AS (SELECT COUNT(*) AS n FROM pairs),
+        long AS (SELECT 'revenue' AS metric, d_revenue AS d FROM pairs
+                 UNION ALL SELECT 'converted', d_converted FROM pairs),
+        effects AS (SELECT metric, AVG(d) AS att, STDDEV_SAMP(d) / SQRT(COUNT(*)) AS se FROM long GROUP BY 1)
+        SELECT metric, sizes.t AS n_treated, sizes.c AS n_control_pool, n AS n_matched_pairs,
+               kept.t - n AS discarded_treated, sizes.t - kept.t AS trimmed_treated, sizes.c - kept.c AS trimmed_control,
+               CAST(500 AS BIGINT) AS bootstrap_resamples, {r('width', 5)} AS caliper,
+               {r("CASE metric WHEN 'revenue' THEN naive_revenue ELSE naive_converted END", 4)} AS naive_effect,
+               {r('att', 4)} AS psm_att, {r('se', 4)} AS se
+        FROM effects, sizes, kept, found, caliper""",
     "f8_rosenbaum": f"""WITH {SIGNED} {rank_sums('signed', 'size', 'up', 'metric')}, curve AS (
           SELECT metric, gamma, LEAST(
             (rank_sum - g * n * (n + 1) / 2) / SQRT(g * (1 - g) * rank_sq_sum),

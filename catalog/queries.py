@@ -192,11 +192,14 @@ def c5_adapt(spark, sf_dir):
 
 
 def c6_sample(spark, sf_dir):
+    """Sizes of an exact sample, drawn over all rows and in the proportion of the arms."""
     raw = inputs.uplift(spark, sf_dir)
-    plain = sample_rows(raw, 20_000).select(F.lit("bernoulli").alias("mode"), "treatment")
-    strata = sample_rows(raw, 20_000, stratified=True)
-    both = plain.unionByName(strata.select(F.lit("stratified").alias("mode"), "treatment"))
-    return both.groupBy("mode", "treatment").agg(F.count(F.lit(1)).alias("n"))
+    arm = F.when(F.col("treatment") == 1, 1).otherwise(0)
+    plain = sample_rows(raw, 20_000).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("plain").alias("mode"), F.lit(None).cast("int").alias("arm"), "n")
+    strata = sample_rows(raw, 20_000, stratified=True).groupBy(arm.alias("arm")).agg(
+        F.count(F.lit(1)).alias("n")).select(F.lit("stratified").alias("mode"), "arm", "n")
+    return plain.unionByName(strata)
 
 
 def _nation_srm(spark, sf_dir):
@@ -233,6 +236,14 @@ def d1_srm_uniform(spark, sf_dir):
         rounded("p_value", 8).alias("p_value"), "srm_detected")
 
 
+def d1_srm_many_arms(spark, sf_dir):
+    """One arm per part and one overfilled arm: far more degrees and a far larger statistic than usual."""
+    arm = F.when(F.col("l_linenumber") == 1, F.lit("first")).otherwise(F.col("l_partkey").cast("string"))
+    found = srm_check(inputs.read(spark, sf_dir, "lineitem").select(arm.alias("arm")), "arm").summary
+    return found.select("n", "k", "df", rounded("chi2", 4).alias("chi2"), rounded("p_value", 8).alias("p_value"),
+                        "srm_detected")
+
+
 def d1_srm_levels(spark, sf_dir):
     levels = srm_check(inputs.units(spark, sf_dir), "variant_conf", inputs.PLAN,
                        on_issue="keep").levels
@@ -368,6 +379,17 @@ def e2_bh(spark, sf_dir):
                            "adjustment_method")
 
 
+def e2_bh_fleet(spark, sf_dir):
+    """One allocation test per part, three arms each, adjusted as one family in several buckets."""
+    rows = inputs.read(spark, sf_dir, "lineitem").select(
+        "l_partkey", (F.col("l_orderkey") % 3).cast("string").alias("arm"))
+    tests = srm_check(rows, "arm", by=["l_partkey"], on_issue="keep").summary.where("k = 3 AND issue IS NULL")
+    tests = materialize(tests.select("l_partkey", "chi2", "p_value"), "fleet")
+    adjusted = adjust_p_values(tests, "bh", p_column="p_value", rows_per_bucket=BUCKET_ROWS // 5, hot_rows=20)
+    return adjusted.select("l_partkey", rounded("p_value", 8).alias("p_value"),
+                           rounded("adjusted_p_value", 8).alias("adjusted_p_value"))
+
+
 def e3_bonferroni(spark, sf_dir):
     tests = materialize(_nation_srm(spark, sf_dir), "tests")
     out = []
@@ -464,10 +486,12 @@ def f7_bootstrap_hashed(spark, sf_dir):
     """The default generator at the full number of resamples."""
     _, pairs, counts = _match(spark, sf_dir)
     pairs = materialize(pairs.select(matching.UNIT, *DIFFS.values()), "pairs")
-    b = effects.resamples(counts["matched"] + counts["discarded"])
-    drawn = effects.bootstrap_effects(pairs, DIFFS, b, 0, counts["matched"])
-    return effects.bootstrap_summary(
-        drawn, effects.matched_effect(pairs, DIFFS).select("metric", "psm_att"))
+    drawn = effects.bootstrap_effects(pairs, DIFFS, 500, 0, counts["matched"])
+    paired = effects.matched_effect(pairs, DIFFS)
+    found = effects.bootstrap_summary(drawn, paired.select("metric", "psm_att")).drop("psm_att").join(paired, "metric")
+    ratio = F.col("psm_se_bootstrap") / F.col("psm_se_paired_t")
+    return found.select("metric", "resamples", ratio.between(0.8, 1.25).alias("se_is_near"),
+                        F.col("psm_att").between(F.col("psm_ci_low"), F.col("psm_ci_high")).alias("covered"))
 
 
 def f8_rosenbaum(spark, sf_dir):
@@ -486,6 +510,18 @@ def f9_psm(spark, sf_dir):
         TREATMENT, ["pre_value", "device"], row_id="user_id").result
 
 
+def f9_psm_numeric(spark, sf_dir):
+    """One numeric covariate, so that the fitted match can be repeated in SQL."""
+    found = propensity_score_match(
+        inputs.experiment(spark, sf_dir), ["revenue", "converted"], "variant_conf", CONTROL, TREATMENT,
+        ["pre_value"], row_id="user_id").result
+    return found.select(
+        "metric", "n_treated", "n_control_pool", "n_matched_pairs", "discarded_treated", "trimmed_treated",
+        "trimmed_control", "bootstrap_resamples", rounded("caliper", 5).alias("caliper"),
+        rounded("naive_effect", 4).alias("naive_effect"), rounded("psm_att", 4).alias("psm_att"),
+        rounded("psm_se_paired_t", 4).alias("se"))
+
+
 # --- decision layer ---------------------------------------------------------------------------
 
 def _stratified_effects(rows: DataFrame) -> DataFrame:
@@ -557,12 +593,12 @@ QUERIES: dict[str, Query] = {
         b8_roles,
         c1_arm_filter, c2_complete_cases, c3_design_matrix, c4_cuped_column, c5_adapt, c6_sample,
         c7_significance,
-        d1_srm, d1_srm_uniform, d1_srm_levels, d2_kind, d3_chi_square, d4_wilson, d5_newcombe,
+        d1_srm, d1_srm_uniform, d1_srm_many_arms, d1_srm_levels, d2_kind, d3_chi_square, d4_wilson, d5_newcombe,
         d6_effect_size, d7_welch, d8_cuped, d9_mann_whitney, d10_balance, d11_naive, d12_att,
         d13_adapt_stats,
-        e1_midrank, e2_bh, e3_bonferroni,
+        e1_midrank, e2_bh, e2_bh_fleet, e3_bonferroni,
         f1_standardise, f2_propensity_model, f3_logit, f4_support, f5_caliper, f6_match,
-        f7_bootstrap, f7_bootstrap_hashed, f8_rosenbaum, f9_psm,
+        f7_bootstrap, f7_bootstrap_hashed, f8_rosenbaum, f9_psm, f9_psm_numeric,
         g1_verdict, g2_balance_table, g3_analyze,
     )
 }

@@ -29,17 +29,16 @@ def normal_tail(z: float) -> float:
 def chi2_tail(x: float, df: int) -> float:
     """Upper tail of chi-square; closed form for a whole number of degrees."""
     half = x / 2.0
-    if df % 2 == 0:
-        term = total = 1.0
-        for j in range(1, df // 2):
-            term *= half / j
-            total += term
-        return math.exp(-half) * total
-    total = math.erfc(math.sqrt(half))
-    if half > 0:
-        for j in range(1, (df - 1) // 2 + 1):
-            total += math.exp((j - 0.5) * math.log(half) - half - math.lgamma(j + 0.5))
-    return total
+    if half <= 0.0:
+        return 1.0
+    # Every term is scaled before it is added, so large arguments neither overflow nor cancel.
+    whole = df % 2 == 0
+    log_half, shift = math.log(half), 0.0 if whole else 0.5
+    total = 0.0 if whole else math.erfc(math.sqrt(half))
+    for j in range(0 if whole else 1, df // 2 + (0 if whole else 1)):
+        power = j - shift
+        total += math.exp(power * log_half - half - math.lgamma(power + 1.0))
+    return min(1.0, total)
 
 
 def beta_fraction(a: float, b: float, x: float) -> float:
@@ -89,15 +88,17 @@ def t_two_sided(t: float, df: float) -> float:
 
 
 def t_975(df: float) -> float:
-    """0.975 quantile of Student's t, by bisection."""
-    low, high = 1.9, 13.0
-    for _ in range(80):
-        mid = 0.5 * (low + high)
-        if t_two_sided(mid, df) > 0.05:
-            low = mid
-        else:
-            high = mid
-    return 0.5 * (low + high)
+    """0.975 quantile of Student's t: the normal one with an expansion in 1/df, then secant steps."""
+    z, n = Z_975, 1.0 / df
+    older = z
+    newer = z + (z**3 + z) / 4 * n + (5 * z**5 + 16 * z**3 + 3 * z) / 96 * n * n
+    gap = t_two_sided(older, df) - 0.05
+    for _ in range(60):
+        now = t_two_sided(newer, df) - 0.05
+        if now == gap or abs(newer - older) < 1e-14 * newer:
+            break
+        older, newer, gap = newer, max(z, newer - now * (newer - older) / (now - gap)), now
+    return newer
 
 
 def _each(function, *columns: pd.Series) -> pd.Series:

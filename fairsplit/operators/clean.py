@@ -70,18 +70,29 @@ class Identifier:
     repeats: int = 0
 
 
+# A sketched share of distinct values this far below one half settles that a column is no identifier.
+SKETCH_MARGIN = 0.1
+
+
 def find_identifier(df: DataFrame) -> Identifier:
-    """First identifier-named column whose values are distinct in over half the rows."""
+    """First identifier-named column whose values are distinct in over half the rows.
+
+    One pass sketches all candidates; only those near or above one half are counted exactly, one at a
+    time and in order, so no row is multiplied by the number of candidates.
+    """
     named = [c for c in data_columns(df) if c.lower() in IDENTIFIER_NAMES]
     if not named:
         return Identifier(None)
     row = df.agg(F.count(F.lit(1)).alias("n"),
                  *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(named)],
-                 *[F.count_distinct(F.col(quoted(c))).alias(f"d{i}")
+                 *[F.approx_count_distinct(quoted(c), 0.02).alias(f"d{i}")
                    for i, c in enumerate(named)]).first()
     for i, name in enumerate(named):
-        if row[f"n{i}"] and row[f"d{i}"] / row["n"] > 0.5:
-            kept = row[f"d{i}"] + (1 if row[f"n{i}"] < row["n"] else 0)
+        if not row[f"n{i}"] or row[f"d{i}"] < (0.5 - SKETCH_MARGIN) * row["n"]:
+            continue
+        distinct = df.select(F.col(quoted(name)).alias("v")).where("v IS NOT NULL").distinct().count()
+        if distinct / row["n"] > 0.5:
+            kept = distinct + (1 if row[f"n{i}"] < row["n"] else 0)
             return Identifier(name, row["n"] - kept)
     return Identifier(None)
 
@@ -89,14 +100,16 @@ def find_identifier(df: DataFrame) -> Identifier:
 def drop_double_logged(df: DataFrame, identifier: str) -> DataFrame:
     """Keep the first row (smallest ``_row_id``) per identifier value.
 
-    Rows without an identifier count as one value. The aggregate combines
-    before the shuffle, so a value repeated in very many rows stays cheap.
+    Rows without an identifier count as one value. Only values and row numbers are aggregated, with
+    map-side combining; the values that repeat are then joined back, so the table itself is not sorted.
     """
     key = F.col(quoted(identifier))
-    rest = F.struct(*[F.col(quoted(c)) for c in df.columns if c != identifier])
-    first = df.groupBy(key.alias("_key")).agg(F.min_by(rest, ROW_ID).alias("_first"))
-    return first.select(*[F.col("_key").alias(c) if c == identifier
-                          else F.col(f"_first.{quoted(c)}") for c in df.columns])
+    repeats = (df.select(key.alias("_key"), ROW_ID).groupBy("_key")
+               .agg(F.min(ROW_ID).alias("_first"), F.count(F.lit(1)).alias("_n"))
+               .where("_n > 1").drop("_n"))
+    later = F.col("_first").isNotNull() & (F.col("_first") != F.col(ROW_ID))
+    return df.join(repeats, key.eqNullSafe(F.col("_key")), "left").where(~later).select(
+        *[F.col(quoted(c)) for c in df.columns])
 
 
 @dataclass

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import require_columns
-from ..plans.attach import attach
+from ..plans.attach import HOT_ROWS, attach, join_levels
 from ..plans.ordered import ROWS_PER_BUCKET, bucket_splits, with_buckets
+from ..plans.storage import materialize
 
 # Names of the methods in results.
 METHODS = {"bh": "Benjamini-Hochberg FDR", "bonferroni": "Bonferroni", "none": None}
@@ -45,17 +46,18 @@ def _step_up(results: DataFrame, p_column: str, by: Sequence[str],
     best = best.select(*keys, F.min("_low").over(later).alias("_later"))
     done = attach(scaled.withColumn("_here", F.min("_s").over(down)), best, keys,
                   never_null=["bucket"])
-    return done.select(*by, "_p", F.least("_here", "_later", F.lit(1.0)).alias("_bh"))
+    return done.select(*by, "_p", F.least("_here", "_later", F.lit(1.0)).alias("_bh"), "c")
 
 
 def adjust_p_values(results: DataFrame, method: str = "bh", *, by: Sequence[str] = (),
                     p_column: str = "primary_p_value", rows: int | None = None,
-                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                    rows_per_bucket: int = ROWS_PER_BUCKET, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fill ``adjusted_p_value`` and ``adjustment_method``; one family per group.
 
-    Tests without a p-value are outside the family. ``rows`` is the number of
-    results if the caller knows it; a large table is then cut into buckets,
-    without it every family is one sort group.
+    Tests without a p-value are outside the family. A table of more than
+    ``rows_per_bucket`` tests is cut into buckets of p, and a p-value that very
+    many tests share is joined back without gathering them. ``rows`` is the
+    number of results; it is counted if the caller does not know it.
     """
     if method not in METHODS:
         raise ValueError(f"Unknown correction method: {method!r}")
@@ -70,15 +72,21 @@ def adjust_p_values(results: DataFrame, method: str = "bh", *, by: Sequence[str]
         adjusted = attach(base, family, by).withColumn(
             "adjusted_p_value", F.when(p.isNotNull(), F.least(p * F.col("_m"), F.lit(1.0)))).drop("_m")
     else:
-        splits = []
-        if rows is not None and rows > rows_per_bucket:
-            splits = bucket_splits(base, [p_column], rows, rows_per_bucket)[p_column]
-        stepped = _step_up(base, p_column, by, splits).select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_p", "_bh")
-        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]
-        adjusted = (base.join(stepped, [*on, p == F.col("_p")], "left")
-                    .withColumn("adjusted_p_value", F.col("_bh"))
-                    .drop("_p", "_bh", *[f"_k{i}" for i in range(len(by))]))
+        rows = base.count() if rows is None else rows
+        large = rows > rows_per_bucket
+        splits = bucket_splits(base, [p_column], rows, rows_per_bucket)[p_column] if large else []
+        stepped = _step_up(base, p_column, by, splits)
+        key = F.struct(*[F.col(k) for k in by], p.alias("_p")).alias("_key")
+        levels = stepped.select(F.struct(*by, "_p").alias("_key"), F.col("_bh").alias("adjusted_p_value"), "c")
+        tested = base.select("*", key).where(p.isNotNull())
+        if large:
+            levels = materialize(levels, "adjusted")
+            most = levels.agg(F.max("c")).first()[0] or 0
+            joined = join_levels(tested, levels, "_key", "c", rows, most, hot_rows)
+        else:
+            joined = tested.join(levels.drop("c"), "_key")
+        untested = base.where(p.isNull()).withColumn("adjusted_p_value", F.lit(None).cast("double"))
+        adjusted = joined.drop("_key").unionByName(untested)
     name = METHODS[method]
     shown = F.when(F.col("adjusted_p_value").isNotNull(), F.lit(name)) if name else F.lit(None)
     return adjusted.withColumn("adjustment_method", shown.cast("string"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import StatisticsError
@@ -17,6 +17,8 @@ from ..plans.storage import materialize
 # Detection threshold and smallest expected count.
 SRM_THRESHOLD = 0.001
 MIN_EXPECTED = 5
+# Arms that a reason lists at most; the levels table has them all.
+SHOWN_ARMS = 8
 
 
 class SrmTables(NamedTuple):
@@ -30,7 +32,7 @@ def planned_ratio(expected_ratio: Mapping[str, float]) -> dict[str, float]:
     """Checked plan; a sum within 1e-6 of one is accepted and renormalised."""
     total = sum(expected_ratio.values())
     if abs(total - 1.0) > 1e-6:
-        raise StatisticsError(f"the planned shares must sum to 1, not {total:.6f}.")
+        raise StatisticsError(f"planned shares add up to {total:.6f} instead of 1.")
     return {str(k): v / total for k, v in sorted(expected_ratio.items())}
 
 
@@ -42,17 +44,35 @@ def arm_counts(df: DataFrame, variant_column: str, by: Sequence[str] = ()) -> Da
             .groupBy(*by, "level").agg(F.count(F.lit(1)).alias("observed")))
 
 
+def split_text(arms: Column, n: Column, plan: Mapping[str, float] | None, k: Column) -> Column:
+    """Observed and planned shares of the first arms in name order, for a reason."""
+    def planned(arm: Column) -> Column:
+        if plan is None:
+            return 1 / k
+        share = F.lit(None).cast("double")
+        for name, ratio in plan.items():
+            share = F.when(arm["level"] == name, F.lit(ratio)).otherwise(share)
+        return share
+
+    shown = F.transform(F.slice(F.sort_array(arms), 1, SHOWN_ARMS), lambda arm: F.format_string(
+        "%s %.4f (planned %.4f)", arm["level"], arm["observed"] / n, planned(arm)))
+    rest = F.when(F.size(arms) > SHOWN_ARMS, F.format_string(" and %d more", F.size(arms) - SHOWN_ARMS))
+    return F.concat(F.array_join(shown, ", "), F.coalesce(rest, F.lit("")))
+
+
 def srm_from_counts(counts: DataFrame, variant_column: str,
                     expected_ratio: Mapping[str, float] | None = None,
                     threshold: float = SRM_THRESHOLD, by: Sequence[str] = ()) -> SrmTables:
     """Goodness-of-fit test on a table of arm counts."""
     o, n = F.col("observed"), F.col("n")
+    arms = F.collect_list(F.struct("level", "observed")).alias("_arms")
+    plan = None
     if expected_ratio is None:
         # Against a uniform plan the statistic is the spread of the counts.
         grouped = counts.groupBy(*by).agg(
             F.sum(o).alias("n"), F.count(F.lit(1)).alias("k"),
             (F.var_samp(o) * (F.count(F.lit(1)) - 1) / F.avg(o)).alias("chi2"),
-            F.avg(o).alias("min_expected"),
+            F.avg(o).alias("min_expected"), arms,
         ).withColumn("mismatch", F.lit(False))
         plan_text = "uniform"
     else:
@@ -61,13 +81,13 @@ def srm_from_counts(counts: DataFrame, variant_column: str,
             F.sum(o).alias("n"), F.count(F.lit(1)).alias("k"),
             F.count_if(~F.col("level").isin(*plan)).alias("unplanned"),
             *[F.sum(F.when(F.col("level") == name, o)).alias(f"_o{i}")
-              for i, name in enumerate(plan)],
+              for i, name in enumerate(plan)], arms,
         )
         terms = [F.pow(F.col(f"_o{i}") - r * n, F.lit(2)) / (r * n)
                  for i, r in enumerate(plan.values())]
         absent = [F.col(f"_o{i}").isNull() for i in range(len(plan))]
         grouped = grouped.select(
-            *by, "n", "k",
+            *by, "n", "k", "_arms",
             sum(terms[1:], terms[0]).alias("chi2"),
             (F.lit(min(plan.values())) * n).alias("min_expected"),
             F.expr("unplanned > 0").alias("_extra"),
@@ -79,11 +99,11 @@ def srm_from_counts(counts: DataFrame, variant_column: str,
         grouped = grouped.withColumn("mismatch", lacking)
         plan_text = str(sorted(plan))
     issue = (
-        F.when(F.col("k") < 2, F.lit(f"variant column '{variant_column}' has fewer than 2 levels."))
+        F.when(F.col("k") < 2, F.lit(f"'{variant_column}' shows a single arm; an allocation needs two."))
         .when(F.col("mismatch"), F.lit(
-            f"expected_ratio names {plan_text}, which are not the observed arms."))
+            f"The plan is for {plan_text}; other arms were observed, or some are absent."))
         .when(F.col("min_expected") < MIN_EXPECTED, F.lit(
-            "Expected counts below 5 for some arm: too few rows for the allocation test."))
+            "An arm should have fewer than 5 rows: too small for the chi-square test."))
     )
     judged = grouped.withColumn("issue", issue)
     ok = F.col("issue").isNull()
@@ -91,9 +111,12 @@ def srm_from_counts(counts: DataFrame, variant_column: str,
         *by, F.lit(variant_column).alias("variant_column"), "n", "k",
         F.when(ok, F.col("chi2")).alias("chi2"),
         (F.col("k") - 1).alias("df"), "issue",
+        split_text(F.col("_arms"), n, plan, F.col("k")).alias("split"),
     ).withColumn("p_value", chi2_sf("chi2", "df"))
+    unknown = F.lit("The allocation test has no p-value.")
     summary = summary.withColumn("threshold", F.lit(float(threshold))) \
-        .withColumn("srm_detected", F.col("p_value") < F.col("threshold"))
+        .withColumn("srm_detected", F.col("p_value") < F.col("threshold")) \
+        .withColumn("issue", F.coalesce("issue", F.when(F.col("p_value").isNull(), unknown)))
 
     totals = counts.groupBy(*by).agg(F.sum(o).alias("n"), F.count(F.lit(1)).alias("k"))
     share = F.lit(1.0) / F.col("k")
@@ -122,6 +145,6 @@ def srm_check(df: DataFrame, variant_column: str,
     tables = srm_from_counts(counts, variant_column, expected_ratio, threshold, by)
     if on_issue == "raise":
         if counts.isEmpty():
-            raise StatisticsError(f"variant column '{variant_column}' has fewer than 2 levels: []")
+            raise StatisticsError(f"'{variant_column}' shows no arm; an allocation needs two.")
         raise_first_issue(tables.summary)
     return tables

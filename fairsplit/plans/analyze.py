@@ -82,7 +82,7 @@ def analyze(
     counts = moments.where((F.col("position") == 0) & F.col("arm").isNotNull()) \
         .select(F.col("arm").alias("level"), F.col("arm_rows").alias("observed"))
     if counts.isEmpty():
-        raise StatisticsError(f"variant column '{roles.variant_column}' has fewer than 2 levels: []")
+        raise StatisticsError(f"'{roles.variant_column}' shows no arm; an allocation needs two.")
     srm = srm_from_counts(counts, roles.variant_column, expected_ratio, srm_threshold)
     out["srm"] = raise_first_issue(materialize(srm.summary, "srm"))
     out["srm_levels"] = srm.levels

@@ -14,13 +14,13 @@ from ..functions.columns import as_double, label, present, quoted, require_colum
 from ..operators.design import (MAX_LEVELS, ArmStats, Covariates, complete_cases, feature_stats,
                                 find_levels, is_categorical, pooled_scale, rough_levels)
 from ..operators.effects import (GAMMA_GRID, balance, bootstrap_effects, bootstrap_summary,
-                                 resamples, rosenbaum_bounds, signed_rank_totals)
+                                 rosenbaum_bounds, signed_rank_totals)
 from ..operators.matching import (UNIT, match_counts, matched_pairs, nearest_controls,
                                   within_caliper)
 from ..operators.propensity import common_support, fit_propensity, logit
 from .attach import HOT_ROWS
 from .ordered import ROWS_PER_BUCKET, bucket_splits
-from .storage import materialize
+from .storage import discard, materialize
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("metric", T.StringType()),
@@ -116,6 +116,7 @@ def propensity_score_match(
                       random_state, direction, max_levels, rough, rows_per_bucket, hot_rows)
         for target, new in zip(found, part, strict=True):
             target.extend(new)
+    discard(stored)
     spark = df.sparkSession
     order = {m: i for i, m in enumerate(metrics)}
     return PsmTables(
@@ -184,7 +185,7 @@ def _match(rows: DataFrame, ys: dict[str, str], columns: dict[str, str], caliper
     n_pairs = effect["n"]
     att = {m: effect[f"a_{d}"] for m, d in diffs.items()}
     spark = rows.sparkSession
-    b = resamples(support.treated, bootstrap_samples)
+    b = bootstrap_samples
     drawn = bootstrap_effects(pairs, diffs, b, seed, n_pairs)
     estimates = spark.createDataFrame(list(att.items()), "metric string, psm_att double")
     boot = {r["metric"]: r for r in bootstrap_summary(drawn, estimates).collect()}
@@ -196,6 +197,7 @@ def _match(rows: DataFrame, ys: dict[str, str], columns: dict[str, str], caliper
     cuts = bucket_splits(sizes, sizes.columns, n_pairs, rows_per_bucket)
     sign = {m: -1 for m in diffs if direction == "auto" and att[m] < 0}
     bounds = rosenbaum_bounds(signed_rank_totals(pairs, diffs, cuts, sign), grid).collect()
+    discard(nearest, pairs)
     before = balance(covariates.feature_names, arms[1], arms[0])
     after = balance(covariates.feature_names, treated, control)
     found = _Rows([], [], [])
@@ -214,7 +216,7 @@ def _match(rows: DataFrame, ys: dict[str, str], columns: dict[str, str], caliper
             discarded_treated=counts["discarded"], trimmed_treated=support.trimmed_treated,
             trimmed_control=support.trimmed_control, bootstrap_resamples=b,
             gamma_critical=critical,
-            notes=[f"caliper (logit units) = {caliper:.4f}", f"bootstrap resamples = {b}"]))
+            notes=[f"{b} resamples; pairs up to {caliper:.4f} apart in log-odds"]))
         found.balance.extend((m, name, before[name], after[name]) for name in before)
         found.sensitivity.extend((m, g, p) for g, p in curve)
     return found

@@ -32,6 +32,8 @@ def scratch_root(spark: SparkSession) -> str:
             )
         configured = tempfile.mkdtemp(prefix="fairsplit-")
         context.setCheckpointDir(configured)
+    if configured.startswith("file:") and not context.master.startswith("local"):
+        raise ExperimentError(f"spark.checkpoint.dir is {configured}: other nodes cannot see that folder.")
     return f"{configured.rstrip('/')}/fairsplit-{context.applicationId}"
 
 
@@ -48,6 +50,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        jvm = spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(scratch_root(spark)).toUri().getPath()
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.toUri().getPath().startswith(root):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release_scratch(spark: SparkSession) -> bool:
     """Delete every intermediate table of this application."""
     jvm = spark._jvm

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DataError
+from ..functions.columns import quoted
 from ..plans.storage import materialize
 from .csv import scan_csv
 from .sinks import write_table
@@ -43,23 +44,50 @@ def map_uplift(df: DataFrame, invalid_treatment: str = "control") -> DataFrame:
                      *[_number(c).alias(c) for c in OUTPUT_COLUMNS[1:]])
 
 
+def row_word(df: DataFrame, seed: int = 0) -> Column:
+    """40 hash bits of a row's content and the seed; equal rows have equal ones."""
+    cells = [F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")) for c in df.columns]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *cells).cast("binary"))
+    return F.conv(F.substring(digest, 1, 10), 16, 10).cast("bigint")
+
+
 def sample_rows(df: DataFrame, sample: int | None, seed: int = 0, *, rows: int | None = None,
                 stratified: bool = False) -> DataFrame:
-    """About ``sample`` rows; None, or no fewer than there are, keeps all.
+    """Exactly ``sample`` rows, those of the smallest hashes; None, or no fewer than there are, keeps all.
 
-    Every row is kept with the same probability. ``stratified`` draws with that
-    fraction inside each arm, as the mapping will define the arms.
+    The choice depends on content and seed only. ``stratified`` keeps the split: each arm, as the mapping
+    will define it, gives its share of ``sample``, rounded down, and the largest remainder is filled up.
+    The hash range is cut into 2^16 cells; only the cell that the last row falls in is sorted.
     """
     if sample is None:
         return df
-    rows = df.count() if rows is None else rows
-    if sample >= rows:
+    arm = F.when(_number("treatment") == 1, 1).otherwise(0) if stratified else F.lit(0)
+    marked = df.withColumns({"_arm": arm, "_word": row_word(df, seed)})
+    cells = marked.groupBy("_arm", F.shiftright("_word", 24).alias("cell")).count().collect()
+    sizes: dict[int, int] = {}
+    for cell in cells:
+        sizes[cell["_arm"]] = sizes.get(cell["_arm"], 0) + cell["count"]
+    total = sum(sizes.values())
+    if sample >= total:
         return df
-    fraction = sample / rows
-    if stratified:
-        arm = F.when(_number("treatment") == 1, 1).otherwise(0)
-        return df.sampleBy(arm, {0: fraction, 1: fraction}, seed)
-    return df.sample(fraction, seed)
+    wanted = {a: sample * n // total for a, n in sizes.items()}
+    for a in sorted(sizes, key=lambda a: (-(sample * sizes[a] % total), a))[:sample - sum(wanted.values())]:
+        wanted[a] += 1
+    whole, edge = F.lit(False), None
+    for a in sizes:
+        left, last = wanted[a], -1
+        for cell in sorted((c for c in cells if c["_arm"] == a), key=lambda c: c["cell"]):
+            if cell["count"] > left:
+                last = cell["cell"]
+                break
+            left -= cell["count"]
+        own, cell = F.col("_arm") == a, F.shiftright("_word", 24)
+        whole = whole | (own & ((cell < last) if last >= 0 else F.lit(True)))
+        if last >= 0 and left:
+            some = marked.where(own & (cell == last)).orderBy("_word").limit(left)
+            edge = some if edge is None else edge.unionAll(some)
+    drawn = marked.where(whole)
+    return (drawn if edge is None else drawn.unionAll(edge)).drop("_arm", "_word")
 
 
 def adaptation_stats(raw: DataFrame, mapped: DataFrame, malformed: int = 0) -> DataFrame:
@@ -81,7 +109,7 @@ def adaptation_stats(raw: DataFrame, mapped: DataFrame, malformed: int = 0) -> D
         "conversion_rate", "visit_rate")
 
 
-def adapt_uplift(spark: SparkSession, raw_path: str, out_path: str, sample: int | None = 300_000,
+def adapt_uplift(spark: SparkSession, raw_path: str, out_path: str, sample: int | None = None,
                  seed: int = 0, *, stratified: bool = False, invalid_treatment: str = "control",
                  mode: str = "error") -> Mapping[str, object]:
     """Raw uplift CSV to an analysable CSV; returns the statistics as a mapping."""

@@ -5,10 +5,9 @@ from __future__ import annotations
 import sys
 from pathlib import Path
 
-import numpy as np
-import pandas as pd
 import pytest
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -28,44 +27,51 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+ORDERS = "/root/testdata/sf0.01/orders.parquet"
+
+
+def draw(name: str) -> Column:
+    """A share between 0 and 1 from a hash of the order's number."""
+    return F.pmod(F.xxhash64(F.lit(name), "o_orderkey"), F.lit(1 << 31)) / F.lit(2.0**31)
+
+
+def units(spark) -> DataFrame:
+    """The first 5,000 orders as units; the price before the experiment is the covariate."""
+    orders = spark.read.parquet(ORDERS).orderBy("o_orderkey").limit(5_000)
+    return orders.withColumns({
+        "user_id": F.col("o_orderkey"), "pre_value": F.round(F.col("o_totalprice") / 1000, 2),
+        "device": F.when(F.col("o_orderpriority") < "3", "desktop").otherwise("mobile")})
+
+
 @pytest.fixture(scope="session")
 def balanced(spark):
-    """Fair split, a real lift in both outcomes, no confounding."""
-    rng = np.random.default_rng(7)
-    n = 5_000
-    arm = rng.integers(0, 2, n)
-    pre = np.round(rng.gamma(2.0, 15.0, n), 2)
-    desktop = rng.random(n) < 0.35
-    chance = np.clip(0.08 + 0.001 * pre + 0.02 * desktop + 0.05 * arm, 0.01, 0.99)
-    converted = (rng.random(n) < chance).astype(int)
-    revenue = np.round(np.where(converted == 1, rng.gamma(2.0, 12.0, n) + 4.0 * arm, 0.0), 2)
-    return spark.createDataFrame(pd.DataFrame({
-        "user_id": np.arange(n), "variant": np.where(arm == 1, "treatment", "control"),
-        "pre_value": pre, "device": np.where(desktop, "desktop", "mobile"),
-        "converted": converted, "revenue": revenue}))
+    """Arms by hash, so nothing is confounded; treatment raises both outcomes."""
+    treated = draw("arm") < 0.5
+    lift = treated.cast("int")
+    bought = draw("buy") < 0.1 + 0.0003 * F.col("pre_value") + 0.06 * lift
+    spent = F.round(18 + F.col("pre_value") / 12 + 7 * lift + 25 * draw("spend"), 2)
+    return units(spark).select(
+        "user_id", F.when(treated, "treatment").otherwise("control").alias("variant"), "pre_value", "device",
+        bought.cast("int").alias("converted"), F.when(bought, spent).otherwise(0.0).alias("revenue")).cache()
 
 
 @pytest.fixture(scope="session")
 def uneven(spark):
-    """Split 40/60 although 50/50 was planned; no effect."""
-    rng = np.random.default_rng(8)
-    n = 5_000
-    return spark.createDataFrame(pd.DataFrame({
-        "user_id": np.arange(n),
-        "variant": np.where(rng.random(n) < 0.6, "treatment", "control"),
-        "converted": (rng.random(n) < 0.1).astype(int), "tier": np.arange(n) % 3}))
+    """Three fifths are treated although half was planned; no effect."""
+    return units(spark).select(
+        "user_id", F.when(draw("arm") < 0.6, "treatment").otherwise("control").alias("variant"),
+        (draw("buy") < 0.13).cast("int").alias("converted"), (F.col("o_custkey") % 3).alias("tier")).cache()
 
 
 @pytest.fixture(scope="session")
 def confounded(spark):
-    """Assignment leans on the covariate that drives revenue; true effect zero."""
-    rng = np.random.default_rng(9)
-    n = 5_000
-    pre = rng.gamma(2.0, 25.0, n)  # unrounded, so that no two neighbours are equally near
-    treated = rng.random(n) < np.clip(0.30 + 0.010 * pre, 0.05, 0.95)
-    return spark.createDataFrame(pd.DataFrame({
-        "user_id": np.arange(n), "variant": np.where(treated, "treatment", "control"),
-        "pre_value": pre, "revenue": np.round(rng.gamma(2.0, 10.0, n) + 0.15 * pre, 2)}))
+    """Dear orders are treated more often and bring more revenue; treatment itself does nothing."""
+    # A trace of the order number keeps any two neighbours from being equally near.
+    price = F.col("o_totalprice") / 1000 + F.col("o_orderkey") * 1e-9
+    treated = draw("arm") < F.least(F.lit(0.9), 0.15 + price / 500)
+    return units(spark).select(
+        "user_id", F.when(treated, "treatment").otherwise("control").alias("variant"), price.alias("pre_value"),
+        F.round(12 + 0.2 * price + 30 * draw("spend"), 2).alias("revenue")).cache()
 
 
 def plan_text(df) -> str:

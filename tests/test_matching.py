@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conftest import plan_text
 from fairsplit.operators import matching, propensity
 from fairsplit.operators.effects import (bootstrap_effects, bootstrap_summary, critical_gamma, digest_word,
-                                         hashed_word, matched_effect, poisson_count, resamples,
+                                         matched_effect, poisson_count, poisson_draws,
                                          rosenbaum_bounds, signed_rank_totals)
 from fairsplit.plans.ordered import bucket_splits, midranks, with_buckets
 
@@ -160,18 +160,15 @@ def test_logit_is_clipped(spark):
 
 # --- resampling, hidden bias -------------------------------------------------------------
 
-def test_resample_budget():
-    assert resamples(1_000) == 500
-    assert resamples(100_000) == 200
-    assert resamples(10_000_000) == 100
-
-
-@pytest.mark.parametrize("word", [hashed_word, digest_word])
-def test_weights_are_poisson_one(spark, word):
-    df = spark.range(40_000).select(poisson_count(word(F.col("id"), F.lit(3), 11)).alias("w"))
-    row = df.agg(F.avg("w"), F.var_samp("w"), F.avg((F.col("w") == 0).cast("int"))).first()
-    assert row[0] == pytest.approx(1, abs=0.02) and row[1] == pytest.approx(1, abs=0.04)
-    assert row[2] == pytest.approx(np.exp(-1), abs=0.01)
+def test_weights_are_poisson_one(spark):
+    df = spark.range(40_000).select(poisson_count(digest_word(F.col("id"), F.lit(3), 11)).alias("w"))
+    digests = np.array([r["w"] for r in df.collect()])
+    units = np.random.default_rng(3).integers(0, 2**63, 40_000, dtype=np.uint64)
+    for w in (digests, poisson_draws(units, 3, 11)):
+        assert w.mean() == pytest.approx(1, abs=0.02) and w.var() == pytest.approx(1, abs=0.04)
+        assert (w == 0).mean() == pytest.approx(np.exp(-1), abs=0.01)
+    other = poisson_draws(units, 4, 11)
+    assert abs(np.corrcoef(poisson_draws(units, 3, 11), other)[0, 1]) < 0.02
 
 
 def test_bootstrap_spread_matches_theory(spark):
@@ -197,33 +194,48 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert np.allclose(*runs, rtol=1e-12)
 
 
-def brute_rosenbaum(d, grid, z_of=None):
-    from fairsplit.functions.tails import normal_tail
-    d = d[d != 0]
-    ranks = pd.Series(np.abs(d)).rank().to_numpy()
-    t, total, squares = ranks[d > 0].sum(), ranks.sum(), (ranks**2).sum()
-    out = []
-    for g in grid:
-        ps = [normal_tail((t - q * total) / np.sqrt(q * (1 - q) * squares))
-              for q in (g / (1 + g), 1 / (1 + g))]
-        out.append(min(1.0, 2 * max(ps)))
-    return out
+def exact_bound(d, gamma):
+    """Probability of so large a rank sum if every pair is positive with the worst odds ``gamma``: all sign
+    patterns, added up rank by rank."""
+    ranks = np.array([1 + sum(abs(x) < abs(y) for x in d) for y in d])
+    worst = gamma / (1 + gamma)
+    chance = np.zeros(ranks.sum() + 1)
+    chance[0] = 1.0
+    for k in ranks:
+        moved = np.zeros_like(chance)
+        moved[k:] = chance[:len(chance) - k]
+        chance = (1 - worst) * chance + worst * moved
+    return chance[ranks[np.array(d) > 0].sum():].sum()
 
 
-@pytest.mark.parametrize("rows_per_bucket", [60, 10**9])
-def test_rosenbaum_against_the_definition(spark, rows_per_bucket):
-    rng = np.random.default_rng(10)
-    d = np.round(rng.normal(0.3, 1.0, 1_500), 1)
+def bounds_of(spark, d, rows_per_bucket=10**9):
     pairs = spark.createDataFrame(pd.DataFrame({"d": d}))
-    sizes = pairs.select(F.abs("d").alias("d0"))
-    splits = bucket_splits(sizes, ["d0"], len(d), rows_per_bucket)
-    totals = signed_rank_totals(pairs, {"m": "d"}, splits)
-    got = rosenbaum_bounds(totals).orderBy("gamma").toPandas()
-    want = brute_rosenbaum(d, got["gamma"])
-    assert got["upper_p"].to_numpy() == pytest.approx(want, rel=1e-9)
-    assert (np.diff(got["upper_p"]) >= -1e-9).all()
-    first = got.loc[got["upper_p"] > 0.05, "gamma"].min()
-    assert critical_gamma(rosenbaum_bounds(totals)).first()["gamma_critical"] == first
+    splits = bucket_splits(pairs.select(F.abs("d").alias("d0")), ["d0"], len(d), rows_per_bucket)
+    return rosenbaum_bounds(signed_rank_totals(pairs, {"m": "d"}, splits))
+
+
+def test_rosenbaum_by_hand(spark):
+    """Ranks 1 to 6, the second negative: the positive ones add up to 19 of 21."""
+    got = {r["gamma"]: r["upper_p"] for r in bounds_of(spark, [0.5, -1.0, 1.5, 2.0, 4.0, 7.0]).collect()}
+    assert got[1.0] == pytest.approx(0.0747, abs=2e-4)  # 8.5 / sqrt(91 / 4) = 1.782
+    assert got[2.0] == pytest.approx(0.2662, abs=2e-4)  # 5 / sqrt(91 * 2 / 9) = 1.112
+
+
+@pytest.mark.parametrize("rows_per_bucket", [60, 10**9])
+def test_rosenbaum_against_all_sign_patterns(spark, rows_per_bucket):
+    d = np.random.default_rng(10).normal(0.45, 1.0, 90)
+    got = bounds_of(spark, d, rows_per_bucket)
+    for row in got.collect():
+        assert row["upper_p"] == pytest.approx(min(1, 2 * exact_bound(d, row["gamma"])), abs=0.02)
+    curve = got.orderBy("gamma").toPandas()
+    assert (np.diff(curve["upper_p"]) >= -1e-9).all()
+    assert critical_gamma(got).first()["gamma_critical"] == curve.loc[curve["upper_p"] > 0.05, "gamma"].min()
+
+
+def test_rosenbaum_ties_do_not_depend_on_buckets(spark):
+    d = np.round(np.random.default_rng(11).normal(0.3, 1.0, 1_500), 1)
+    one, many = (bounds_of(spark, d, n).orderBy("gamma").toPandas() for n in (10**9, 60))
+    assert np.allclose(one["upper_p"], many["upper_p"], rtol=1e-9)
 
 
 def test_rosenbaum_direction_and_few_pairs(spark):
@@ -233,5 +245,6 @@ def test_rosenbaum_direction_and_few_pairs(spark):
     upper = rosenbaum_bounds(signed_rank_totals(pairs, {"m": "d"})).orderBy("gamma").first()
     assert upper["upper_p"] == 1.0
     own = rosenbaum_bounds(signed_rank_totals(pairs, {"m": "d"}, direction={"m": -1})).orderBy("gamma").first()
-    assert own["upper_p"] == pytest.approx(brute_rosenbaum(-d, [1.0])[0], rel=1e-9)
+    mirrored = rosenbaum_bounds(signed_rank_totals(pairs.withColumn("d", -F.col("d")), {"m": "d"}))
+    assert own["upper_p"] == pytest.approx(mirrored.orderBy("gamma").first()["upper_p"], rel=1e-9)
     assert rosenbaum_bounds(signed_rank_totals(pairs, {"m": "few"})).count() == 0

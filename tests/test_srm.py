@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from fairsplit import StatisticsError, srm_check
+from fairsplit.operators.srm import srm_from_counts
 
 
 def test_fair_split_passes(balanced):
@@ -46,8 +48,8 @@ def test_numeric_labels_compare_as_text(spark):
 
 
 @pytest.mark.parametrize("ratio, message", [
-    ({"a": 0.3, "b": 0.3}, "sum to 1"), ({"a": 0.5, "z": 0.5}, "not the observed arms"),
-    ({"a": 0.5, "b": 0.25, "c": 0.25}, "not the observed arms")])
+    ({"a": 0.3, "b": 0.3}, "instead of 1"), ({"a": 0.5, "z": 0.5}, "other arms were observed"),
+    ({"a": 0.5, "b": 0.25, "c": 0.25}, "other arms were observed")])
 def test_bad_plans(spark, ratio, message):
     rows = spark.createDataFrame([("a",)] * 100 + [("b",)] * 100, "variant string")
     with pytest.raises(StatisticsError, match=message):
@@ -60,15 +62,15 @@ def test_absent_column(spark):
 
 
 def test_single_level_and_no_level(spark):
-    with pytest.raises(StatisticsError, match="fewer than 2 levels"):
+    with pytest.raises(StatisticsError, match="single arm"):
         srm_check(spark.createDataFrame([("a",)] * 100, "variant string"), "variant")
-    with pytest.raises(StatisticsError, match="fewer than 2 levels"):
+    with pytest.raises(StatisticsError, match="no arm"):
         srm_check(spark.createDataFrame([(None,)] * 100, "variant string"), "variant")
 
 
 def test_small_cells(spark):
     rows = spark.createDataFrame([("a",)] * 2 + [("b",)] * 3, "variant string")
-    with pytest.raises(StatisticsError, match="Expected counts below 5"):
+    with pytest.raises(StatisticsError, match="fewer than 5 rows"):
         srm_check(rows, "variant")
 
 
@@ -79,6 +81,21 @@ def test_fleet_reports_issues_per_experiment(spark):
     tables = srm_check(rows, "variant", by=["experiment"], on_issue="keep")
     found = {r["experiment"]: r for r in tables.summary.collect()}
     assert found["x"]["chi2"] == pytest.approx(4.0)
-    assert "fewer than 2" in found["y"]["issue"] and found["y"]["p_value"] is None
+    assert "single arm" in found["y"]["issue"] and found["y"]["p_value"] is None
     assert found[None]["chi2"] == 0
     assert tables.levels.count() == 5
+
+
+def test_many_arms_keep_a_p_value(spark):
+    """One overfilled arm among 1,501 is found; the statistic is far beyond what an exponential can hold."""
+    counts = spark.range(1501).select(F.col("id").cast("string").alias("level"),
+                                      F.when(F.col("id") == 7, 200_000).otherwise(10_000).alias("observed"))
+    row = srm_from_counts(counts, "arm").summary.first()
+    assert row["srm_detected"] and row["p_value"] == 0 and row["issue"] is None
+    assert row["split"].endswith("and 1493 more")
+
+
+def test_split_is_named(spark):
+    rows = spark.createDataFrame([("a",)] * 300 + [("b",)] * 100, "variant string")
+    row = srm_check(rows, "variant", {"a": 0.5, "b": 0.5}).summary.first()
+    assert row["split"] == "a 0.7500 (planned 0.5000), b 0.2500 (planned 0.5000)"

@@ -63,3 +63,10 @@ def test_missing_stays_missing(spark):
     out = [r[0] for r in rows.select(tails.chi2_sf("x", "k")).collect()]
     assert out[0] == pytest.approx(0.31731050786)
     assert out[1] is None
+
+
+@pytest.mark.parametrize("x, df, low, high", [
+    (1e10, 78, 0, 0), (1e8, 100, 0, 0), (1e6, 150, 0, 0), (1500, 1500, 0.49, 0.5), (1490, 1490, 0.49, 0.5),
+    (1501, 1501, 0.49, 0.5), (0, 4, 1, 1), (1e-12, 2000, 1, 1), (1e4, 10_001, 0.49, 0.51)])
+def test_chi_square_tail_of_large_arguments(x, df, low, high):
+    assert low <= tails.chi2_tail(x, df) <= high

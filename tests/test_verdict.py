@@ -33,6 +33,13 @@ def test_rules(spark, detected, p, psm, verdict, rule):
     assert len(row["reasons"]) == 1 and row["reasons"][0]
 
 
+def test_an_unknown_split_never_passes(spark):
+    tests = spark.createDataFrame([("m", 0.001, None, "t", None)], METRIC)
+    srm = spark.createDataFrame([(None, None, 0.001)], SRM)
+    row = decide_verdict(srm, tests, None, "m").first()
+    assert (row["verdict"], row["rule"]) == (v.UNKNOWN_SPLIT, 0)
+
+
 def test_adjusted_p_decides(spark):
     srm = spark.createDataFrame([(False, 0.5, 0.001)], SRM)
     tests = spark.createDataFrame([("m", 0.01, 0.06, "t", "Bonferroni")], METRIC)
@@ -51,7 +58,7 @@ def test_clean_experiment_is_safe(balanced):
 def test_uneven_split_is_compromised_but_everything_is_computed(uneven):
     tables = analyze(uneven, covariates=["tier"], bootstrap_samples=20)
     row = tables["verdict"].first()
-    assert row["verdict"] == v.COMPROMISED and "SRM" in row["reasons"][0]
+    assert row["verdict"] == v.COMPROMISED and "not split as planned" in row["reasons"][0]
     assert tables["psm"].count() == 1 and tables["metric_tests"].count() == 1
 
 
@@ -90,7 +97,7 @@ def test_numeric_arm_labels(balanced):
 
 
 def test_bad_calls(balanced):
-    with pytest.raises(StatisticsError, match="sum to 1"):
+    with pytest.raises(StatisticsError, match="instead of 1"):
         analyze(balanced, expected_ratio={"control": 0.2, "treatment": 0.2})
     with pytest.raises(RoutingError, match="CUPED"):
         analyze(balanced, cuped="absent")
