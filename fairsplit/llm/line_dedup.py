@@ -1,13 +1,15 @@
 """Fuzzy line deduplication by MinHash, as DataFrame operations only.
 
 A line is lower-cased and trimmed; its shingles are the runs of ``SHINGLE``
-characters. One hash per shingle is enough for all bands: the sorted hashes lie
-on a circle, and a band is the ``ROWS`` next ones after one of ``BANDS`` fixed
-points, which is the minimum under a shifted order, then the second, and so on.
-Lines that share a band are tied to the smallest and the largest line of that
-band (never to all others), each tie is confirmed by the exact Jaccard
-similarity of the shingle sets, and of every component of confirmed ties one
-line stays: the first by document and place.
+characters. The signature is taken from the shingles that begin a word or follow
+a rare letter, a digit or a character beyond ASCII: a choice that depends on the
+text around them only, so lines that share shingles share these as well. One hash
+per shingle is enough for all bands: the sorted hashes lie on a circle, and a band
+is the ``ROWS`` next ones after one of ``BANDS`` fixed points, which is the minimum
+under a shifted order, then the second, and so on. Lines that share a band are tied
+to the smallest and the largest line of that band (never to all others), each tie is confirmed by
+the exact Jaccard similarity of the sets of all shingles, and of every component of
+confirmed ties one line stays: the first by document and place.
 
 Equal lines are one node from the start; every aggregate combines map-side, so a
 line, or a family of lines, with a third of all rows costs a row per task. Lines
@@ -33,7 +35,7 @@ _POINTS = [((j << 64) // BANDS & ~_LOW_BITS) - (1 << 63) for j in range(BANDS)]
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+    return F.lower(F.btrim(line, F.lit(" \t\r\f\v")))
 
 
 def _runs(chunk: Column, width: int, step: int) -> Column:
@@ -56,22 +58,35 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(pieces, hashes)))
 
 
+#: A signature shingle, then the rest of its word with the character that ends it: the next one begins there.
+_SIGNED = f"(?s)(?=(.{{{SHINGLE}}}))[a-wy]*+(?:[^a-wy]|\\z)"
+
+
 def circle(line: Column) -> Column:
-    """Sorted hashes and band points, with the beginning repeated at the end."""
-    return F.sort_array(F.concat(shingles(line), F.array(*(F.lit(p) for p in _POINTS))))
+    """Sorted distinct hashes of the signature shingles, and the band points among them."""
+    found = F.regexp_extract_all(line, F.lit(_SIGNED), F.lit(1))
+    hashes = F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
+    some = F.when(F.size(hashes) > 0, hashes).otherwise(F.array(F.xxhash64(line)))
+    return F.sort_array(F.concat(some, F.array(*(F.lit(p) for p in _POINTS))))
 
 
-def band_keys(ring: Column) -> Column:
-    """One key per band point: the next ``ROWS`` hashes on the circle."""
+def band_keys(lines: DataFrame, line: str) -> DataFrame:
+    """The other columns, and ``keys``: one per band point, of the next ``ROWS`` hashes on the circle.
+
+    The beginning of the circle is repeated at its end. Each step is a column, so that none is computed
+    once per band.
+    """
+    rest = [c for c in lines.columns if c != line]
     reach = ROWS + BANDS
-    whole = F.concat(ring, F.slice(ring, 1, reach))
+    ring = lines.select(*rest, circle(F.col(line)).alias("_ring"))
+    ring = ring.select(*rest, F.concat("_ring", F.slice("_ring", 1, reach)).alias("_ring"))
 
     def key(point: Column) -> Column:
-        ahead = F.slice(whole, F.array_position(ring, point).cast("int") + 1, F.lit(reach))
+        ahead = F.slice("_ring", F.array_position("_ring", point).cast("int") + 1, F.lit(reach))
         real = F.filter(ahead, lambda x: x.bitwiseAND(F.lit(_LOW_BITS)) != 0)
         return F.xxhash64(point, F.slice(real, 1, ROWS))
 
-    return F.transform(F.array(*(F.lit(p) for p in _POINTS)), key)
+    return ring.select(*rest, F.transform(F.array(*(F.lit(p) for p in _POINTS)), key).alias("keys"))
 
 
 def attached(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -89,8 +104,7 @@ def lines_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def similar_lines(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``node`` and ``component`` of lines that are tied to a smaller one; nodes are hashes of the line."""
-    keyed = (lines.select(F.xxhash64("line").alias("node"), circle(F.col("line")).alias("ring"))
-             .select("node", band_keys(F.col("ring")).alias("keys")))
+    keyed = band_keys(lines.select(F.xxhash64("line").alias("node"), "line"), "line")
     # Equal lines have equal keys: one row per line, by columns so that the aggregate combines map-side.
     names = [f"k{i}" for i in range(BANDS)]
     nodes = stored(keyed.select("node", *(F.col("keys")[i].alias(n) for i, n in enumerate(names)))

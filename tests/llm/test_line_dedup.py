@@ -12,7 +12,7 @@ from llm_documents import prose, table
 
 
 def brute(rows, size=line_dedup.SHINGLE):
-    lines = [(i, j, re.sub(r"\s+", " ", line).strip(" ").lower())
+    lines = [(i, j, line.strip(" \t\r\f\v").lower())
              for i, text in rows for j, line in enumerate((text or "").split("\n"))]
     lines = [x for x in lines if x[2]]
     sets = {x[2]: frozenset(x[2][k:k + size] for k in range(max(1, len(x[2]) - size + 1))) for x in lines}
