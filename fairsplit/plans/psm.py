@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import StatisticsError
-from ..functions.columns import as_double, label, present, quoted, require_columns, require_metrics
+from ..functions.columns import as_double, field_type, label, present, quoted, require_columns, require_metrics
 from ..operators.design import (MAX_LEVELS, ArmStats, Covariates, complete_cases, feature_stats,
                                 find_levels, is_categorical, pooled_scale, rough_levels)
 from ..operators.effects import (GAMMA_GRID, balance, bootstrap_effects, bootstrap_summary,
@@ -75,8 +75,8 @@ def propensity_score_match(
 
     The complete cases are stored once, narrow. Metrics without missing values
     among them share one model and one match; any other metric is matched on
-    its own complete cases. ``row_id`` names a unique whole-number column that
-    settles ties between controls; without it row numbers are drawn when the
+    its own complete cases. ``row_id`` names a unique column that
+    settles ties between controls (text is compared as text); without it row numbers are drawn when the
     complete cases are stored. ``direction="auto"`` bounds a negative effect in
     its own direction instead of always testing the upper tail.
     """
@@ -89,7 +89,9 @@ def propensity_score_match(
     require_metrics(df, metrics)
 
     row_id = row_id or (UNIT if UNIT in df.columns else None)
-    unit = F.col(quoted(row_id)).cast("bigint") if row_id else F.monotonically_increasing_id()
+    unit = F.col(quoted(row_id)) if row_id else F.monotonically_increasing_id()
+    if row_id and isinstance(field_type(df, row_id), T.IntegralType):
+        unit = unit.cast("bigint")
     complete = complete_cases(df, variant_column, control_label, treatment_label, covariates)
     columns = {name: f"x{i}" for i, name in enumerate(covariates)}
     outcomes = {m: f"y{i}" for i, m in enumerate(metrics)}
@@ -100,6 +102,10 @@ def propensity_score_match(
         *[as_double(df, m).alias(y) for m, y in outcomes.items()],
     ), "complete_cases")
 
+    if row_id:
+        twice = stored.groupBy(UNIT).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+        if twice is not None:
+            raise StatisticsError(f"'{row_id}' does not tell units apart: {twice[UNIT]!r} has {twice['n']} rows.")
     rough = rough_levels(stored, list(columns.values()))
     filled = stored.agg(F.count(F.lit(1)).alias("n"),
                         *[F.count(y).alias(y) for y in outcomes.values()],

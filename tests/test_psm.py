@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -141,3 +142,21 @@ def test_standardise_uses_the_population_deviation(spark):
     x = np.array([1.0, 2.0, 6.0])
     assert np.allclose(np.sort(got["x"]), (x - x.mean()) / x.std())
     assert (got["c"] == 0).all()
+
+
+def test_text_ids_match_like_numbers_and_repeats_are_refused(confounded):
+    options = dict(bootstrap_samples=40)
+    text = confounded.withColumn("name", F.format_string("u%09d", "user_id"))
+    one = propensity_score_match(text, "revenue", *ARMS, ["pre_value"], row_id="user_id", **options).result.first()
+    two = propensity_score_match(text.repartition(7), "revenue", *ARMS, ["pre_value"], row_id="name",
+                                 **options).result.first()
+    assert (one["psm_att"], one["n_matched_pairs"]) == (pytest.approx(two["psm_att"], rel=1e-9), two["n_matched_pairs"])
+    with pytest.raises(StatisticsError, match="tell units apart"):
+        propensity_score_match(text.withColumn("name", F.lit("same")), "revenue", *ARMS, ["pre_value"], row_id="name")
+
+
+def test_a_finished_match_leaves_no_folder(spark, confounded):
+    from fairsplit.plans.storage import scratch_root
+    before = set(os.listdir(scratch_root(spark))) if os.path.isdir(scratch_root(spark)) else set()
+    t = propensity_score_match(confounded, "revenue", *ARMS, ["pre_value"], bootstrap_samples=20)
+    assert set(os.listdir(scratch_root(spark))) == before and t.result.count() == 1
