@@ -69,7 +69,7 @@ def strength(level: DataFrame) -> float:
     """Pseudo-count that ties groups to their parent's rate, from the spread of their rates.
 
     ``level`` has ``n``, ``bad`` and ``mean`` (the parent's rate). Moments of the beta-binomial give the
-    correlation of outcomes within a group; it is kept between 0.001 and 0.9.
+    correlation of outcomes within a group; it is kept between 0.001 and 0.5, so the level above counts as one page at least.
     """
     p = F.col("bad") / F.col("n")
     row = level.where("n > 0").agg(
@@ -79,7 +79,7 @@ def strength(level: DataFrame) -> float:
         return 1.0
     room = row.n - row.squares / row.n - (row.k - 1)
     rho = (row.spread - (row.k - 1)) / room if room > 0 else 0.0
-    rho = min(0.9, max(0.001, rho))
+    rho = min(0.5, max(0.001, rho))
     return 1 / rho - 1
 
 
@@ -119,7 +119,8 @@ def labelled_outcomes(pages: DataFrame, labels: DataFrame, url: str = "url") ->
     labels say low quality or toxic in any row. A label that is null in both columns is none.
     """
     host, path = host_and_path(F.col(url))
-    number = F.expr(r"try_cast(nullif(regexp_extract(_path, '/([0-9]+)[^/]*/?\z', 1), '') as bigint)")
+    number = F.regexp_extract("_path", r"/([0-9]+)[^/]*/?\z", 1)
+    number = F.when(number != "", number).try_cast("bigint")
     named = pages.select(host.alias("host"), path.alias("_path")).select("host", number.alias("doc_id"))
     bad = F.max(F.coalesce((F.col("quality") == 0).cast("int"), F.lit(0))
                 + F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0))) > 0
@@ -165,7 +166,7 @@ def oracle_sql(rules=RULES, bound: Bound = Bound()) -> str:
     def level(name: str, keys: str, source: str) -> str:
         return f"""
 {name}_s AS (SELECT CASE WHEN n IS NULL OR spread IS NULL THEN 1.0 ELSE
-    1 / least(0.9, greatest(0.001, CASE WHEN n - squares / n - (k - 1) > 0
+    1 / least(0.5, greatest(0.001, CASE WHEN n - squares / n - (k - 1) > 0
         THEN (spread - (k - 1)) / (n - squares / n - (k - 1)) ELSE 0 END)) - 1 END AS s
   FROM (SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(n * n)::DOUBLE AS squares,
           sum(n * (bad / n - mean) ** 2 / (mean * (1 - mean))) AS spread FROM {source} WHERE n > 0)),

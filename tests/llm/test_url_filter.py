@@ -42,7 +42,7 @@ def test_hosts_paths_and_rules(spark):
 def test_bad_hosts_are_blocked(spark):
     """Many bad pages block a host, a few are shrunk towards the others of its domain and suffix."""
     urls, marks = [], []
-    for host, n, bad in (("bad.a.com", 60, 60), ("good.a.com", 60, 2), ("few.b.com", 2, 2), ("far.c.io", 80, 4),
+    for host, n, bad in (("bad.a.com", 60, 60), ("good.a.com", 60, 2), ("few.b.com", 1, 1), ("far.c.io", 80, 4),
                          ("unseen.d.io", 0, 0)):
         for i in range(max(1, n)):
             number = len(urls)
