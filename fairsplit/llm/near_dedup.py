@@ -7,7 +7,7 @@ by id, so that even a third of all rows with one label is dealt evenly), and a
 row's candidates are its neighbours by longest common prefix. The depth adapts
 to the region: where more than ``REGION`` rows share a prefix, one more minimum
 is asked for, and so on; the nearest ``NEAREST`` neighbours are candidates at
-any depth. A small sketch discards candidates that are far from the threshold.
+any depth, and so are the two rows at the centre of a larger region. A small sketch discards candidates that are far from the threshold.
 
 Links are confirmed on full shingle sets. Documents stream in order of their
 candidate group, with a window of sets in memory and a union-find that skips
@@ -32,7 +32,7 @@ from .components import components
 SHINGLE = 2
 ORDERS, DEPTH = 20, 8
 START_DEPTH = 4
-REGION, NEAREST = 12, 2
+REGION, NEAREST = 12, 1
 SKETCH = 64
 #: Share of equal sketch bytes below which a pair is dropped: five standard deviations under 0.8.
 SKETCH_FLOOR = 0.55
@@ -104,18 +104,38 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_shingles", "print", "sketch", "labels"])
 
 
-def _neighbours(orders: np.ndarray, labels: np.ndarray, old: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of sorted rows; only pairs whose later row is at least ``old``."""
+def _centres(sketches: np.ndarray) -> np.ndarray:
+    """The two rows that agree best with the most frequent value of each sketch byte."""
+    common = np.array([np.bincount(column, minlength=256).argmax() for column in sketches.T])
+    return np.argsort(-(sketches == common).sum(axis=1), kind="stable")[:2]
+
+
+def _neighbours(orders: np.ndarray, labels: np.ndarray, sketches: np.ndarray,
+                old: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of sorted rows; of neighbours, only pairs whose later row is at least ``old``.
+
+    In a region of more than REGION rows every row is also paired with the region's centres, at each depth:
+    edited copies may be alike to their original only.
+    """
     n = len(labels)
     same = np.zeros(n, np.int8)
     if n > 1:
         equal = (labels[1:] == labels[:-1]) & (orders[1:] == orders[:-1])[:, None]
         same[1:] = np.minimum.accumulate(equal, axis=1).sum(axis=1)
     need = np.full(n, DEPTH + 1, np.int8)
+    left, right = [], []
     for depth in range(DEPTH, START_DEPTH - 1, -1):
         run = np.cumsum(same < depth)
-        need[np.bincount(run)[run] <= REGION] = depth
-    shared, left, right = np.full(n, DEPTH, np.int8), [], []
+        run -= run[0]
+        sizes = np.bincount(run)
+        need[sizes[run] <= REGION] = depth
+        starts = np.cumsum(sizes) - sizes
+        for start, size in zip(starts[sizes > REGION].tolist(), sizes[sizes > REGION].tolist()):
+            for centre in (start + _centres(sketches[start:start + size])).tolist():
+                others = np.arange(start, start + size)
+                left.append(np.minimum(others, centre)[others != centre])
+                right.append(np.maximum(others, centre)[others != centre])
+    shared = np.full(n, DEPTH, np.int8)
     for step in range(1, min(REGION, n)):
         shared = np.minimum(shared[:-1], same[step:])
         wanted = (shared >= need[:n - step]) | ((shared >= START_DEPTH) if step <= NEAREST else False)
@@ -155,7 +175,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = np.concatenate((orders, new["tree"].to_numpy()))
         labels = np.concatenate((labels, np.frombuffer(b"".join(new["label"].to_pylist()), ">u2").reshape(-1, DEPTH)))
         sketches = np.concatenate((sketches, np.frombuffer(b"".join(new["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)))
-        left, right = _neighbours(orders, labels, old)
+        left, right = _neighbours(orders, labels, sketches, old)
         for start in range(0, len(left), 65_536):
             i, j = left[start:start + 65_536], right[start:start + 65_536]
             score = (sketches[i] == sketches[j]).mean(axis=1)
