@@ -37,13 +37,18 @@ LENGTH, GRAM = 50, 24
 SPREAD = LENGTH - GRAM + 1
 WIDTH = 80
 #: Bytes of one chunk (one document at least), and passages that are hashed at once.
-CHUNK_BYTES, SLAB = 2_000_000, 1_000_000
+CHUNK_BYTES, SLAB = 2_000_000, 500_000
 #: Leading tokens that the splitters are taken from, and passages sorted at once.
-SPLITTER_SAMPLE, SORT_ROWS = 20_000, 400_000
+SPLITTER_SAMPLE, SORT_ROWS = 20_000, 200_000
 _RANDOM = np.random.default_rng(50)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 20) - 1)
+PACK_LEVEL = 6
+
+
+def _packed_bytes(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=PACK_LEVEL).compress(data, asbytes=True) if data else b""
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -178,7 +183,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = (number, len(data), np.array([i or 0 for i in ids], np.int64).tobytes(),
                np.array([i is not None for i in ids]).tobytes(),
                np.cumsum([len(t) for t in texts], dtype=np.int64).tobytes(),
-               pa.compress(data, codec="zstd", asbytes=True) if data else b"")
+               _packed_bytes(data))
         return pa.RecordBatch.from_arrays(
             [pa.array([x], pa.int64() if i < 2 else pa.binary()) for i, x in enumerate(out)],
             names=[f.split()[0] for f in PACKED.split(", ")])
@@ -252,7 +257,8 @@ def _joined(parts: list[bytes]) -> np.ndarray:
     return np.sort(np.frombuffer(b"".join(parts), "<u8").astype(np.uint64))
 
 
-SENT = "bucket int, chunk long, count int, rows binary, least binary"
+#: Of a token, 32 bits go along: equal ones still meet, and others that meet by chance differ in their bytes.
+SENT = "bucket int, chunk long, count int, tokens binary, rows binary, least binary"
 
 
 def _send(splitters: np.ndarray):
@@ -265,13 +271,13 @@ def _send(splitters: np.ndarray):
                 out = []
                 for start, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
                     out.append((int(bucket[start]), r["chunk"], end - start,
-                                pa.compress(sent.rows[start:end].tobytes(), codec="zstd", asbytes=True),
-                                sent.least[start:end].tobytes()))
+                                sent.tokens[start:end].astype("<u4").tobytes(),
+                                _packed_bytes(sent.rows[start:end, 8:].tobytes()), sent.least[start:end].tobytes()))
                 if out:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary(),
-                                                                    pa.binary()))],
-                        names=["bucket", "chunk", "count", "rows", "least"])
+                        [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(),
+                                                                    *[pa.binary()] * 3))],
+                        names=["bucket", "chunk", "count", "tokens", "rows", "least"])
     return run
 
 
@@ -318,8 +324,14 @@ def earlier(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 def _sort_bucket(table: pa.Table) -> pa.Table:
     parts = table.to_pylist()
-    rows = np.concatenate([np.frombuffer(pa.decompress(r["rows"], r["count"] * (WIDTH + 8), codec="zstd"), np.uint8)
-                           .reshape(-1, WIDTH + 8) for r in parts])
+    rows = np.zeros((sum(r["count"] for r in parts), WIDTH + 8), np.uint8)
+    start = 0
+    for r in parts:
+        part = slice(start, start + r["count"])
+        rows[part, 4:8] = np.frombuffer(r["tokens"], "<u4").astype(">u4").view(np.uint8).reshape(-1, 4)
+        rows[part, 8:] = np.frombuffer(pa.decompress(r["rows"], r["count"] * WIDTH, codec="zstd"), np.uint8).reshape(
+            -1, WIDTH)
+        start += r["count"]
     least = np.concatenate([np.frombuffer(r["least"], np.int64) for r in parts])
     bits = earlier(rows, least)
     cuts = np.cumsum([r["count"] for r in parts])[:-1]
