@@ -31,7 +31,7 @@ from .common import stored, text_groups
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a worker remembers (some 200 bytes each), and their greatest length.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
+CACHE_WORDS, CACHE_CHARS = 1_600_000, 64
 #: Lengths, most frequent first, that combinations of three are formed from.
 TRIPLE_LENGTHS = 48
 NNLS_STEPS = 400
