@@ -127,7 +127,7 @@ def sample(learning: DataFrame, id_column: str, text: str, label: str,
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_groups(batches, "text"):
-            got = [features(x.decode()) for x in texts]
+            got = [features((x or b"").decode()) for x in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), batch.column("c"),
                  pa.array([a.astype("<i4").tobytes() for a, _ in got], pa.binary()),
