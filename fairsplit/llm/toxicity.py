@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_groups
+from .common import stored, text_groups
 
 BUCKETS = 1 << 20
 #: A bucket is one feature for each of these numbers of distinct words that it occurs in.
@@ -31,6 +31,8 @@ FEATURES = 4096
 #: A run is a feature if this many positives hold it at least (number, share of all), its standard score
 #: is high, and the class prior makes a document with it alone this likely to be toxic.
 LEAST_POSITIVES, LEAST_SHARE, LEAST_SCORE, LEAST_POSTERIOR = 4, 0.01, 6.0, 0.3
+#: Ids of positives are broadcast if they were counted and are at most so many.
+BROADCAST_ROWS = 1_000_000
 #: Rows of the sample at most.
 POSITIVES, UNLABELLED = 4000, 12000
 _ALNUM = np.fromiter((chr(i).isalnum() for i in range(0x10000)), bool, 0x10000)
@@ -100,37 +102,45 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def association(rows: DataFrame, prior: float) -> tuple[dict[int, float], int, int]:
-    """Standard scores of the buckets that go with the positives, and how many positives and rows there are.
+def _counted(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+    """``bucket`` and ``n``: in how many of the rows each feature (of ``wanted``, if given) occurs; their own number
+    is at bucket TOTAL. A task adds up all its rows."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(TOTAL + 1, np.int64)
+        for _, texts in text_groups(batches, "text"):
+            for text in texts:
+                seen[levels(*runs((text or b"").decode()))] += 1
+                seen[TOTAL] += 1
+        at = np.flatnonzero(seen if wanted is None else seen * np.append(wanted, True))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], names=["bucket", "n"])
+
+    return rows.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def association(rows: DataFrame, positives: DataFrame, prior: float) -> tuple[dict[int, float], int, int]:
+    """Standard scores of the features that go with the positives, and how many positives and rows there are.
 
-    ``rows`` has ``text`` and ``positive``. Counts are summed by bucket over all rows; at most
-    ``FEATURES`` buckets reach the driver.
+    The positives are counted first; then all rows, but only for features that enough positives have. At most
+    TOTAL numbers (its size is fixed) reach the driver.
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        among, everywhere = np.zeros(TOTAL + 1, np.int64), np.zeros(TOTAL + 1, np.int64)
-        for batch, texts in text_groups(batches, "text"):
-            for text, positive in zip(texts, batch.column("positive").to_pylist()):
-                at = np.append(levels(*runs((text or b"").decode())), TOTAL)
-                everywhere[at] += 1
-                if positive:
-                    among[at] += 1
-        at = np.flatnonzero(everywhere)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(among[at]), pa.array(everywhere[at])],
-                                         names=["bucket", "p", "u"])
-
-    counted = rows.mapInArrow(count, "bucket int, p long, u long").groupBy("bucket").agg(
-        F.sum("p").alias("p"), F.sum("u").alias("u"))
-    total = counted.where(F.col("bucket") == TOTAL).first()
-    if total is None or not total.p:
-        return {}, 0, total.u if total else 0
-    share = F.col("u") / total.u
-    score = (F.col("p") / total.p - share) / F.sqrt(share * (1 - share) / total.p + 1e-12)
-    least = max(LEAST_POSITIVES, LEAST_SHARE * total.p)
-    best = (counted.where((F.col("bucket") < TOTAL) & (F.col("p") >= least))
-            .where(prior * F.col("p") / total.p >= LEAST_POSTERIOR * share)
-            .select("bucket", score.alias("score")).where(F.col("score") >= LEAST_SCORE)
-            .orderBy(F.desc("score"), "bucket").limit(FEATURES).collect())
-    return {r.bucket: r.score for r in best}, total.p, total.u
+    first = _counted(positives, None)
+    n_positive = (first.where(F.col("bucket") == TOTAL).first() or {"n": 0})["n"]
+    if not n_positive:
+        return {}, 0, 0
+    least = max(LEAST_POSITIVES, LEAST_SHARE * n_positive)
+    among = {r["bucket"]: r["n"] for r in first.where((F.col("n") >= least) & (F.col("bucket") < TOTAL)).collect()}
+    wanted = np.zeros(TOTAL, bool)
+    wanted[list(among)] = True
+    everywhere = {r["bucket"]: r["n"] for r in _counted(rows, wanted).collect()}
+    n_rows = everywhere.pop(TOTAL)
+    scores = {}
+    for bucket, n in everywhere.items():
+        share, own = n / n_rows, among[bucket] / n_positive
+        score = (own - share) / (share * (1 - share) / n_positive + 1e-12) ** 0.5
+        if prior * own >= LEAST_POSTERIOR * share and score >= LEAST_SCORE:
+            scores[bucket] = score
+    best = sorted(scores, key=lambda b: (-scores[b], b))[:FEATURES]
+    return {b: scores[b] for b in best}, n_positive, n_rows
 
 
 def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, steps: int = 600,
@@ -167,12 +177,15 @@ def learn(docs: DataFrame, labels: DataFrame, learning: Column, id_column: str =
     """
     judged = labels.where(learning & F.col(toxic).isNotNull() & F.col(id_column).isNotNull()).groupBy(
         id_column).agg(F.max(toxic).alias("_toxic"))
-    rows = (docs.select(F.col(id_column), F.col(text).alias("text")).where(learning)
-            .join(judged, id_column, "left")
-            .select(id_column, "text", (F.coalesce("_toxic", F.lit(0)) == 1).alias("positive"), "_toxic"))
     share = judged.agg(F.avg((F.col("_toxic") == 1).cast("double")).alias("p")).first().p or 0.0
     prior = min(0.9, max(1e-4, share))
-    scores, n_positive, n_rows = association(rows.select("text", "positive"), prior)
+    toxic_ids = stored(judged.where("_toxic = 1").select(id_column, F.lit(True).alias("_marked")), "toxic-ids")
+    # Texts are shuffled only if there are too many positives to send their ids to every task.
+    few = toxic_ids.count() <= BROADCAST_ROWS
+    rows = (docs.select(F.col(id_column), F.col(text).alias("text")).where(learning)
+            .join(F.broadcast(toxic_ids) if few else toxic_ids, id_column, "left")
+            .select(id_column, "text", F.coalesce("_marked", F.lit(False)).alias("positive")))
+    scores, n_positive, n_rows = association(rows, rows.where("positive"), prior)
     number = np.full(TOTAL + 1, -1, np.int32)
     number[list(scores)] = np.arange(len(scores))
     if not scores:
