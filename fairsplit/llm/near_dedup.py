@@ -12,6 +12,11 @@ any depth, and so are the two rows at the centre of a larger region. A small ske
 Links are confirmed on full shingle sets. Documents stream in order of their
 candidate group, with a window of sets in memory and a union-find that skips
 links between documents that are tied already; what the window misses is joined.
+
+These candidates tie most of a large region, but not all of it. So every row that
+shares ``START_DEPTH`` minima with more than ``REGION`` rows in any order is crowded,
+and crowded rows that are not tied yet are joined exactly: a pair at the threshold
+shares one of its rarest shingles, a number of them that its sizes determine.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ SKETCH = 64
 #: Share of equal sketch bytes below which a pair is dropped: five standard deviations under 0.8.
 SKETCH_FLOOR = 0.55
 WINDOW_BYTES = 96_000_000
+#: Shingles of crowded documents are counted by this many hash values; the counts set an order only.
+COUNTERS = 1 << 18
 #: Fixed: A-Z become a-z; the white space that separates words.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, bool)
@@ -111,11 +118,11 @@ def _centres(sketches: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(orders: np.ndarray, labels: np.ndarray, sketches: np.ndarray,
-                old: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of sorted rows; of neighbours, only pairs whose later row is at least ``old``.
+                old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of sorted rows, and the crowded rows; of neighbours, only pairs whose later row is at least ``old``.
 
     In a region of more than REGION rows every row is also paired with the region's centres, at each depth:
-    edited copies may be alike to their original only.
+    edited copies may be alike to their original only. Rows that are not crowded have all pairs of their region.
     """
     n = len(labels)
     same = np.zeros(n, np.int8)
@@ -144,13 +151,17 @@ def _neighbours(orders: np.ndarray, labels: np.ndarray, sketches: np.ndarray,
         left.append(at)
         right.append(at + step)
     none = np.empty(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    crowded = np.flatnonzero(need > START_DEPTH)
+    return (np.concatenate(left), np.concatenate(right), crowded) if left else (none, none, crowded)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs among sorted rows, and the rows at both ends of the partition (``kind`` 1) for the next level."""
+    """Pairs among sorted rows, crowded rows (``kind`` 2), and those at both ends of the partition (1) for the next level.
+
+    REGION rows are carried over, so that a region beyond the limit is seen to be so on both sides of a cut.
+    """
     part = TaskContext.get().partitionId()
-    keep = REGION - 1
+    keep = REGION
     ids, orders = np.empty(0, np.int64), np.empty(0, np.int32)
     labels, sketches = np.empty((0, DEPTH), ">u2"), np.empty((0, SKETCH), np.uint8)
     waiting: list[pa.RecordBatch] = []
@@ -175,7 +186,9 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = np.concatenate((orders, new["tree"].to_numpy()))
         labels = np.concatenate((labels, np.frombuffer(b"".join(new["label"].to_pylist()), ">u2").reshape(-1, DEPTH)))
         sketches = np.concatenate((sketches, np.frombuffer(b"".join(new["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)))
-        left, right = _neighbours(orders, labels, sketches, old)
+        left, right, crowded = _neighbours(orders, labels, sketches, old)
+        blank = [None] * len(crowded)
+        yield rows(2, ids[crowded], blank, blank, blank, blank, blank)
         for start in range(0, len(left), 65_536):
             i, j = left[start:start + 65_536], right[start:start + 65_536]
             score = (sketches[i] == sketches[j]).mean(axis=1)
@@ -208,27 +221,30 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FOREST = "kind int, doc_id long, tree int, label binary, sketch binary, b long, score float"
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b) with the share of equal sketch bytes.
+def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b) with the share of equal sketch bytes; ``doc_id`` of the crowded rows.
 
     Rows at the ends of the range partitions go through the same step again, in ever fewer partitions,
     so that no neighbourhood is cut.
     """
     spark = signed.sparkSession
     level = signed.select("doc_id", F.posexplode("labels").alias("tree", "label"), "sketch")
-    parts, pairs = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), None
+    parts, pairs, crowd = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), None, None
     while True:
         order = ["tree", "label", "doc_id"]
         found = stored((level.repartitionByRange(parts, *order) if parts > 1 else level.coalesce(1))
                        .sortWithinPartitions(*order).mapInArrow(_forest, FOREST), "forest")
         own = found.where("kind = 0").select(F.col("doc_id").alias("a"), "b", "score")
         pairs = own if pairs is None else pairs.unionAll(own)
+        full = found.where("kind = 2").select("doc_id")
+        crowd = full if crowd is None else crowd.unionAll(full)
         if parts == 1:
             break
         level = found.where("kind = 1").select("doc_id", "tree", "label", "sketch")
         parts //= 64
         parts = max(1, parts)
-    return stored(pairs.groupBy("a", "b").agg(F.max("score").alias("score")), "candidates")
+    return (stored(pairs.groupBy("a", "b").agg(F.max("score").alias("score")), "candidates"),
+            stored(crowd.distinct(), "crowd"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,23 +332,71 @@ def tied_documents(links: DataFrame) -> DataFrame:
     return components(links.select("a", "b").mapInArrow(_tied_within, "a long, b long"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Node and component after confirming candidate pairs on full shingle sets."""
-    nodes = pairs.select(F.explode(F.array(
-        F.struct(F.col("a").alias("doc_id"), F.col("b").alias("p"), "score"),
-        F.struct(F.col("b").alias("doc_id"), F.col("a").alias("p"), "score"))).alias("x")).select("x.*")
-    # Documents are ordered by the least of their neighbours' least neighbours: most groups are then in one place.
-    near = stored(nodes.groupBy("doc_id").agg(F.collect_list(F.struct("p", "score")).alias("edges"), F.least(
-        F.first("doc_id"), F.min("p")).alias("near")), "neighbours")
-    place = (near.select(F.explode("edges.p").alias("doc_id"), "near").groupBy("doc_id")
-             .agg(F.min("near").alias("place")))
-    wanted = near.join(place.hint("merge"), "doc_id").select("doc_id", "edges", F.least("near", "place").alias("place"))
-    sets = stored(docs.join(near.select("doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(
-        _sets, "doc_id long, shingles binary"), "shingles")
-    ordered = (wanted.join(sets.hint("merge"), "doc_id").repartitionByRange("place", "doc_id")
-               .sortWithinPartitions("place", "doc_id").select("doc_id", "shingles", "edges"))
-    tested = stored(ordered.mapInArrow(_stream(percent), "a long, b long, linked boolean"), "tested")
-    tied = tied_documents(tested.where("linked"))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of this task have a shingle of each of COUNTERS hash values."""
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        every = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+        counts += np.bincount((every % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+
+def _rarest(percent: int, counts: np.ndarray):
+    """Rows of the rarest shingles of each set: those that one of any two sets at the threshold must share.
+
+    Sets of ``n`` and at most ``n`` shingles at the threshold share ``percent`` of ``n``, and at least
+    2 ``percent`` / (100 + ``percent``) of the smaller. In one order of all shingles, a set less that overlap
+    and one more is a prefix that meets the other's. ``small`` marks the prefix as the smaller set.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, sizes, small = [], [], []
+            for raw in batch.column("shingles").to_pylist():
+                own = np.frombuffer(raw, np.uint64)
+                n = len(own)
+                own = own[np.lexsort((own, counts[(own % np.uint64(COUNTERS)).astype(np.int64)]))]
+                first.append(own[:n + 1 - -(-percent * n // 100)].view(np.int64))
+                sizes.append(n)
+                small.append(np.arange(len(first[-1])) < n + 1 - -(-2 * percent * n // (100 + percent)))
+            if not sizes:
+                continue
+            lengths = [len(x) for x in first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(first)), *(pa.array(np.repeat(batch.column(x).to_numpy(), lengths))
+                                                    for x in ("doc_id", "c")), pa.array(np.repeat(sizes, lengths)),
+                 pa.array(np.concatenate([np.arange(x) for x in lengths])), pa.array(np.concatenate(small))],
+                names=["shingle", "doc_id", "c", "n", "place", "small"])
+    return run
+
+
+def crowded_pairs(crowd: DataFrame, sets: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
+    """All pairs of crowded documents of different components that can reach ``percent``, by their rarest shingles."""
+    own = crowd.join(tied.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
+    own = stored(sets.join(own.select("doc_id", F.coalesce("c", "doc_id").alias("c")), "doc_id")
+                 .select("doc_id", "c", "shingles"), "crowded-sets")
+    counts = np.zeros(COUNTERS, np.int64)
+    found = own.mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    rows = stored(own.mapInArrow(_rarest(percent, counts), "shingle long, doc_id long, c long, n long, place long, "
+                                                           "small boolean"), "rarest")
+    # A shingle of one component has no pairs: a family that is tied goes no further.
+    open_ = rows.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("small").alias("paired"))
+    rows = stored(rows.join(open_.where("low != high and paired").select("shingle").hint("merge"), "shingle"), "open-rarest")
+    x, y = rows.alias("x"), rows.where("small").alias("y")
+    # What two sets share lies at their first common place or after it, for one of the rows of the pair.
+    most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    met = x.join(y.hint("merge"), F.col("x.shingle") == F.col("y.shingle")).where(
+        (F.col("x.c") != F.col("y.c")) & (F.struct("y.n", "y.doc_id") < F.struct("x.n", "x.doc_id"))
+        & (100 * F.col("y.n") >= percent * F.col("x.n"))
+        & ((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))))
+    return stored(met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+                  .groupBy("a", "b").agg(F.count("*").cast("float").alias("score")), "crowded-pairs")
+
+
+def _closed(pairs: DataFrame, tied: DataFrame, tested: DataFrame, sets: DataFrame,
+            percent: int) -> tuple[DataFrame, DataFrame]:
+    """``tied`` and ``tested`` after all pairs between documents that are not tied yet were tested."""
     for whole in (False, True):
         # Candidates between documents that are not tied yet: the best of each two components, then all.
         open_ = pairs
@@ -345,7 +409,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b")
         open_ = stored(open_.select("a", "b"), "open")
         if open_.isEmpty():
-            return tied
+            break
         checked = stored(
             open_.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
@@ -356,7 +420,30 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         if not new.isEmpty():
             # What is tied already goes on as stars.
             tied = tied_documents(tied.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(new))
-    return tied
+    return tied, tested
+
+
+def confirmed(pairs: DataFrame, crowd: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Node and component after confirming candidate pairs, and the pairs of crowded documents, on full shingle sets."""
+    nodes = pairs.select(F.explode(F.array(
+        F.struct(F.col("a").alias("doc_id"), F.col("b").alias("p"), "score"),
+        F.struct(F.col("b").alias("doc_id"), F.col("a").alias("p"), "score"))).alias("x")).select("x.*")
+    # Documents are ordered by the least of their neighbours' least neighbours: most groups are then in one place.
+    near = stored(nodes.groupBy("doc_id").agg(F.collect_list(F.struct("p", "score")).alias("edges"), F.least(
+        F.first("doc_id"), F.min("p")).alias("near")), "neighbours")
+    place = (near.select(F.explode("edges.p").alias("doc_id"), "near").groupBy("doc_id")
+             .agg(F.min("near").alias("place")))
+    wanted = near.join(place.hint("merge"), "doc_id").select("doc_id", "edges", F.least("near", "place").alias("place"))
+    needed = near.select("doc_id").unionAll(crowd).distinct()
+    sets = stored(docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(
+        _sets, "doc_id long, shingles binary"), "shingles")
+    ordered = (wanted.join(sets.hint("merge"), "doc_id").repartitionByRange("place", "doc_id")
+               .sortWithinPartitions("place", "doc_id").select("doc_id", "shingles", "edges"))
+    tested = stored(ordered.mapInArrow(_stream(percent), "a long, b long, linked boolean"), "tested")
+    tied, tested = _closed(pairs, tied_documents(tested.where("linked")), tested, sets, percent)
+    if crowd.isEmpty():
+        return tied
+    return _closed(crowded_pairs(crowd, sets, tied, percent), tied, tested, sets, percent)[0]
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
@@ -377,7 +464,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     classes = stored(named.groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
     reps = (named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
             .dropDuplicates(["doc_id"]))
-    tied = confirmed(candidates(reps), source.where("doc_id is not null"), percent)
+    tied = confirmed(*candidates(reps), source.where("doc_id is not null"), percent)
     member = classes.join(tied.withColumnRenamed("node", "rep"), "rep", "left").select(
         "print", F.coalesce("component", "rep").alias("c"))
     return (signed.select("doc_id", "n_shingles", "print").join(member, "print", "left")

@@ -78,3 +78,16 @@ def test_neighbourhoods_are_not_cut(spark, rows):
         texts += [base, base + " " + prose(draw, 1)]
     got = near_dedup.near_duplicates(table(spark, texts)).collect()
     assert sum(r.kept for r in got) == rows // 2
+
+
+def test_pairs_inside_a_large_family(spark):
+    """A template makes 0.785 of every pair; a few pairs, far from each other, share some more and are at 0.82."""
+    draw = random.Random(5)
+    template = prose(draw, 264)
+    own = [prose(draw, 36).split() for _ in range(300)]
+    for i in range(0, 60, 2):
+        own[299 - i][:7] = own[i][:7]
+    rows = [(i, f"{template} {' '.join(words)}") for i, words in enumerate(own)]
+    got = near_dedup.near_duplicates(table(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+    assert sum(not r.kept for r in got) >= 30
