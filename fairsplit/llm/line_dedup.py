@@ -1,15 +1,14 @@
 """Fuzzy line deduplication by MinHash, as DataFrame operations only.
 
 A line is lower-cased and trimmed; its shingles are the runs of ``SHINGLE``
-characters. The signature is taken from the shingles that begin a word or follow
-a rare letter, a digit or a character beyond ASCII: a choice that depends on the
-text around them only, so lines that share shingles share these as well. One hash
-per shingle is enough for all bands: the sorted hashes lie on a circle, and a band
-is the ``ROWS`` next ones after one of ``BANDS`` fixed points, which is the minimum
-under a shifted order, then the second, and so on. Lines that share a band are tied
-to the smallest and the largest line of that band (never to all others), each tie is confirmed by
-the exact Jaccard similarity of the sets of all shingles, and of every component of
-confirmed ties one line stays: the first by document and place.
+characters. One hash per shingle is enough for all bands: the sorted hashes lie on
+a circle, and a band is the ``ROWS`` next ones after one of ``BANDS`` fixed points,
+which is the minimum under a shifted order, then the second, and so on. Lines that
+share a band are tied to the smallest and the largest line of that band, each tie is
+confirmed by the exact Jaccard similarity of the shingle sets. Lines of a band that
+is not one component by then are joined exactly by their rarest shingles, of which a
+pair at the threshold shares one. Of every component of confirmed ties one line
+stays: the first by document and place.
 
 Equal lines are one node from the start; every aggregate combines map-side, so a
 line, or a family of lines, with a third of all rows costs a row per task. Lines
@@ -18,7 +17,7 @@ are numbered by a 64-bit hash of their text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -58,16 +57,9 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(pieces, hashes)))
 
 
-#: A signature shingle, then the rest of its word with the character that ends it: the next one begins there.
-_SIGNED = f"(?s)(?=(.{{{SHINGLE}}}))[a-wy]*+(?:[^a-wy]|\\z)"
-
-
 def circle(line: Column) -> Column:
-    """Sorted distinct hashes of the signature shingles, and the band points among them."""
-    found = F.regexp_extract_all(line, F.lit(_SIGNED), F.lit(1))
-    hashes = F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
-    some = F.when(F.size(hashes) > 0, hashes).otherwise(F.array(F.xxhash64(line)))
-    return F.sort_array(F.concat(some, F.array(*(F.lit(p) for p in _POINTS))))
+    """Sorted distinct hashes of the shingles, and the band points among them."""
+    return F.sort_array(F.concat(shingles(line), F.array(*(F.lit(p) for p in _POINTS))))
 
 
 def band_keys(lines: DataFrame, line: str) -> DataFrame:
@@ -102,6 +94,54 @@ def lines_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
             .withColumn("line", normal(F.col("line"))).where("line != ''"))
 
 
+def line_texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node`` and ``line`` of some nodes; a hot line is cut down to one row per task before it is shuffled."""
+    texts = lines.select(F.xxhash64("line").alias("node"), "line")
+    return stored(attached(texts, nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line")), "texts")
+
+
+def confirmed_ties(lines: DataFrame, ties: DataFrame, percent: int) -> DataFrame:
+    """The ties whose lines share at least ``percent`` of the union of their shingles."""
+    texts = line_texts(lines, stored(ties.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends"))
+    return (ties.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+            .select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
+            .withColumn("n", F.size(F.array_intersect("x", "y")))
+            .where(100 * F.col("n") >= percent * (F.size("x") + F.size("y") - F.col("n")))
+            .select("a", "b"))
+
+
+def rarest_pairs(lines: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
+    """All pairs of lines of different components that can reach ``percent``.
+
+    Two sets at the threshold share ``percent`` of the larger and 2 ``percent`` / (100 + ``percent``) of the
+    smaller one at least. With shingles in one order, the rarest first, a set less that overlap and one more
+    is a prefix that meets the other's, and the rest after the first common place bounds what they share.
+    """
+    texts = line_texts(lines, crowd.select("node"))
+    sets = stored(texts.join(crowd, "node").select("node", "c", shingles(F.col("line")).alias("all"))
+                  .select("node", "c", F.size("all").alias("n"), F.explode("all").alias("shingle")), "crowded-shingles")
+    often = stored(sets.groupBy("shingle").agg(F.count("*").alias("often")), "often")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    n = F.col("n")
+    ranked = (sets.join(often.hint("merge"), "shingle").withColumn("place", place - 1)
+              .where(F.col("place") <= n - F.ceil(percent * n / 100))
+              .withColumn("small", F.col("place") <= n - F.ceil(2 * percent * n / (100 + percent))))
+    ranked = stored(ranked.select("shingle", "node", "c", "n", "place", "small"), "rarest")
+    # A shingle of one component has no pairs: a family that is tied goes no further.
+    live = ranked.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("small").alias("paired"))
+    ranked = stored(ranked.join(live.where("low != high and paired").select("shingle").hint("merge"), "shingle"),
+                    "open-rarest")
+    x, y = ranked.alias("x"), ranked.where("small").alias("y")
+    most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    met = x.join(y.hint("merge"), F.col("x.shingle") == F.col("y.shingle")).where(
+        (F.col("x.c") != F.col("y.c")) & (F.struct("y.n", "y.node") < F.struct("x.n", "x.node"))
+        & (100 * F.col("y.n") >= percent * F.col("x.n"))
+        & ((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))))
+    return stored(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+                  .distinct(), "crowded-ties")
+
+
 def similar_lines(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``node`` and ``component`` of lines that are tied to a smaller one; nodes are hashes of the line."""
     keyed = band_keys(lines.select(F.xxhash64("line").alias("node"), "line"), "line")
@@ -115,16 +155,17 @@ def similar_lines(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     ties = attached(rows, shared, "key").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
     ties = stored(ties.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                   .distinct(), "ties")
-    ends = stored(ties.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    texts = lines.select(F.xxhash64("line").alias("node"), "line")
-    # A hot line is cut down to one row per task before it is shuffled.
-    texts = stored(attached(texts, ends, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line")), "texts")
-    confirmed = (ties.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
-                 .join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-                 .select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
-                 .withColumn("n", F.size(F.array_intersect("x", "y")))
-                 .where(100 * F.col("n") >= percent * (F.size("x") + F.size("y") - F.col("n"))))
-    return stored(components(confirmed.select("a", "b")), "line-components")
+    tied = components(confirmed_ties(lines, ties, percent))
+    # Lines of one band that are still apart, beyond the two ends: the other pairs of the band were not compared.
+    apart = rows.join(tied, "node", "left").select("node", "key", F.coalesce("component", "node").alias("c"))
+    open_ = stored(apart.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+                   .where("n > 2 and low != high").select("key"), "open-bands")
+    if open_.isEmpty():
+        return stored(tied, "line-components")
+    crowd = stored(attached(apart, open_, "key").select("node", "c").distinct(), "crowded-lines")
+    links = confirmed_ties(lines, rarest_pairs(lines, crowd, percent), percent)
+    stars = tied.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return stored(components(stars.unionAll(links)), "line-components")
 
 
 def deduplicate_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",

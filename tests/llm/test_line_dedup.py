@@ -72,3 +72,24 @@ def test_long_lines_have_all_shingles(spark):
 def test_no_python_on_the_main_path(spark):
     plan = line_dedup.deduplicate_lines(table(spark, ["a line of text", "b"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_pairs_inside_a_large_family(spark):
+    """Lines that share most of their text, few of them at the threshold; none is at an end of all its bands."""
+    draw = random.Random(3)
+    start = prose(draw, 40)
+    own = [prose(draw, 6) for _ in range(120)]
+    for i in range(0, 40, 2):
+        own[119 - i] = own[i][:14] + own[119 - i][14:]
+    rows = [(i, f"{start} {x}") for i, x in enumerate(own)]
+    got = line_dedup.deduplicate_lines(table(spark, rows)).collect()
+    assert {r.doc_id: r.text for r in got} == brute(rows)
+
+
+def test_lines_without_word_breaks(spark):
+    """Long unbroken runs of lower-case letters, one of them with other beginnings."""
+    draw = random.Random(2)
+    runs = ["".join(draw.choice("abcdefghijklmnopqrstuvw") for _ in range(300)) for _ in range(8)]
+    rows = list(enumerate(runs + ["".join(draw.choice("abcdefg") for _ in range(9)) + r for r in runs]))
+    got = line_dedup.deduplicate_lines(table(spark, rows)).collect()
+    assert {r.doc_id: r.text for r in got} == brute(rows)
