@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -72,13 +73,18 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.concatenate(([0], np.searchsorted(first, ends)))
 
 
-def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text: pairs of words, or the only word."""
+def shingle_sets(texts: list[bytes | None], width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text: runs of ``width`` words, or all words if there are fewer."""
     words, begins = word_hashes(texts)
+    # By length: the runs of so many words that begin at each word.
+    runs = [words, mix(words)]
     with np.errstate(over="ignore"):
-        pairs = mix(words[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + mix(words[1:])) if len(words) else words
+        for k in range(1, width):
+            before = words if k == 1 else runs[k]
+            runs.append(mix(before[:max(0, len(words) - k)] * np.uint64(0xC2B2AE3D27D4EB4F) + mix(words[k:])))
     for start, end in zip(begins[:-1].tolist(), begins[1:].tolist()):
-        yield np.unique(pairs[start:end - 1]) if end - start > 1 else mix(words[start:end])
+        size = min(width, end - start)
+        yield np.unique(runs[size][start:end - size + 1]) if size else words[:0]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -91,11 +97,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], words: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     width = 2 * DEPTH
     for batch, texts in text_groups(batches, "text"):
         sizes, prints, sketches, labels = [], [], [], []
-        for shingles in shingle_sets(texts):
+        for shingles in shingle_sets(texts, words):
             sizes.append(len(shingles))
             if not len(shingles):
                 prints.append(None), sketches.append(None), labels.append(None)
@@ -247,11 +253,11 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
             stored(crowd.distinct(), "crowd"))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     for batch, texts in text_groups(batches, "text"):
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()),
-             pa.array([x.tobytes() for x in shingle_sets(texts)], pa.binary())], names=["doc_id", "shingles"])
+             pa.array([x.tobytes() for x in shingle_sets(texts, words)], pa.binary())], names=["doc_id", "shingles"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -423,7 +429,7 @@ def _closed(pairs: DataFrame, tied: DataFrame, tested: DataFrame, sets: DataFram
     return tied, tested
 
 
-def confirmed(pairs: DataFrame, crowd: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, crowd: DataFrame, docs: DataFrame, percent: int, words: int = SHINGLE) -> DataFrame:
     """Node and component after confirming candidate pairs, and the pairs of crowded documents, on full shingle sets."""
     nodes = pairs.select(F.explode(F.array(
         F.struct(F.col("a").alias("doc_id"), F.col("b").alias("p"), "score"),
@@ -436,7 +442,7 @@ def confirmed(pairs: DataFrame, crowd: DataFrame, docs: DataFrame, percent: int)
     wanted = near.join(place.hint("merge"), "doc_id").select("doc_id", "edges", F.least("near", "place").alias("place"))
     needed = near.select("doc_id").unionAll(crowd).distinct()
     sets = stored(docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(
-        _sets, "doc_id long, shingles binary"), "shingles")
+        partial(_sets, words=words), "doc_id long, shingles binary"), "shingles")
     ordered = (wanted.join(sets.hint("merge"), "doc_id").repartitionByRange("place", "doc_id")
                .sortWithinPartitions("place", "doc_id").select("doc_id", "shingles", "edges"))
     tested = stored(ordered.mapInArrow(_stream(percent), "a long, b long, linked boolean"), "tested")
@@ -447,24 +453,24 @@ def confirmed(pairs: DataFrame, crowd: DataFrame, docs: DataFrame, percent: int)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
-                    percent: int = 80) -> DataFrame:
-    """Components of documents whose word-pair sets overlap by at least ``percent`` of their union.
+                    percent: int = 80, words: int = SHINGLE) -> DataFrame:
+    """Components of documents whose sets of runs of ``words`` words overlap by at least ``percent`` of their union.
 
     Returns per row: doc_id, n_shingles, component_id (smallest id reachable) and kept.
 
-    Cases: a null or word-free text has an empty set and is its own component; one word is one shingle;
-    equal texts, whatever their number, are one node; repeated rows share their component and are kept
-    together; a row with a null id is linked with nothing (component null, kept); other columns are
-    ignored; an empty table gives no rows.
+    Cases: a null or word-free text has an empty set and is its own component; a text of at most ``words``
+    words is one shingle; equal texts, whatever their number, are one node; repeated rows share their
+    component and are kept together; a row with a null id is linked with nothing (component null, kept);
+    other columns are ignored; an empty table gives no rows.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(source.mapInArrow(
-        _signed, "doc_id long, n_shingles long, print binary, sketch binary, labels array<binary>"), "signed")
+        partial(_signed, words=words), "doc_id long, n_shingles long, print binary, sketch binary, labels array<binary>"), "signed")
     named = signed.where("doc_id is not null and print is not null")
     classes = stored(named.groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
     reps = (named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
             .dropDuplicates(["doc_id"]))
-    tied = confirmed(*candidates(reps), source.where("doc_id is not null"), percent)
+    tied = confirmed(*candidates(reps), source.where("doc_id is not null"), percent, words)
     member = classes.join(tied.withColumnRenamed("node", "rep"), "rep", "left").select(
         "print", F.coalesce("component", "rep").alias("c"))
     return (signed.select("doc_id", "n_shingles", "print").join(member, "print", "left")

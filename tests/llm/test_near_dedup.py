@@ -91,3 +91,13 @@ def test_pairs_inside_a_large_family(spark):
     got = near_dedup.near_duplicates(table(spark, rows)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
     assert sum(not r.kept for r in got) >= 30
+
+
+def test_width_of_shingles(spark):
+    """Two edits in 75 words: alike in word pairs, apart in runs of five words; a shorter text is one shingle."""
+    base = prose(random.Random(9), 75).split()
+    texts = [" ".join(base), " ".join("new" if i in (20, 50) else w for i, w in enumerate(base)), "a b c", "A b  c", "a b"]
+    for words, expected in ((2, [0, 0, 2, 2, 4]), (5, [0, 1, 2, 2, 4])):
+        got = near_dedup.near_duplicates(table(spark, texts), words=words).collect()
+        assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == expected
+        assert [r.n_shingles for r in sorted(got, key=lambda r: r.doc_id)][2:4] == ([2, 2] if words == 2 else [1, 1])
