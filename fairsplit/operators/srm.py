@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import StatisticsError
@@ -44,6 +44,13 @@ def arm_counts(df: DataFrame, variant_column: str, by: Sequence[str] = ()) -> Da
             .groupBy(*by, "level").agg(F.count(F.lit(1)).alias("observed")))
 
 
+def first_arms(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``(by..., _arms)``: the first SHOWN_ARMS arms in name order; a task keeps no more of a group."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("level"))
+    return (counts.withColumn("_rank", rank).where(F.col("_rank") <= SHOWN_ARMS)
+            .groupBy(*by).agg(F.collect_list(F.struct("level", "observed")).alias("_arms")))
+
+
 def split_text(arms: Column, n: Column, plan: Mapping[str, float] | None, k: Column) -> Column:
     """Observed and planned shares of the first arms in name order, for a reason."""
     def planned(arm: Column) -> Column:
@@ -54,9 +61,9 @@ def split_text(arms: Column, n: Column, plan: Mapping[str, float] | None, k: Col
             share = F.when(arm["level"] == name, F.lit(ratio)).otherwise(share)
         return share
 
-    shown = F.transform(F.slice(F.sort_array(arms), 1, SHOWN_ARMS), lambda arm: F.format_string(
+    shown = F.transform(F.sort_array(arms), lambda arm: F.format_string(
         "%s %.4f (planned %.4f)", arm["level"], arm["observed"] / n, planned(arm)))
-    rest = F.when(F.size(arms) > SHOWN_ARMS, F.format_string(" and %d more", F.size(arms) - SHOWN_ARMS))
+    rest = F.when(k > SHOWN_ARMS, F.format_string(" and %d more", k - SHOWN_ARMS))
     return F.concat(F.array_join(shown, ", "), F.coalesce(rest, F.lit("")))
 
 
@@ -65,14 +72,13 @@ def srm_from_counts(counts: DataFrame, variant_column: str,
                     threshold: float = SRM_THRESHOLD, by: Sequence[str] = ()) -> SrmTables:
     """Goodness-of-fit test on a table of arm counts."""
     o, n = F.col("observed"), F.col("n")
-    arms = F.collect_list(F.struct("level", "observed")).alias("_arms")
     plan = None
     if expected_ratio is None:
         # Against a uniform plan the statistic is the spread of the counts.
         grouped = counts.groupBy(*by).agg(
             F.sum(o).alias("n"), F.count(F.lit(1)).alias("k"),
             (F.var_samp(o) * (F.count(F.lit(1)) - 1) / F.avg(o)).alias("chi2"),
-            F.avg(o).alias("min_expected"), arms,
+            F.avg(o).alias("min_expected"),
         ).withColumn("mismatch", F.lit(False))
         plan_text = "uniform"
     else:
@@ -81,13 +87,13 @@ def srm_from_counts(counts: DataFrame, variant_column: str,
             F.sum(o).alias("n"), F.count(F.lit(1)).alias("k"),
             F.count_if(~F.col("level").isin(*plan)).alias("unplanned"),
             *[F.sum(F.when(F.col("level") == name, o)).alias(f"_o{i}")
-              for i, name in enumerate(plan)], arms,
+              for i, name in enumerate(plan)],
         )
         terms = [F.pow(F.col(f"_o{i}") - r * n, F.lit(2)) / (r * n)
                  for i, r in enumerate(plan.values())]
         absent = [F.col(f"_o{i}").isNull() for i in range(len(plan))]
         grouped = grouped.select(
-            *by, "n", "k", "_arms",
+            *by, "n", "k",
             sum(terms[1:], terms[0]).alias("chi2"),
             (F.lit(min(plan.values())) * n).alias("min_expected"),
             F.expr("unplanned > 0").alias("_extra"),
@@ -105,7 +111,7 @@ def srm_from_counts(counts: DataFrame, variant_column: str,
         .when(F.col("min_expected") < MIN_EXPECTED, F.lit(
             "An arm should have fewer than 5 rows: too small for the chi-square test."))
     )
-    judged = grouped.withColumn("issue", issue)
+    judged = attach(grouped.withColumn("issue", issue), first_arms(counts, by), by)
     ok = F.col("issue").isNull()
     summary = judged.select(
         *by, F.lit(variant_column).alias("variant_column"), "n", "k",

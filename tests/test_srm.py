@@ -99,3 +99,17 @@ def test_split_is_named(spark):
     rows = spark.createDataFrame([("a",)] * 300 + [("b",)] * 100, "variant string")
     row = srm_check(rows, "variant", {"a": 0.5, "b": 0.5}).summary.first()
     assert row["split"] == "a 0.7500 (planned 0.5000), b 0.2500 (planned 0.5000)"
+
+
+def test_first_arms_are_bounded(spark):
+    """No list of all arms is formed; the reason has the first arms in name order and the number of the others."""
+    counts = spark.range(300).selectExpr("CAST(id % 2 AS INT) AS e", "format_string('arm%03d', id) AS level",
+                                         "10 + id AS observed")
+    summary = srm_from_counts(counts, "arm", by=["e"]).summary
+    for r in summary.collect():
+        assert [x.split()[0] for x in r["split"].split(", ")] == [f"arm{2 * i + r['e']:03d}" for i in range(8)]
+        assert r["split"].endswith(" and 142 more")
+    whole = srm_from_counts(counts.drop("e"), "arm").summary
+    assert whole.first()["split"].endswith(" and 292 more")
+    for table in (summary, whole):
+        assert "Limit" in table._jdf.queryExecution().optimizedPlan().toString()
