@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, lm_score, near_dedup, packing, suffix_dedup, topk, toxicity, url_filter
+from . import (decontaminate, language, line_dedup, lm_score, near_dedup, packing, periodic_runs, quality, ranked_search,
+               suffix_dedup, topk, toxicity, url_filter)
 from .common import remainder, table
 
 
@@ -58,6 +59,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), lm_score.held_out())
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return quality.score(docs, model).withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_repetitions(table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(docs))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -69,10 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_lm_score": op10_lm_score,
+    "op11_quality": op11_quality,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 #: Statements for DuckDB, where SQL can state an operator's rows at the cost of the check.
 ORACLES: dict[str, str] = {
     "op4_topk": topk.oracle_sql(),
     "op8_url_filter": url_filter.oracle_sql(),
+    "op13_ranked_search": ranked_search.oracle_sql(),
 }
