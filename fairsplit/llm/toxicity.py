@@ -117,8 +117,23 @@ def _counted(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
     return rows.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def association(rows: DataFrame, positives: DataFrame, prior: float) -> tuple[dict[int, float], int, int]:
-    """Standard scores of the features that go with the positives, and how many positives and rows there are.
+def bounded_prior(prior: float, shares: list[tuple[float, float]], n_positive: int) -> float:
+    """The class prior, or the least that the features leave room for, if that is less.
+
+    ``shares`` has each feature's share of all rows and of the positives. The positives among all rows have a feature
+    as often as the known ones do, so its share of all rows is at least the prior times its share of the positives. What
+    chance may add to the latter (two standard errors) is taken off first.
+    """
+    for share, own in shares:
+        sure = own - 2 * (own * (1 - own) / n_positive) ** 0.5
+        if sure > 0:
+            prior = min(prior, share / sure)
+    return prior
+
+
+def association(rows: DataFrame, positives: DataFrame, prior: float) -> tuple[dict[int, float], int, int, float]:
+    """Standard scores of the features that go with the positives, how many positives and rows there are, and
+    the class prior that the features leave room for.
 
     The positives are counted first; then all rows, but only for features that enough positives have. At most
     TOTAL numbers (its size is fixed) reach the driver.
@@ -126,13 +141,14 @@ def association(rows: DataFrame, positives: DataFrame, prior: float) -> tuple[di
     first = _counted(positives, None)
     n_positive = (first.where(F.col("bucket") == TOTAL).first() or {"n": 0})["n"]
     if not n_positive:
-        return {}, 0, 0
+        return {}, 0, 0, prior
     least = max(LEAST_POSITIVES, LEAST_SHARE * n_positive)
     among = {r["bucket"]: r["n"] for r in first.where((F.col("n") >= least) & (F.col("bucket") < TOTAL)).collect()}
     wanted = np.zeros(TOTAL, bool)
     wanted[list(among)] = True
     everywhere = {r["bucket"]: r["n"] for r in _counted(rows, wanted).collect()}
     n_rows = everywhere.pop(TOTAL)
+    prior = bounded_prior(prior, [(n / n_rows, among[b] / n_positive) for b, n in everywhere.items()], n_positive)
     scores = {}
     for bucket, n in everywhere.items():
         share, own = n / n_rows, among[bucket] / n_positive
@@ -140,40 +156,56 @@ def association(rows: DataFrame, positives: DataFrame, prior: float) -> tuple[di
         if prior * own >= LEAST_POSTERIOR * share and score >= LEAST_SCORE:
             scores[bucket] = score
     best = sorted(scores, key=lambda b: (-scores[b], b))[:FEATURES]
-    return {b: scores[b] for b in best}, n_positive, n_rows
+    return {b: scores[b] for b in best}, n_positive, n_rows, prior
+
+
+def risk_parts(w: np.ndarray, b: float, at: np.ndarray, row: np.ndarray, is_p: np.ndarray,
+               prior: float) -> tuple[float, float, np.ndarray]:
+    """The risk's part for the positives, that for the negatives, and the slope of a step in each row's response: of
+    their sum or, where the latter is below zero, against it. ``at`` and ``row`` are the cells of the sparse rows."""
+    n_p, n_u = max(1, int(is_p.sum())), max(1, int((~is_p).sum()))
+    z = np.bincount(row, w[at], len(is_p)) + b
+    sigma = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    up = np.where(is_p, np.logaddexp(0, z), 0).sum() / n_p  # loss of positives as negatives
+    negative = np.where(is_p, 0, np.logaddexp(0, z)).sum() / n_u - prior * up
+    positive = prior * np.where(is_p, np.logaddexp(0, -z), 0).sum() / n_p
+    as_positive = np.where(is_p, prior * (sigma - 1) / n_p, 0)
+    as_negative = np.where(is_p, -prior * sigma / n_p, sigma / n_u)
+    return float(positive), float(negative), as_positive + as_negative if negative >= 0 else -as_negative
 
 
 def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, steps: int = 600,
         rate: float = 0.05, l1: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of the non-negative risk over sparse rows, by Adam steps over the whole sample."""
+    """Weights and bias of the non-negative risk over sparse rows, by Adam steps over the whole sample.
+
+    Of all steps, the weights of the least risk are returned: a step against a risk below zero can lead astray.
+    """
     rows = positives + unlabelled
     at = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     is_p = np.arange(len(rows)) < len(positives)
-    n_p, n_u = max(1, len(positives)), max(1, len(unlabelled))
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     first, second = np.zeros(size + 1), np.zeros(size + 1)
+    least, best = np.inf, (w, b)
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[at], len(rows)) + b
-        sigma = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        up = np.where(is_p, np.logaddexp(0, z), 0).sum() / n_p  # loss of positives as negatives
-        negative = np.where(is_p, 0, np.logaddexp(0, z)).sum() / n_u - prior * up
-        as_positive = np.where(is_p, prior * (sigma - 1) / n_p, 0)
-        as_negative = np.where(is_p, -prior * sigma / n_p, sigma / n_u)
-        slope = as_positive + as_negative if negative >= 0 else -as_negative
+        positive, negative, slope = risk_parts(w, b, at, row, is_p, prior)
+        risk = positive + abs(negative) + l1 * np.abs(w).sum()
+        if risk < least:
+            least, best = risk, (w, b)
         gradient = np.append(np.bincount(at, slope[row], size) + l1 * np.sign(w), slope.sum())
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient ** 2
         step = rate * first / (1 - 0.9 ** t) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)
         w, b = w - step[:-1], b - float(step[-1])
-    return w, b
+    return best
 
 
 def learn(docs: DataFrame, labels: DataFrame, learning: Column, id_column: str = "doc_id", text: str = "text",
           toxic: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """A model from the rows that ``learning`` marks; only toxic = 1 counts as a label, the rest is unlabelled.
 
-    The class prior is the share of toxic rows among the judged ones.
+    The class prior is the share of toxic rows among the judged ones, or less where the text of all learning rows
+    shows that the judged ones are richer (``bounded_prior``).
     """
     judged = labels.where(learning & F.col(toxic).isNotNull() & F.col(id_column).isNotNull()).groupBy(
         id_column).agg(F.max(toxic).alias("_toxic"))
@@ -185,7 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, learning: Column, id_column: str =
     rows = (docs.select(F.col(id_column), F.col(text).alias("text")).where(learning)
             .join(F.broadcast(toxic_ids) if few else toxic_ids, id_column, "left")
             .select(id_column, "text", F.coalesce("_marked", F.lit(False)).alias("positive")))
-    scores, n_positive, n_rows = association(rows, rows.where("positive"), prior)
+    scores, n_positive, n_rows, prior = association(rows, rows.where("positive"), prior)
     number = np.full(TOTAL + 1, -1, np.int32)
     number[list(scores)] = np.arange(len(scores))
     if not scores:

@@ -61,3 +61,69 @@ def test_runs_stay_within_words(text):
     assert len(buckets) == len(words)
     joined = toxicity.runs(text + " " + text)[0]
     assert set(joined.tolist()) == set(buckets.tolist())
+
+
+def plain_risk(w, b, positives, unlabelled, prior):
+    """Positive part, negative part and their slopes, by a dense loop."""
+    def dense(rows):
+        x = np.zeros((len(rows), len(w)))
+        for i, r in enumerate(rows):
+            x[i, r] = 1
+        return x
+    def mean_loss(x, sign):
+        return np.mean(np.log1p(np.exp(-sign * (x @ w + b))))
+    p, u = dense(positives), dense(unlabelled)
+    return prior * mean_loss(p, 1), mean_loss(u, -1) - prior * mean_loss(p, -1)
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.6])
+def test_slope_against_finite_differences_of_the_dense_risk(prior):
+    draw = np.random.default_rng(4)
+    rows = [np.unique(np.append(draw.integers(0, 12, 4), [12] * (i < 20))) for i in range(60)]
+    positives, unlabelled = rows[:20], rows[20:]
+    at, row = np.concatenate(rows), np.repeat(np.arange(60), [len(r) for r in rows])
+    signs = set()
+    for shift in (-2.0, 0.0, 2.0):
+        w, b = np.append(draw.normal(0, 1, 12), 6.0), shift
+        positive, negative, slope = toxicity.risk_parts(w, b, at, row, np.arange(60) < 20, prior)
+        assert (positive, negative) == pytest.approx(plain_risk(w, b, positives, unlabelled, prior))
+        signs.add(negative >= 0)
+        got = np.append(np.bincount(at, slope[row], 13), slope.sum())
+        for i in range(14):
+            ends = []
+            for sign in (1, -1):
+                moved = np.append(w, b)
+                moved[i] += sign * 1e-5
+                up, down = plain_risk(moved[:-1], moved[-1], positives, unlabelled, prior)
+                ends.append(up + down if negative >= 0 else -down)
+            assert got[i] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-6)
+    assert prior < 0.5 or False in signs
+
+
+def test_counts_equal_sets_of_features(spark):
+    draw = random.Random(8)
+    texts = [prose(draw, 12) for _ in range(60)]
+    held = [set(toxicity.levels(*toxicity.runs(t)).tolist()) for t in texts]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = {r["bucket"]: r["n"] for r in toxicity._counted(rows, None).collect()}
+    want = {f: sum(f in h for h in held) for f in set().union(*held)}
+    assert got == want | {toxicity.TOTAL: 60}
+
+
+@pytest.mark.parametrize("richer", [1, 2, 4])
+def test_judged_rows_richer_than_the_corpus(spark, richer):
+    """An eighth of all documents is toxic; of the judged ones one, two or four times as many."""
+    draw = random.Random(9)
+    texts = [prose(draw, 20) + (" zorkish zorkling zorkete" if i % 8 == 0 else "") for i in range(640)]
+    toxic = [i for i in range(0, 320) if i % 8 == 0]
+    clean = [i for i in range(0, 320) if i % 8][:len(toxic) * (8 - richer) // richer]
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in toxic + clean], "doc_id long, toxic int")
+    model = toxicity.learn(table(spark, texts), labels, F.lit(True))
+    told = {r.doc_id: r for r in toxicity.score(table(spark, [*texts, ""]), model).collect()}
+    assert all(told[i].predicted == (i % 8 == 0) for i in range(640)) and told[640].score < 0.3
+
+
+def test_prior_is_bounded_by_what_all_text_shows():
+    assert toxicity.bounded_prior(0.5, [(0.2, 1.0), (0.3, 1.0)], 100) == pytest.approx(0.2)
+    assert toxicity.bounded_prior(0.1, [(0.2, 1.0)], 100) == 0.1
+    assert toxicity.bounded_prior(0.5, [(0.001, 0.02)], 100) == 0.5  # two positives of a hundred prove nothing
