@@ -54,7 +54,7 @@ class WordEncoder:
 
     MARK = "0"
     #: A full stop or comma between an ASCII letter and a gap is a part of its own.
-    STOP = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)")
+    STOP = re.compile(r".*[A-Za-z][.,]\Z", re.DOTALL)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -62,7 +62,17 @@ class WordEncoder:
         self.known: dict[str, bytes] = {"": b""}
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of new words; of a word and its full stop, each by itself."""
+        stopped = [w for w in words if self.STOP.match(w)]
+        parts = words.difference(stopped).union([w[:-1] for w in stopped], [w[-1] for w in stopped])
+        out = self._learn_parts(list(parts.difference(self.known)))
+        for w in stopped:
+            head, tail = (out[x] if x in out else self.known[x] for x in (w[:-1], w[-1]))
+            out[w] = head + tail
+        return out
+
+    def _learn_parts(self, words: list[str]) -> dict[str, bytes]:
         """Ids of new words: joined by a mark that none of them holds, cut apart again."""
         plain = [w for w in words if self.MARK not in w and len(w) <= CACHE_CHARS and "<|" not in w]
         out: dict[str, bytes] = {}
@@ -81,13 +91,14 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        words = [self.STOP.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
-        new = list(set(chain.from_iterable(words)) - self.known.keys())
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        # A difference from the dictionary itself looks the words up; one from its keys would walk over all of them.
+        new = set(chain.from_iterable(words)).difference(self.known)
         learned = self._learn(new) if new else {}
         long = {w: x for w, x in learned.items() if len(w) > CACHE_CHARS}
         if len(self.known) + len(learned) > CACHE_WORDS:
             self.known = {"": b""}
-            learned = self._learn(list(set(chain.from_iterable(words)) - {""}))
+            learned = self._learn(set(chain.from_iterable(words)).difference(self.known))
         self.known.update(learned)
         out = [b"".join(map(self.known.__getitem__, x)) for x in words]
         for word in long:
