@@ -79,7 +79,7 @@ def plain_risk(w, b, positives, unlabelled, prior):
 @pytest.mark.parametrize("prior", [0.1, 0.6])
 def test_slope_against_finite_differences_of_the_dense_risk(prior):
     draw = np.random.default_rng(4)
-    rows = [np.unique(np.append(draw.integers(0, 12, 4), [12] * (i < 20))) for i in range(60)]
+    rows = [np.unique([*draw.integers(0, 12, 4), *[12] * (i < 20)]) for i in range(60)]
     positives, unlabelled = rows[:20], rows[20:]
     at, row = np.concatenate(rows), np.repeat(np.arange(60), [len(r) for r in rows])
     signs = set()
