@@ -161,6 +161,62 @@ step_{k + 1} AS (
     return ",".join(parts)
 
 
+def newton_by(group: str, steps: int = 10) -> str:
+    """CTEs up to ``model(<group>, n, b0, b1)``: the same fit in every group, on the price scaled within it."""
+    parts = [f"""
+design AS (
+  SELECT CASE WHEN variant_conf = 'treatment' THEN 1 ELSE 0 END AS t, {group},
+         (pre_value - AVG(pre_value) OVER w) / STDDEV_POP(pre_value) OVER w AS x
+  FROM experiment WINDOW w AS (PARTITION BY {group})),
+step_0 AS (SELECT {group}, COUNT(*) AS n, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM design GROUP BY {group})"""]
+    for k in range(steps):
+        parts.append(f"""
+sums_{k} AS (
+  SELECT {group}, n, b0, b1, SUM(p - t) AS g0, SUM((p - t) * x) + b1 AS g1, SUM(p * (1 - p)) AS h00,
+         SUM(p * (1 - p) * x) AS h01, SUM(p * (1 - p) * x * x) + 1 AS h11
+  FROM (SELECT {group}, t, x, n, b0, b1, 1 / (1 + EXP(-(b0 + b1 * x))) AS p FROM design JOIN step_{k} USING ({group}))
+  GROUP BY {group}, n, b0, b1),
+step_{k + 1} AS (
+  SELECT {group}, n, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0,
+         b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b1 FROM sums_{k})""")
+    parts.append(f"\nmodel AS (SELECT * FROM step_{steps})")
+    return ",".join(parts)
+
+
+def newton_levels(steps: int = 14) -> str:
+    """CTEs up to ``dense_n`` and ``levels_n``: the price and the dummies of ``shop``, the latter eliminated in each step."""
+    parts = ["""
+design AS (
+  SELECT CASE WHEN variant_conf = 'treatment' THEN 1 ELSE 0 END AS t, CAST(o_custkey AS VARCHAR) || '/' || device AS shop,
+         (pre_value - AVG(pre_value) OVER ()) / STDDEV_POP(pre_value) OVER () AS x
+  FROM experiment),
+counted AS (SELECT shop, COUNT(*) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) AS m FROM design GROUP BY shop),
+dense_0 AS (SELECT CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1),
+levels_0 AS (SELECT shop, m * (1 - m) AS ridge, CAST(0 AS DOUBLE) AS beta FROM counted
+             WHERE shop > (SELECT MIN(shop) FROM counted))"""]
+    for k in range(steps):
+        parts.append(f"""
+judged_{k} AS (
+  SELECT t, x, shop, b0, b1, ridge, beta, 1 / (1 + EXP(-(b0 + b1 * x + COALESCE(beta, 0)))) AS p
+  FROM design LEFT JOIN levels_{k} USING (shop), dense_{k}),
+whole_{k} AS (
+  SELECT b0, b1, SUM(p - t) AS g0, SUM((p - t) * x) + b1 AS g1, SUM(p * (1 - p)) AS h00,
+         SUM(p * (1 - p) * x) AS h01, SUM(p * (1 - p) * x * x) + 1 AS h11 FROM judged_{k} GROUP BY b0, b1),
+each_{k} AS (
+  SELECT shop, ridge, beta, SUM(p * (1 - p)) AS a0, SUM(p * (1 - p) * x) AS a1, SUM(p * (1 - p)) + ridge AS d,
+         SUM(p - t) + ridge * beta AS g FROM judged_{k} WHERE ridge IS NOT NULL GROUP BY shop, ridge, beta),
+part_{k} AS (
+  SELECT SUM(a0 * a0 / d) AS s00, SUM(a0 * a1 / d) AS s01, SUM(a1 * a1 / d) AS s11, SUM(a0 * g / d) AS r0,
+         SUM(a1 * g / d) AS r1 FROM each_{k}),
+solved_{k} AS (
+  SELECT b0, b1, ((h11 - s11) * (r0 - g0) - (h01 - s01) * (r1 - g1)) / det AS e0,
+         ((h00 - s00) * (r1 - g1) - (h01 - s01) * (r0 - g0)) / det AS e1
+  FROM (SELECT *, (h00 - s00) * (h11 - s11) - (h01 - s01) * (h01 - s01) AS det FROM whole_{k}, part_{k})),
+dense_{k + 1} AS (SELECT b0 + e0 AS b0, b1 + e1 AS b1 FROM solved_{k}),
+levels_{k + 1} AS (SELECT shop, ridge, beta - (g + a0 * e0 + a1 * e1) / d AS beta FROM each_{k}, solved_{k})""")
+    return ",".join(parts)
+
+
 def fitted_pairs() -> str:
     """The match of SCORED_SQL on the fitted score of the price alone."""
     return EXPERIMENT_SQL + "," + newton() + """,
@@ -351,6 +407,12 @@ ORACLES: dict[str, str] = {
               .replace('"o_orderpriority_', '"device_')},
           {one_hot('o_orderstatus', ['O', 'P'])}
         FROM orders""",
+    "c3_wide": f"""WITH {EXPERIMENT_SQL}, placed AS (
+          SELECT user_id, pre_value, DENSE_RANK() OVER (ORDER BY CAST(o_custkey AS VARCHAR) || '/' || device) - 1 AS k
+          FROM experiment)
+        SELECT user_id, CAST(CASE WHEN k > 0 THEN 2 ELSE 1 END AS INTEGER) AS cells,
+               CASE WHEN k > 0 THEN k END AS level_index, pre_value,
+               CASE WHEN k > 0 THEN CAST(1 AS DOUBLE) END AS level_value FROM placed""",
     "c4_cuped_column": f"""WITH {EXPERIMENT_SQL}, stats AS (
           SELECT COVAR_SAMP(revenue, pre_value) / VAR_SAMP(pre_value) AS theta,
                  AVG(pre_value) AS mean FROM experiment)
@@ -494,6 +556,12 @@ ORACLES: dict[str, str] = {
     "f2_propensity_model": f"""WITH {EXPERIMENT_SQL}, {newton()}
         SELECT 'intercept' AS term, {r('b0', 5)} AS weight FROM model
         UNION ALL SELECT 'pre_value', {r('b1', 5)} FROM model""",
+    "f2_by_device": f"""WITH {EXPERIMENT_SQL}, {newton_by('device')}
+        SELECT device, n, {r('b0', 5)} AS intercept, {r('b1', 5)} AS weight FROM model""",
+    "f2_wide": f"""WITH {EXPERIMENT_SQL}, {newton_levels(14)}
+        SELECT COUNT(beta) AS levels, {r('SUM(beta)', 4)} AS total, {r('SUM(beta * beta)', 4)} AS squares,
+               {r('MIN(beta)', 4)} AS least, {r('MAX(beta)', 4)} AS most,
+               {r('ANY_VALUE(b0)', 4)} AS intercept, {r('ANY_VALUE(b1)', 4)} AS weight FROM levels_14, dense_14""",
     "f3_logit": f"""WITH {EXPERIMENT_SQL}, {newton()}, scores AS (
           SELECT device, 1 / (1 + EXP(-(b0 + b1 * x))) AS p,
                  1 / (1 + EXP(-(pre_value - 250000) / 15000)) AS steep FROM design, model),

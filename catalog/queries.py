@@ -14,6 +14,8 @@ from fairsplit.operators.design import complete_cases, design_matrix, feature_st
 from fairsplit.operators.metrics import (apply_cuped, arm_moments, compare_arms, cuped_stats,
                                          mann_whitney_test, shift_table, significant)
 from fairsplit.operators.profile import profile_table
+from fairsplit.operators.levels import Levels, sparse_design
+from fairsplit.operators.logistic import Block, fit_groups
 from fairsplit.operators.roles import classify
 from fairsplit.operators.srm import srm_check
 from fairsplit.operators.verdict import decide_verdict
@@ -178,6 +180,19 @@ def c3_design_matrix(spark, sf_dir):
                          ["user_id"])
 
 
+def _shops(spark, sf_dir) -> DataFrame:
+    """Units with a covariate of thousands of levels: the customer and the priority."""
+    rows = inputs.units(spark, sf_dir)
+    return rows.withColumn("shop", F.concat_ws("/", F.col("o_custkey").cast("string"), "device"))
+
+
+def c3_wide(spark, sf_dir):
+    """Sparse design rows: a number, and the cell of one of thousands of levels (none for the first)."""
+    rows, _ = sparse_design(_shops(spark, sf_dir), ["pre_value", "shop"], ["user_id"])
+    return rows.select("user_id", F.size("indices").alias("cells"), F.get("indices", F.lit(1)).alias("level_index"),
+                       F.col("values")[0].alias("pre_value"), F.get("values", F.lit(1)).alias("level_value"))
+
+
 def c4_cuped_column(spark, sf_dir):
     adjusted, _ = apply_cuped(inputs.experiment(spark, sf_dir), "revenue", "pre_value",
                               on_issue="keep")
@@ -414,10 +429,8 @@ def _model(spark, sf_dir):
         F.col("user_id").alias(matching.UNIT), F.col("pre_value").alias("v0"),
         (F.col("variant_conf") == TREATMENT).cast("int").alias("treated"))
     design = materialize(design, "design")
-    arms = feature_stats(design, [F.col("v0")], ["v0"])
-    means, scales = pooled_scale(arms)
-    return propensity.fit_propensity(design, [F.col("v0")], means, scales, ["v0"],
-                                     arms[0].n + arms[1].n, arms[0].patterns + arms[1].patterns)
+    means, scales = pooled_scale(feature_stats(design, [F.col("v0")]))
+    return propensity.fit_propensity(design, [F.col("v0")], means, scales)
 
 
 def f2_propensity_model(spark, sf_dir):
@@ -426,6 +439,29 @@ def f2_propensity_model(spark, sf_dir):
                                  "term string, weight double").withColumn("weight", rounded("weight", 5))
 
 
+def f2_by_device(spark, sf_dir):
+    """One model per device, all in the same passes."""
+    rows = inputs.units(spark, sf_dir).withColumn("treated", (F.col("variant_conf") == TREATMENT).cast("int"))
+    found = fit_groups(rows, "treated", [F.col("pre_value")], ["device"])
+    return found.select("device", "n", rounded("intercept", 5).alias("intercept"),
+                        rounded(F.col("weights")[0], 5).alias("weight"))
+
+
+def f2_wide(spark, sf_dir):
+    """A model with a number and a covariate of thousands of levels, whose weights stay in a table."""
+    rows = _shops(spark, sf_dir).withColumn("treated", (F.col("variant_conf") == TREATMENT).cast("int"))
+    levels = Levels.of(rows, F.col("shop"))
+    design = materialize(levels.number(rows, F.col("shop"), "k").select("treated", F.col("pre_value").alias("v0"), "k"), "design")
+    means, scales = pooled_scale(feature_stats(design, [F.col("v0")]))
+    block = Block("k", levels.table.select("k", "n"), levels.size, levels.total, levels.largest)
+    model = propensity.fit_propensity(design, [F.col("v0")], means, scales, [block])
+    beta = F.col("beta")
+    return model.level_weights[0].agg(F.count(beta).alias("levels"), F.sum(beta).alias("total"), F.sum(beta * beta).alias("squares"),
+                                      F.min(beta).alias("least"), F.max(beta).alias("most")).select(
+        "levels", *[rounded(c, 4).alias(c) for c in ("total", "squares", "least", "most")],
+        rounded(F.lit(model.intercept), 4).alias("intercept"), rounded(F.lit(model.weights[0]), 4).alias("weight"))
+
+
 def f3_logit(spark, sf_dir):
     model = _model(spark, sf_dir)
     p = model.probability([F.col("pre_value")])
@@ -591,13 +627,13 @@ QUERIES: dict[str, Query] = {
         a1_csv_scan, a2_malformed_count, a3_na_tokens, a4_sinks,
         b1_identifier, b2_dedupe, b3_all_null, b4_coerce, b5_missingness, b6_quality, b7_profile,
         b8_roles,
-        c1_arm_filter, c2_complete_cases, c3_design_matrix, c4_cuped_column, c5_adapt, c6_sample,
+        c1_arm_filter, c2_complete_cases, c3_design_matrix, c3_wide, c4_cuped_column, c5_adapt, c6_sample,
         c7_significance,
         d1_srm, d1_srm_uniform, d1_srm_many_arms, d1_srm_levels, d2_kind, d3_chi_square, d4_wilson, d5_newcombe,
         d6_effect_size, d7_welch, d8_cuped, d9_mann_whitney, d10_balance, d11_naive, d12_att,
         d13_adapt_stats,
         e1_midrank, e2_bh, e2_bh_fleet, e3_bonferroni,
-        f1_standardise, f2_propensity_model, f3_logit, f4_support, f5_caliper, f6_match,
+        f1_standardise, f2_propensity_model, f2_by_device, f2_wide, f3_logit, f4_support, f5_caliper, f6_match,
         f7_bootstrap, f7_bootstrap_hashed, f8_rosenbaum, f9_psm, f9_psm_numeric,
         g1_verdict, g2_balance_table, g3_analyze,
     )

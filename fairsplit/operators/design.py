@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from ..errors import StatisticsError
 from ..functions.columns import as_double, field_type, label, present, quoted, require_columns
 
-MAX_LEVELS = 256
+#: A category with more levels than this is no part of a dense design: see ``levels.py``.
+MAX_LEVELS = 64
 UNIT = "_row_id"
 
 
@@ -126,9 +127,22 @@ def find_levels(df: DataFrame, covariates: Sequence[str], max_levels: int = MAX_
     return Covariates(list(covariates), levels, list(shown))
 
 
+def wide_covariates(df: DataFrame, covariates: Sequence[str], rough: Mapping[str, int],
+                    dense: int = MAX_LEVELS) -> list[str]:
+    """Categorical covariates with more than ``dense`` levels; ``rough`` are sketched numbers for these rows or more.
+
+    A sketch settles those that are far off; the others are counted exactly, from sets of bounded size.
+    """
+    near = [c for c in rough if dense / 2 < rough[c] <= 2 * dense]
+    exact = df.agg(*[F.count_distinct(F.col(quoted(c)).cast("string")).alias(f"n{i}") for i, c in enumerate(near)]).first() \
+        if near else []
+    sizes = dict(rough) | dict(zip(near, exact, strict=True))
+    return [c for c in covariates if sizes.get(c, 0) > dense]
+
+
 def design_matrix(df: DataFrame, covariates: Sequence[str], keep: Sequence[str] = (),
                   max_levels: int = MAX_LEVELS) -> DataFrame:
-    """``keep`` plus one double column per design feature."""
+    """``keep`` plus one double column per design feature; ``levels.sparse_design`` has any number of them."""
     if not covariates:
         raise StatisticsError("A design matrix needs at least one covariate.")
     found = find_levels(df, covariates, max_levels)
@@ -140,28 +154,22 @@ def design_matrix(df: DataFrame, covariates: Sequence[str], keep: Sequence[str]
 
 @dataclass
 class ArmStats:
-    """Count, means and sample variances of the features of one arm.
-
-    ``patterns`` is about the number of distinct covariate combinations.
-    """
+    """Count, means and sample variances of the features of one arm."""
 
     n: int
     means: list[float]
     variances: list[float]
-    patterns: int = 0
 
 
-def feature_stats(design: DataFrame, features: Sequence[Column],
-                  slots: Sequence[str] = ()) -> dict[int, ArmStats]:
+def feature_stats(design: DataFrame, features: Sequence[Column]) -> dict[int, ArmStats]:
     """Per-arm statistics of all features, in one pass: ``{0: ..., 1: ...}``."""
-    parts = [F.approx_count_distinct(F.xxhash64(*slots)).alias("patterns")] if slots else []
+    parts = []
     for i, f in enumerate(features):
         parts += [F.avg(f).alias(f"a{i}"), F.var_samp(f).alias(f"v{i}")]
     rows = design.groupBy("treated").agg(F.count(F.lit(1)).alias("n"), *parts).collect()
     width = range(len(features))
     return {r["treated"]: ArmStats(r["n"], [r[f"a{i}"] for i in width],
-                                   [r[f"v{i}"] or 0.0 for i in width],
-                                   r["patterns"] if slots else 0) for r in rows}
+                                   [r[f"v{i}"] or 0.0 for i in width]) for r in rows}
 
 
 def pooled_scale(arms: dict[int, ArmStats]) -> tuple[list[float], list[float]]:

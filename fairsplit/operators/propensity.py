@@ -3,29 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import StatisticsError
+from .logistic import Block, fit, with_level_weights
 
 CLIP = 1e-6
-# Repeated covariate patterns are fitted once with a weight when that leaves
-# at most this many rows and at least ten times fewer than there were.
-MAX_PATTERNS = 10_000_000
 
 
 @dataclass
 class PropensityModel:
-    """Coefficients on the standardised features."""
+    """Coefficients on the standardised features, and tables with those of the levels of wide covariates."""
 
     intercept: float
     weights: list[float]
     means: list[float]
     scales: list[float]
+    blocks: list[Block] = field(default_factory=list)
+    level_weights: list[DataFrame] = field(default_factory=list)
 
     def linear(self, features: Sequence[Column]) -> Column:
         """Linear predictor as a plain column, so scoring stays in codegen."""
@@ -37,6 +35,13 @@ class PropensityModel:
     def probability(self, features: Sequence[Column]) -> Column:
         return 1 / (1 + F.exp(-self.linear(features)))
 
+    def scored(self, rows: DataFrame, features: Sequence[Column], name: str = "p") -> DataFrame:
+        """``rows`` with their probability; wide covariates are joined with their level's weight."""
+        if not self.blocks:
+            return rows.withColumn(name, self.probability(features))
+        levelled = with_level_weights(rows, self.blocks, self.level_weights, "_o")
+        return levelled.withColumn(name, 1 / (1 + F.exp(-self.linear(features) - F.col("_o")))).drop("_o")
+
 
 def logit(p: Column) -> Column:
     """Log-odds of the probability clipped away from 0 and 1."""
@@ -45,30 +50,15 @@ def logit(p: Column) -> Column:
 
 
 def fit_propensity(design: DataFrame, features: Sequence[Column], means: Sequence[float],
-                   scales: Sequence[float], slots: Sequence[str], n: int,
-                   patterns: int) -> PropensityModel:
+                   scales: Sequence[float], blocks: Sequence[Block] = ()) -> PropensityModel:
     """L2-penalised logistic regression of ``treated`` on standardised features.
 
-    The penalty is half the squared weights against the summed log loss with
-    the intercept free, that is ``regParam = 1/n`` on Spark's mean loss. Rows
-    that share all covariates and the arm are collapsed into one weighted row
-    first if ``patterns``, a sketch of how many such rows there are, says that
-    this makes the input much smaller; the optimum is the same.
+    The penalty is half the squared weights against the summed log loss with the intercept free. Dummies of a
+    covariate in ``blocks`` are penalised like the other features, as if they were standardised.
     """
-    weight = "weight"
-    if patterns * 10 <= n and patterns <= MAX_PATTERNS:
-        design = design.groupBy(*slots, "treated").agg(F.count(F.lit(1)).cast("double").alias(weight))
-    else:
-        design = design.withColumn(weight, F.lit(1.0))
-    scaled = [((f - F.lit(m)) / F.lit(s)).alias(f"f{i}")
-              for i, (f, m, s) in enumerate(zip(features, means, scales, strict=True))]
-    rows = design.select(F.col("treated").cast("double").alias("label"), weight, *scaled)
-    vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(len(scaled))],
-                              outputCol="features").transform(rows).select("label", weight, "features")
-    model = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
-                               maxIter=1000, tol=1e-9, weightCol=weight).fit(vectors)
-    return PropensityModel(model.intercept, [float(w) for w in model.coefficients],
-                           list(means), list(scales))
+    scaled = [(f - F.lit(m)) / F.lit(s) for f, m, s in zip(features, means, scales, strict=True)]
+    found = fit(design, "treated", scaled, blocks)
+    return PropensityModel(found.intercept, found.weights, list(means), list(scales), list(blocks), found.blocks)
 
 
 def support_bounds(scored: DataFrame, p: str = "p") -> tuple[float, float]:

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import StatisticsError
 from ..functions.columns import as_double, field_type, label, present, quoted, require_columns, require_metrics
-from ..operators.design import (MAX_LEVELS, ArmStats, Covariates, complete_cases, feature_stats,
-                                find_levels, is_categorical, pooled_scale, rough_levels)
+from ..operators.design import (ArmStats, Covariates, complete_cases, feature_stats, find_levels,
+                                is_categorical, pooled_scale, rough_levels, wide_covariates)
 from ..operators.effects import (GAMMA_GRID, balance, bootstrap_effects, bootstrap_summary,
-                                 rosenbaum_bounds, signed_rank_totals)
+                                 rosenbaum_bounds, signed_rank_totals, smd_column)
+from ..operators.levels import Levels
+from ..operators.logistic import Block
 from ..operators.matching import (UNIT, match_counts, matched_pairs, nearest_controls,
                                   within_caliper)
 from ..operators.propensity import common_support, fit_propensity, logit
@@ -61,6 +64,7 @@ class _Rows(NamedTuple):
     result: list[Row]
     balance: list[tuple]
     sensitivity: list[tuple]
+    wide_balance: list[DataFrame]
 
 
 def propensity_score_match(
@@ -68,7 +72,7 @@ def propensity_score_match(
     treatment_label: str, covariates: Sequence[str], caliper_sd: float = 0.2,
     bootstrap_samples: int = 500, rosenbaum_grid: Sequence[float] = GAMMA_GRID,
     random_state: int = 0, *, row_id: str | None = None, direction: str = "upper",
-    max_levels: int = MAX_LEVELS, rows_per_bucket: int = ROWS_PER_BUCKET,
+    max_levels: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
     hot_rows: int = HOT_ROWS,
 ) -> PsmTables:
     """Effect on the treated by 1-NN caliper matching on the propensity logit.
@@ -78,7 +82,8 @@ def propensity_score_match(
     its own complete cases. ``row_id`` names a unique column that
     settles ties between controls (text is compared as text); without it row numbers are drawn when the
     complete cases are stored. ``direction="auto"`` bounds a negative effect in
-    its own direction instead of always testing the upper tail.
+    its own direction instead of always testing the upper tail. Categories may have any number of levels;
+    ``max_levels`` refuses more.
     """
     metrics = [metrics] if isinstance(metrics, str) else list(metrics)
     if not covariates:
@@ -114,7 +119,7 @@ def propensity_score_match(
     shared = [m for m, y in outcomes.items() if filled[y] == filled["n"]]
     groups = [shared] if shared else []
     groups += [[m] for m in metrics if m not in shared]
-    found = _Rows([], [], [])
+    found = _Rows([], [], [], [])
     for group in groups:
         ys = {m: outcomes[m] for m in group}
         rows = stored if group == shared else stored.where(F.col(ys[group[0]]).isNotNull())
@@ -127,7 +132,7 @@ def propensity_score_match(
     order = {m: i for i, m in enumerate(metrics)}
     return PsmTables(
         spark.createDataFrame(sorted(found.result, key=lambda r: order[r["metric"]]), RESULT_SCHEMA),
-        spark.createDataFrame(found.balance, BALANCE_SCHEMA),
+        reduce(DataFrame.unionByName, found.wide_balance, spark.createDataFrame(found.balance, BALANCE_SCHEMA)),
         spark.createDataFrame(found.sensitivity, SENSITIVITY_SCHEMA))
 
 
@@ -148,28 +153,63 @@ def _after_match(pairs: DataFrame, covariates: Covariates,
     return treated, control, row
 
 
+def _level_balance(levels: Levels, pairs: DataFrame, column: str, title: str, n_t: int, n_c: int, n_pairs: int,
+                   metrics: list[str]) -> DataFrame:
+    """Balance of the dummies of a wide covariate, from counts per level before and after the match."""
+    def smd(treated: Column, control: Column, n_t: int, n_c: int) -> Column:
+        m_t, m_c = treated / F.lit(float(n_t)), control / F.lit(float(n_c))
+        v_t, v_c = (m * (1 - m) * F.lit(n / max(1.0, n - 1.0)) for m, n in ((m_t, n_t), (m_c, n_c)))
+        return smd_column(m_t, m_c, v_t, v_c)
+
+    # One row per pair and side; the counts combine before they are shuffled.
+    sides = pairs.select(F.explode(F.array(
+        F.struct(F.col(column).alias("k"), F.lit(1).alias("t")),
+        F.struct(F.col(f"c_{column}").alias("k"), F.lit(0).alias("t")))).alias("s")).select("s.*")
+    after = sides.groupBy("k").agg(F.count_if(F.col("t") == 1).alias("t"), F.count_if(F.col("t") == 0).alias("c"))
+    count = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("t", "c")}
+    table = levels.table.where("k > 0").join(after, "k", "left").select(
+        F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"),
+        F.concat(F.lit(f"{title}_"), "level").alias("covariate"),
+        smd(F.col("n_treated"), F.col("n") - F.col("n_treated"), n_t, n_c).alias("smd_before"),
+        smd(count["t"], count["c"], n_pairs, n_pairs).alias("smd_after"))
+    return materialize(table, "level_balance")
+
+
 def _match(rows: DataFrame, ys: dict[str, str], columns: dict[str, str], caliper_sd: float,
            bootstrap_samples: int, grid: Sequence[float], seed: int, direction: str,
-           max_levels: int, rough: dict[str, int], rows_per_bucket: int,
+           max_levels: int | None, rough: dict[str, int], rows_per_bucket: int,
            hot_rows: int) -> _Rows:
     """Match one set of complete cases and evaluate all its metrics."""
-    covariates = find_levels(rows, list(columns.values()), max_levels, list(columns), rough)
+    titles = {x: name for name, x in columns.items()}
+    wide = wide_covariates(rows, list(titles), rough)
+    dense = [x for x in titles if x not in wide]
+    sizes = {x: rough[x] for x in dense if x in rough}
+    covariates = find_levels(rows, dense, shown=[titles[x] for x in dense], rough=sizes, **(
+        {} if max_levels is None else {"max_levels": max_levels}))
     slots, features = covariates.slots(), covariates.features()
-    design = rows.select(UNIT, "treated", *covariates.encoded(rows), *ys.values())
+    blocks, levels = [], {}
+    for x in wide:
+        levels[x] = Levels.of(rows, F.col(x), F.col("treated") == 1)
+        if max_levels is not None and levels[x].size > max_levels:
+            raise StatisticsError(f"covariate '{titles[x]}' has {levels[x].size} levels; at most {max_levels} are allowed.")
+        rows = levels[x].number(rows, F.col(x), f"w_{x}")
+        blocks.append(Block(f"w_{x}", levels[x].table.select("k", "n"), levels[x].size, levels[x].total, levels[x].largest))
+    slots = [*slots, *[b.column for b in blocks]]
+    design = rows.select(UNIT, "treated", *covariates.encoded(rows), *[b.column for b in blocks], *ys.values())
+    if blocks:
+        design = materialize(design, "design")
 
     outcome_columns = [F.col(y) for y in ys.values()]
-    arms = feature_stats(design, [*features, *outcome_columns], slots)
+    arms = feature_stats(design, [*features, *outcome_columns])
     if set(arms) != {0, 1}:
         raise StatisticsError("Matching needs rows of both arms, treated and control.")
     width = len(features)
     naive = {m: arms[1].means[width + i] - arms[0].means[width + i] for i, m in enumerate(ys)}
-    patterns = arms[0].patterns + arms[1].patterns
     arms = {t: ArmStats(a.n, a.means[:width], a.variances[:width]) for t, a in arms.items()}
     means, scales = pooled_scale(arms)
-    total = arms[0].n + arms[1].n
-    model = fit_propensity(design, features, means, scales, slots, total, patterns)
+    model = fit_propensity(design, features, means, scales, blocks)
 
-    scored = design.withColumn("p", model.probability(features)).withColumn("logit", logit(F.col("p")))
+    scored = model.scored(design, features).withColumn("logit", logit(F.col("p")))
     support = common_support(scored)
     caliper = caliper_sd * (support.logit_sd or 0.0)
     inside = scored.where(support.inside()).drop("p")
@@ -203,10 +243,13 @@ def _match(rows: DataFrame, ys: dict[str, str], columns: dict[str, str], caliper
     cuts = bucket_splits(sizes, sizes.columns, n_pairs, rows_per_bucket)
     sign = {m: -1 for m in diffs if direction == "auto" and att[m] < 0}
     bounds = rosenbaum_bounds(signed_rank_totals(pairs, diffs, cuts, sign), grid).collect()
-    discard(nearest, pairs)
+    found = _Rows([], [], [], [])
+    for x, block in zip(wide, blocks, strict=True):
+        found.wide_balance.append(_level_balance(
+            levels[x], pairs, block.column, titles[x], arms[1].n, arms[0].n, n_pairs, list(diffs)))
+    discard(nearest, pairs, *([design] if blocks else []), *model.level_weights)
     before = balance(covariates.feature_names, arms[1], arms[0])
     after = balance(covariates.feature_names, treated, control)
-    found = _Rows([], [], [])
     for m, d in diffs.items():
         curve = sorted((r["gamma"], r["upper_p"]) for r in bounds if r["metric"] == m)
         critical = next((g for g, p in curve if p > 0.05), None)

@@ -138,8 +138,7 @@ def test_model_is_the_penalised_optimum(spark, discrete):
     t = (rng.random(n) < 1 / (1 + np.exp(-(x[:, 0] - 10) * 0.5))).astype(int)
     df = spark.createDataFrame(pd.DataFrame({"_row_id": range(n), "treated": t, "v0": x[:, 0], "v1": x[:, 1]}))
     mean, scale = x.mean(0), x.std(0)
-    model = propensity.fit_propensity(df, [F.col("v0"), F.col("v1")], mean.tolist(), scale.tolist(),
-                                      ["v0", "v1"], n, 40 if discrete else n)
+    model = propensity.fit_propensity(df, [F.col("v0"), F.col("v1")], mean.tolist(), scale.tolist())
     want = newton_logistic((x - mean) / scale, t)
     assert [model.intercept, *model.weights] == pytest.approx(want.tolist(), abs=1e-6)
 

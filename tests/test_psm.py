@@ -122,7 +122,7 @@ def test_separated_arms_do_not_overlap(spark):
 def test_too_many_levels_is_an_error(balanced):
     wide = balanced.withColumn("name", F.col("user_id").cast("string"))
     with pytest.raises(StatisticsError, match="levels"):
-        propensity_score_match(wide, "revenue", *ARMS, ["name"])
+        propensity_score_match(wide, "revenue", *ARMS, ["name"], max_levels=256)
     with pytest.raises(StatisticsError, match="levels"):
         find_levels(wide.where("user_id < 12"), ["name"], max_levels=10)
 
