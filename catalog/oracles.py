@@ -447,6 +447,18 @@ ORACLES: dict[str, str] = {
         totals AS (SELECT SUM(o) AS n, COUNT(*) AS k, SUM(POWER(o, 2)) / AVG(o) - SUM(o) AS chi2 FROM arms)
         SELECT CAST(n AS BIGINT) AS n, k, k - 1 AS df, {r('chi2', 4)} AS chi2, CAST(0 AS DOUBLE) AS p_value,
                chi2 > (k - 1) + 40 * SQRT(2 * (k - 1)) AS srm_detected FROM totals""",
+    "d1_srm_plans": f"""WITH cells AS (
+          SELECT n_name, n_nationkey, o_orderpriority AS level, COUNT(*) AS o,
+                 CAST(SUM(COUNT(*)) OVER (PARTITION BY n_name) AS DOUBLE) AS n
+          FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3),
+        tested AS (
+          SELECT n_name, n_nationkey = 7 AS has_issue, CAST(ANY_VALUE(n) AS BIGINT) AS n, COUNT(*) AS k,
+                 SUM(POWER(o - n * share, 2) / (n * share)) AS x
+          FROM (SELECT *, CAST(0.2 AS DOUBLE) + (CAST(SUBSTR(level, 1, 1) AS INTEGER) - 3) * (n_nationkey % 5) / CAST(500 AS DOUBLE)
+                  AS share FROM cells) GROUP BY 1, 2)
+        SELECT n_name, n, k, has_issue, CASE WHEN NOT has_issue THEN {r('x', 6)} END AS chi2,
+               CASE WHEN NOT has_issue THEN {r('EXP(-x / 2) * (1 + x / 2)', 8)} END AS p_value,
+               CASE WHEN NOT has_issue THEN EXP(-x / 2) * (1 + x / 2) < 0.001 END AS srm_detected FROM tested""",
     "d1_srm_levels": f"""WITH {EXPERIMENT_SQL}
         SELECT variant_conf AS level, COUNT(*) AS observed,
                CAST(CASE variant_conf WHEN 'control' THEN 0.38 ELSE 0.62 END AS DOUBLE) AS expected_ratio,
@@ -588,9 +600,6 @@ ORACLES: dict[str, str] = {
                      THEN AVG(CASE WHEN att <= 0 THEN 1 ELSE 0 END)
                      ELSE AVG(CASE WHEN att >= 0 THEN 1 ELSE 0 END) END)''', 6)} AS p_value
         FROM resampled JOIN estimates USING (metric) GROUP BY metric""",
-    "f7_bootstrap_hashed": """
-        SELECT UNNEST(['revenue', 'converted']) AS metric, CAST(500 AS BIGINT) AS resamples, TRUE AS se_is_near,
-               TRUE AS covered""",
     "f9_psm_numeric": f"""WITH {fitted_pairs()},
         sizes AS (SELECT COUNT(*) FILTER (WHERE treated = 1) AS t, COUNT(*) FILTER (WHERE treated = 0) AS c,
                     AVG(revenue) FILTER (WHERE treated = 1) - AVG(revenue) FILTER (WHERE treated = 0) AS naive_revenue,

@@ -17,7 +17,7 @@ from fairsplit.operators.profile import profile_table
 from fairsplit.operators.levels import Levels, sparse_design
 from fairsplit.operators.logistic import Block, fit_groups
 from fairsplit.operators.roles import classify
-from fairsplit.operators.srm import srm_check
+from fairsplit.operators.srm import plans_from_json, srm_by_plan, srm_check
 from fairsplit.operators.verdict import decide_verdict
 from fairsplit.plans.analyze import analyze
 from fairsplit.plans.ordered import bucket_splits, midranks, with_buckets
@@ -31,6 +31,7 @@ from . import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONTROL, TREATMENT = "control", "treatment"
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 # Small buckets let the ordered scans work on several buckets on small tables too.
 BUCKET_ROWS = 2_500
 
@@ -259,6 +260,21 @@ def d1_srm_many_arms(spark, sf_dir):
                         "srm_detected")
 
 
+def d1_srm_plans(spark, sf_dir):
+    """Every nation has a plan of its own for the priorities, given as JSON; one nation has none."""
+    orders = inputs.read(spark, sf_dir, "orders").join(
+        inputs.read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+        F.broadcast(inputs.read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    nations = inputs.read(spark, sf_dir, "nation").where("n_nationkey != 7")
+    tilt = F.col("n_nationkey") % 5
+    shares = F.map_from_entries(F.array(*[
+        F.struct(F.lit(name), F.lit(0.2) + (F.lit(i) - 2) * tilt / 500) for i, name in enumerate(PRIORITIES)]))
+    plans = plans_from_json(nations.select("n_name", F.to_json(shares).alias("plan")), ["n_name"])
+    found = srm_by_plan(orders, "o_orderpriority", plans, ["n_name"]).summary
+    return found.select("n_name", "n", "k", rounded("chi2", 6).alias("chi2"), rounded("p_value", 8).alias("p_value"),
+                        "srm_detected", F.col("issue").isNotNull().alias("has_issue"))
+
+
 def d1_srm_levels(spark, sf_dir):
     levels = srm_check(inputs.units(spark, sf_dir), "variant_conf", inputs.PLAN,
                        on_issue="keep").levels
@@ -523,11 +539,10 @@ def f7_bootstrap_hashed(spark, sf_dir):
     _, pairs, counts = _match(spark, sf_dir)
     pairs = materialize(pairs.select(matching.UNIT, *DIFFS.values()), "pairs")
     drawn = effects.bootstrap_effects(pairs, DIFFS, 500, 0, counts["matched"])
-    paired = effects.matched_effect(pairs, DIFFS)
-    found = effects.bootstrap_summary(drawn, paired.select("metric", "psm_att")).drop("psm_att").join(paired, "metric")
-    ratio = F.col("psm_se_bootstrap") / F.col("psm_se_paired_t")
-    return found.select("metric", "resamples", ratio.between(0.8, 1.25).alias("se_is_near"),
-                        F.col("psm_att").between(F.col("psm_ci_low"), F.col("psm_ci_high")).alias("covered"))
+    found = effects.bootstrap_summary(drawn, effects.matched_effect(pairs, DIFFS).select("metric", "psm_att"))
+    return found.select("metric", "resamples", "psm_att", rounded("psm_se_bootstrap", 4).alias("se"),
+                        rounded("psm_ci_low", 4).alias("ci_low"), rounded("psm_ci_high", 4).alias("ci_high"),
+                        rounded("psm_p_value", 6).alias("p_value"))
 
 
 def f8_rosenbaum(spark, sf_dir):
@@ -629,7 +644,7 @@ QUERIES: dict[str, Query] = {
         b8_roles,
         c1_arm_filter, c2_complete_cases, c3_design_matrix, c3_wide, c4_cuped_column, c5_adapt, c6_sample,
         c7_significance,
-        d1_srm, d1_srm_uniform, d1_srm_many_arms, d1_srm_levels, d2_kind, d3_chi_square, d4_wilson, d5_newcombe,
+        d1_srm, d1_srm_uniform, d1_srm_many_arms, d1_srm_plans, d1_srm_levels, d2_kind, d3_chi_square, d4_wilson, d5_newcombe,
         d6_effect_size, d7_welch, d8_cuped, d9_mann_whitney, d10_balance, d11_naive, d12_att,
         d13_adapt_stats,
         e1_midrank, e2_bh, e2_bh_fleet, e3_bonferroni,

@@ -104,8 +104,8 @@ def analyze(
         out["quality"] = quality.table(spark)
     out["roles"] = spark.createDataFrame(
         [(roles.variant_column, roles.control_label, roles.treatment_label, roles.primary_metric,
-          list(roles.secondary_metrics), list(roles.covariates), roles.rationale)],
+          list(roles.secondary_metrics), list(roles.covariates), roles.rationale, list(roles.warnings))],
         "variant_column string, control_label string, treatment_label string, "
         "primary_metric string, secondary_metrics array<string>, covariates array<string>, "
-        "rationale string")
+        "rationale string, warnings array<string>")
     return out

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataError
@@ -57,37 +59,65 @@ def sample_rows(df: DataFrame, sample: int | None, seed: int = 0, *, rows: int |
 
     The choice depends on content and seed only. ``stratified`` keeps the split: each arm, as the mapping
     will define it, gives its share of ``sample``, rounded down, and the largest remainder is filled up.
-    The hash range is cut into 2^16 cells; only the cell that the last row falls in is sorted.
+    The hash of the last row is found by histograms, of 2^16 cells and then twice of 2^12 within one; nothing is sorted.
+    Rows with that very hash (equal rows, but for chance) are numbered in their partition and each partition gives as
+    many as are still due after the ones before it.
     """
     if sample is None:
         return df
     arm = F.when(_number("treatment") == 1, 1).otherwise(0) if stratified else F.lit(0)
     marked = df.withColumns({"_arm": arm, "_word": row_word(df, seed)})
-    cells = marked.groupBy("_arm", F.shiftright("_word", 24).alias("cell")).count().collect()
+    word, arm = F.col("_word"), F.col("_arm")
+    cells = marked.groupBy("_arm", F.shiftright(word, _SHIFTS[0]).alias("cell")).count().collect()
     sizes: dict[int, int] = {}
     for cell in cells:
         sizes[cell["_arm"]] = sizes.get(cell["_arm"], 0) + cell["count"]
     total = sum(sizes.values())
     if sample >= total:
         return df
-    wanted = {a: sample * n // total for a, n in sizes.items()}
-    for a in sorted(sizes, key=lambda a: (-(sample * sizes[a] % total), a))[:sample - sum(wanted.values())]:
-        wanted[a] += 1
-    whole, edge = F.lit(False), None
-    for a in sizes:
-        left, last = wanted[a], -1
-        for cell in sorted((c for c in cells if c["_arm"] == a), key=lambda c: c["cell"]):
-            if cell["count"] > left:
-                last = cell["cell"]
-                break
-            left -= cell["count"]
-        own, cell = F.col("_arm") == a, F.shiftright("_word", 24)
-        whole = whole | (own & ((cell < last) if last >= 0 else F.lit(True)))
-        if last >= 0 and left:
-            some = marked.where(own & (cell == last)).orderBy("_word").limit(left)
-            edge = some if edge is None else edge.unionAll(some)
-    drawn = marked.where(whole)
-    return (drawn if edge is None else drawn.unionAll(edge)).drop("_arm", "_word")
+    due = {a: sample * n // total for a, n in sizes.items()}
+    for a in sorted(sizes, key=lambda a: (-(sample * sizes[a] % total), a))[:sample - sum(due.values())]:
+        due[a] += 1
+    last: dict[int, tuple[int, int]] = {}
+    for i, shift in enumerate(_SHIFTS):
+        if i:
+            inside = [(arm == a) & (F.shiftright(word, _SHIFTS[i - 1]) == cell) for a, (cell, _) in last.items()]
+            cells = marked.where(reduce(or_, inside)).groupBy("_arm", F.shiftright(word, shift).alias("cell")).count().collect()
+        last = {a: _reached(cells, a, due) for a in sizes}
+    below = reduce(or_, [(arm == a) & (word < cell) for a, (cell, _) in last.items()])
+    chosen = marked.where(below)
+    for a, (cell, ties) in last.items():
+        on_it = marked.where((arm == a) & (word == cell))
+        if due[a] == ties:
+            chosen = chosen.unionAll(on_it)
+        elif due[a]:
+            chosen = chosen.unionAll(_some_of(on_it, due[a]))
+    return chosen.drop("_arm", "_word")
+
+
+#: Bits of the hash below the cells of each histogram.
+_SHIFTS = (24, 12, 0)
+
+
+def _reached(cells: list, arm: int, due: dict[int, int]) -> tuple[int, int]:
+    """The cell in which an arm's last row lies and how many rows it has; ``due`` is left with what is due from it."""
+    own = sorted((c["cell"], c["count"]) for c in cells if c["_arm"] == arm)
+    for cell, n in own:
+        if n >= due[arm]:
+            return cell, n
+        due[arm] -= n
+    raise AssertionError("fewer rows than were counted")
+
+
+def _some_of(rows: DataFrame, n: int) -> DataFrame:
+    """Exactly ``n`` of some rows, without sorting or a limit. The rows are stored with the number of their partition and
+    their place in it, so that counting and choosing see the same numbers."""
+    numbered = materialize(rows.withColumns({
+        "_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "ties")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    quota = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", (F.lit(n) - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_quota"))
+    return numbered.join(F.broadcast(quota), "_part").where("_place < _quota").select(*rows.columns)
 
 
 def adaptation_stats(raw: DataFrame, mapped: DataFrame, malformed: int = 0) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from conftest import plan_text
 from fairsplit.operators import matching, propensity
-from fairsplit.operators.effects import (bootstrap_effects, bootstrap_summary, critical_gamma, digest_word,
-                                         matched_effect, poisson_count, poisson_draws,
-                                         rosenbaum_bounds, signed_rank_totals)
+from fairsplit.operators.effects import (bootstrap_effects, bootstrap_summary, cell_draws, critical_gamma,
+                                         digest_word, hash_cell, matched_effect, poisson_count,
+                                         poisson_draws, rosenbaum_bounds, signed_rank_totals, unit_draws)
 from fairsplit.plans.ordered import bucket_splits, midranks, with_buckets
 
 
@@ -193,6 +193,36 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert np.allclose(*runs, rtol=1e-12)
 
 
+@pytest.mark.parametrize("n", [1, 700, 20_000])
+def test_resamples_have_the_size_of_the_table_and_its_sums(spark, n):
+    """Every resample against numpy on the same cells: whole counts that add up to the number of pairs."""
+    rng = np.random.default_rng(8)
+    d = rng.normal(1.0, 2.0, n)
+    pairs = spark.createDataFrame(pd.DataFrame({"_row_id": range(n), "d": d}))
+    bits, b, seed = max(0, int(np.ceil(np.log2(n / 4_096)))), 12, 5
+    p = pairs.select(F.xxhash64("_row_id").alias("u"), "d").withColumn("cell", hash_cell(bits)).toPandas()
+    sizes = np.bincount(p.cell, minlength=1 << bits)
+    want, drawn = np.zeros(b), np.zeros(b, int)
+    for cell, rows in p.sort_values(["cell", "u"]).groupby("cell"):
+        for i, counts in enumerate(unit_draws(cell_draws(sizes, cell, b, seed), cell, len(rows), seed)):
+            assert len(counts) == len(rows)
+            want[i] += counts @ rows.d.to_numpy()
+            drawn[i] += counts.sum()
+    assert (drawn == n).all()
+    got = bootstrap_effects(pairs, {"m": "d"}, b, seed, n_pairs=n).orderBy("resample").toPandas()["att"]
+    assert np.allclose(got, want / n, rtol=1e-9)
+
+
+def test_draws_split_like_a_multinomial():
+    sizes = np.array([10, 0, 500, 90, 1, 0, 0, 399])
+    draws = np.array([cell_draws(sizes, c, 4_000, 2) for c in range(8)])
+    assert (draws.sum(axis=0) == 1_000).all() and not draws[[1, 5, 6]].any()
+    share = sizes / 1_000
+    assert np.allclose(draws.mean(axis=1), sizes, atol=0.8)
+    assert np.allclose(draws.var(axis=1)[share > 0], (1_000 * share * (1 - share))[share > 0], rtol=0.12)
+    assert np.cov(draws[2], draws[7])[0, 1] == pytest.approx(-1_000 * 0.5 * 0.399, rel=0.12)
+
+
 def exact_bound(d, gamma):
     """Probability of so large a rank sum if every pair is positive with the worst odds ``gamma``: all sign
     patterns, added up rank by rank."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fairsplit import StatisticsError, srm_check
-from fairsplit.operators.srm import srm_from_counts
+from fairsplit.operators.srm import plans_from_json, srm_by_plan, srm_from_counts
 
 
 def test_fair_split_passes(balanced):
@@ -113,3 +113,38 @@ def test_first_arms_are_bounded(spark):
     assert whole.first()["split"].endswith(" and 292 more")
     for table in (summary, whole):
         assert "Limit" in table._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_given_plan_needs_no_list_of_arms(spark):
+    from conftest import plan_text
+    counts = spark.createDataFrame([("x", "a", 300), ("x", "b", 100), ("y", "a", 5)], "e string, level string, observed long")
+    text = plan_text(srm_from_counts(counts, "arm", {"a": 0.5, "b": 0.5}, by=["e"]).summary)
+    assert "Window" not in text and "Join" not in text
+
+
+def test_plans_of_their_own(spark):
+    rows = [("x", "a")] * 60 + [("x", "b")] * 40 + [("y", "a")] * 90 + [("y", "c")] * 10 + [("none", "a")] * 50 + [("none", "b")] * 50
+    rows += [("extra", "a")] * 50 + [("extra", "z")] * 50 + [("short", "a")] * 9 + [("short", "b")] * 9 + [(None, "a")] * 30 + [(None, "b")] * 70
+    rows += [("sum", "a")] * 50 + [("sum", "b")] * 50 + [("tiny", "a")] * 100 + [("tiny", "b")] * 1 + [("x", None)] * 7
+    plans = [("x", '{"a": 0.5, "b": 0.5}'), ("y", '{"a": 0.9, "c": 0.1}'), ("extra", '{"a": 0.5, "b": 0.5}'),
+             ("short", '{"a": 0.5, "b": 0.25, "c": 0.25}'), (None, '{"b": 0.7, "a": 0.3}'), ("sum", '{"a": 0.5, "b": 0.4}'),
+             ("tiny", '{"a": 0.99, "b": 0.01}'), ("unseen", '{"a": 1.0}'), ("none", "no json")]
+    table = plans_from_json(spark.createDataFrame(plans, "e string, plan string"), ["e"])
+    tables = srm_by_plan(spark.createDataFrame(rows, "e string, arm string"), "arm", table, ["e"])
+    found = {r["e"]: r for r in tables.summary.collect()}
+    assert set(found) == {"x", "y", "none", "extra", "short", "sum", "tiny", None}
+    assert found["x"]["chi2"] == pytest.approx(4.0) and found["x"]["issue"] is None and found["x"]["n"] == 100
+    assert found["y"]["chi2"] == pytest.approx(0.0, abs=1e-9) and found[None]["chi2"] == pytest.approx(0.0, abs=1e-9)
+    wanted = {"none": "no plan", "extra": "not planned", "short": "absent", "sum": "instead of 1", "tiny": "fewer than 5 rows"}
+    for name, text in wanted.items():
+        assert text in found[name]["issue"] and found[name]["p_value"] is None and found[name]["chi2"] is None
+    levels = {(r["e"], r["level"]): r for r in tables.levels.collect()}
+    assert levels["x", "a"]["observed_ratio"] == pytest.approx(0.6) and levels["short", "c"]["observed"] is None
+
+
+def test_repeated_or_empty_shares(spark):
+    rows = spark.createDataFrame([("x", "a")] * 50 + [("x", "b")] * 50 + [("y", "a")] * 50 + [("y", "b")] * 50, "e string, arm string")
+    plans = spark.createDataFrame([("x", "a", 0.25), ("x", "a", 0.25), ("x", "b", 0.5), ("y", "a", 1.0), ("y", "b", 0.0)],
+                                  "e string, level string, share double")
+    for r in srm_by_plan(rows, "arm", plans, ["e"]).summary.collect():
+        assert "not positive" in r["issue"]
