@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import discard
 from .common import stored
 
 
@@ -41,4 +42,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if (new.n, new.s) == mark or new.n == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = (new.n, new.s)
-        now = stored(_small_star(_large_star(now)), "links")
+        old, now = now, stored(_small_star(_large_star(now)), "links")
+        discard(old)

@@ -6,7 +6,8 @@ a circle, and a band is the ``ROWS`` next ones after one of ``BANDS`` fixed poin
 which is the minimum under a shifted order, then the second, and so on. Lines that
 share a band are tied to the smallest and the largest line of that band, each tie is
 confirmed by the exact Jaccard similarity of the shingle sets. Lines of a band that
-is not one component by then are joined exactly by their rarest shingles, of which a
+is not one component by then are put in order by their further bands and tied to their
+neighbours; what is still apart is joined exactly by its rarest shingles, of which a
 pair at the threshold shares one. Of every component of confirmed ties one line
 stays: the first by document and place.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import discard
 from .common import stored
 from .components import components
 
@@ -28,6 +30,8 @@ BANDS, ROWS = 12, 3
 PERCENT = 80
 #: A side of a join is broadcast only if it was counted and has at most so many narrow rows.
 BROADCAST_ROWS = 1_000_000
+#: Neighbours in an order are compared up to this distance, and if so many of their bands are equal.
+NEAR, EQUAL_BANDS = 4, 4
 #: Band points are multiples of 2^40, which tells them from hashes.
 _LOW_BITS = (1 << 40) - 1
 _POINTS = [((j << 64) // BANDS & ~_LOW_BITS) - (1 << 63) for j in range(BANDS)]
@@ -102,13 +106,38 @@ def line_texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def confirmed_ties(lines: DataFrame, ties: DataFrame, percent: int) -> DataFrame:
     """The ties whose lines share at least ``percent`` of the union of their shingles."""
-    texts = line_texts(lines, stored(ties.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends"))
-    return (ties.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
+    ends = stored(ties.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    texts = line_texts(lines, ends)
+    discard(ends)
+    found = (ties.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
             .select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
             .withColumn("n", F.size(F.array_intersect("x", "y")))
             .where(100 * F.col("n") >= percent * (F.size("x") + F.size("y") - F.col("n")))
             .select("a", "b"))
+    found = stored(found, "confirmed")
+    discard(texts)
+    return found
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Ties of lines that lie near each other in one band, in the order of the bands that follow it.
+
+    ``rows`` has ``node``, ``c`` (component) and the bands ``keys``. Lines that share further bands are likely alike, so this joins most
+    of a large family before any pairs are formed. The order is dealt by range, so a band of any size is
+    spread; a tie over the edge of two ranges, or of lines with few equal bands, is left to the exact join.
+    """
+    follow = [F.get("keys", (F.col("j") + i) % BANDS).alias(f"f{i}") for i in range(4)]
+    banded = rows.select("node", "c", "keys", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("j"))
+    order = [f"f{i}" for i in range(4)] + ["node"]
+    ranged = banded.select("node", "c", "keys", *follow).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    before = Window.partitionBy("part").orderBy(*order)
+    near = ranged.select("node", "c", "keys", "f0", F.array(*[
+        F.lag(F.struct("node", "c", "keys", "f0"), i).over(before) for i in range(1, NEAR + 1)]).alias("near"))
+    pairs = near.select("node", "c", "keys", "f0", F.explode("near").alias("b")).where("b.f0 = f0 AND b.c != c")
+    equal = F.size(F.filter(F.zip_with("keys", "b.keys", lambda x, y: x == y), lambda same: same))
+    return pairs.where(equal >= EQUAL_BANDS).select(
+        F.least("node", "b.node").alias("a"), F.greatest("node", "b.node").alias("b")).distinct()
 
 
 def rarest_pairs(lines: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
@@ -130,16 +159,19 @@ def rarest_pairs(lines: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
     ranked = stored(ranked.select("shingle", "node", "c", "n", "place", "small"), "rarest")
     # A shingle of one component has no pairs: a family that is tied goes no further.
     live = ranked.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("small").alias("paired"))
-    ranked = stored(ranked.join(live.where("low != high and paired").select("shingle").hint("merge"), "shingle"),
-                    "open-rarest")
+    every, ranked = ranked, stored(
+        ranked.join(live.where("low != high and paired").select("shingle").hint("merge"), "shingle"), "open-rarest")
+    discard(texts, sets, often, every)
     x, y = ranked.alias("x"), ranked.where("small").alias("y")
     most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     met = x.join(y.hint("merge"), F.col("x.shingle") == F.col("y.shingle")).where(
         (F.col("x.c") != F.col("y.c")) & (F.struct("y.n", "y.node") < F.struct("x.n", "x.node"))
         & (100 * F.col("y.n") >= percent * F.col("x.n"))
         & ((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))))
-    return stored(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-                  .distinct(), "crowded-ties")
+    pairs = stored(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+                   .distinct(), "crowded-ties")
+    discard(ranked)
+    return pairs
 
 
 def similar_lines(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -155,17 +187,40 @@ def similar_lines(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     ties = attached(rows, shared, "key").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
     ties = stored(ties.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                   .distinct(), "ties")
-    tied = components(confirmed_ties(lines, ties, percent))
+    links = confirmed_ties(lines, ties, percent)
+    tied = components(links)
+    discard(shared, ties, links)
     # Lines of one band that are still apart, beyond the two ends: the other pairs of the band were not compared.
+    for exactly in (False, True):
+        crowd = _crowded(nodes, rows, tied)
+        if crowd is None:
+            break
+        if not exactly:
+            ties = stored(neighbours(crowd), "neighbours")
+        else:
+            ties = rarest_pairs(lines, crowd.select("node", "c"), percent)
+        links = confirmed_ties(lines, ties, percent)
+        stars = tied.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        wider = components(stars.unionAll(links))
+        discard(crowd, ties, links, tied)
+        tied = wider
+    discard(nodes)
+    return tied
+
+
+def _crowded(nodes: DataFrame, rows: DataFrame, tied: DataFrame) -> DataFrame | None:
+    """``node``, ``c`` (component) and ``keys`` of the lines of bands with three lines or more that are not one component."""
     apart = rows.join(tied, "node", "left").select("node", "key", F.coalesce("component", "node").alias("c"))
     open_ = stored(apart.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
                    .where("n > 2 and low != high").select("key"), "open-bands")
     if open_.isEmpty():
-        return stored(tied, "line-components")
-    crowd = stored(attached(apart, open_, "key").select("node", "c").distinct(), "crowded-lines")
-    links = confirmed_ties(lines, rarest_pairs(lines, crowd, percent), percent)
-    stars = tied.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return stored(components(stars.unionAll(links)), "line-components")
+        discard(open_)
+        return None
+    lines = stored(attached(apart, open_, "key").select("node", "c").distinct(), "open-lines")
+    crowd = stored(attached(nodes, lines, "node").select(
+        "node", "c", F.array(*[f"k{i}" for i in range(BANDS)]).alias("keys")), "crowded-lines")
+    discard(open_, lines)
+    return crowd
 
 
 def deduplicate_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
@@ -192,6 +247,8 @@ def deduplicate_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     removed = (attached(named, repeated, "component").where(F.struct("doc_id", "place") != F.col("first"))
                .groupBy("doc_id").agg(F.collect_set("place").alias("gone")))
     every = F.split(F.col("text"), "\n")
+    removed = stored(removed, "removed")
+    discard(tied, placed, repeated)
     kept = F.array_join(F.filter(every, lambda line, i: ~F.array_contains("gone", i)), "\n")
     filled = F.size(F.filter(every, lambda line: normal(line) != ""))
     return source.join(removed.hint("merge"), "doc_id", "left").select(
