@@ -10,11 +10,12 @@ from fairsplit.llm import near_dedup
 from llm_documents import prose, table
 
 
-def brute(rows):
+def brute(rows, width=2):
     sets = {}
     for i, text in rows:
         words = (text or "").encode().lower().split()
-        sets[i] = frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset((w,) for w in words)
+        runs = [tuple(words[k:k + width]) for k in range(len(words) - width + 1)]
+        sets[i] = frozenset(runs) if runs else frozenset([tuple(words)] if words else [])
     parent = {i: i for i in sets}
 
     def root(x):

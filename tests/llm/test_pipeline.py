@@ -32,7 +32,7 @@ def test_against_plain_stages(spark, tmp_path):
     left = [(i, t) for i, t, *_ in rows if any(c.isalpha() for c in t or "")]
     cleaned = plain_lines(left)
     left = [(i, cleaned[i]) for i, _ in left if cleaned[i].strip()]
-    groups = plain_groups(left)
+    groups = plain_groups(left, width=5)
     left = [(i, t) for i, t in left if groups[i][1] == i]
     spans = plain_spans([t for _, t in left], list(enumerate(items)))
     left = [(i, t) for (i, t), (words, hit, _) in zip(left, spans) if not (hit and 20 * hit >= words)]
