@@ -32,8 +32,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    """One document of each group of near duplicates, by runs of five words."""
+    gone = near_dedup.near_duplicates(docs, words=5).where(~F.col("kept")).select("doc_id").distinct()
     return _documents(docs.join(gone.hint("merge"), "doc_id", "left_anti"))
 
 
