@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import field_type, present, quoted
-from ..plans.storage import materialize
+from ..plans.attach import HOT_ROWS, MAX_HOT
+from ..plans.storage import discard, materialize
 
 ROW_ID = "_row_id"
 COERCE_SHARE = 0.80
@@ -72,6 +73,74 @@ class Identifier:
 
 # A sketched share of distinct values this far below one half settles that a column is no identifier.
 SKETCH_MARGIN = 0.1
+# So many repeated values at most are broadcast; they were counted before.
+BROADCAST_KEYS = 500_000
+
+
+@dataclass
+class Repeats:
+    """The values of one column that occur in several rows, as a stored table, and the rows without a value.
+
+    ``table`` has ``_key``, ``_first`` (smallest ``_row_id``) and ``_n`` (rows) of each repeated value.
+    """
+
+    table: DataFrame
+    values: int
+    rows: int
+    largest: int
+
+    @property
+    def excess(self) -> int:
+        """Rows that are not the first of their value."""
+        return self.rows - self.values
+
+
+def repeated_values(df: DataFrame, column: str) -> Repeats:
+    """Find the repeated values of a column; only values that can repeat are shuffled whole.
+
+    Values are counted by their 64-bit hash first, sixteen bytes each after map-side combining. The hashes
+    that occur more than once, usually few, pick the rows whose values are then counted exactly, so two
+    values with one hash are told apart.
+    """
+    filled = df.select(F.col(quoted(column)).alias("_key"), *([ROW_ID] if ROW_ID in df.columns else [])) \
+        .where("_key IS NOT NULL").withColumn("_hash", F.xxhash64("_key"))
+    hashes = materialize(filled.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+                         .select("_hash"), "repeated-hashes")
+    few = hashes.count() <= BROADCAST_KEYS
+    picked = filled.join(F.broadcast(hashes) if few else hashes, "_hash", "left_semi")
+    first = F.min(ROW_ID) if ROW_ID in df.columns else F.lit(None).cast("bigint")
+    table = materialize(picked.groupBy("_key").agg(first.alias("_first"), F.count(F.lit(1)).alias("_n"))
+                        .where("_n > 1"), "repeated-values")
+    discard(hashes)
+    total = table.agg(F.count(F.lit(1)).alias("v"), F.sum("_n").alias("n"), F.max("_n").alias("most")).first()
+    return Repeats(table, total["v"], total["n"] or 0, total["most"] or 0)
+
+
+def _candidates(df: DataFrame) -> tuple[list[str], list[Column]]:
+    """Identifier-named columns, and the aggregates that tell which of them can be one."""
+    named = [c for c in data_columns(df) if c.lower() in IDENTIFIER_NAMES]
+    parts = []
+    for i, c in enumerate(named):
+        parts += [F.count(quoted(c)).alias(f"idn{i}"), F.approx_count_distinct(quoted(c), 0.02).alias(f"idd{i}")]
+        if ROW_ID in df.columns:
+            parts.append(F.min(F.when(F.col(quoted(c)).isNull(), F.col(ROW_ID))).alias(f"idm{i}"))
+    return named, parts
+
+
+def _choose(df: DataFrame, named: list[str], row: Row) -> tuple[Identifier, Repeats | None, Column | None]:
+    """The identifier, its repeats and the first row without one (None: all have one), from the counts of :func:`_candidates`."""
+    for i, name in enumerate(named):
+        filled = row[f"idn{i}"]
+        if not filled or row[f"idd{i}"] < (0.5 - SKETCH_MARGIN) * row["n"]:
+            continue
+        repeats = repeated_values(df, name)
+        distinct = filled - repeats.excess
+        if distinct / row["n"] > 0.5:
+            kept = distinct + (1 if filled < row["n"] else 0)
+            gap = filled < row["n"] and ROW_ID in df.columns
+            return Identifier(name, row["n"] - kept), repeats, F.lit(row[f"idm{i}"]) if gap else None
+        discard(repeats.table)
+    return Identifier(None), None, None
 
 
 def find_identifier(df: DataFrame) -> Identifier:
@@ -80,36 +149,58 @@ def find_identifier(df: DataFrame) -> Identifier:
     One pass sketches all candidates; only those near or above one half are counted exactly, one at a
     time and in order, so no row is multiplied by the number of candidates.
     """
-    named = [c for c in data_columns(df) if c.lower() in IDENTIFIER_NAMES]
+    named, parts = _candidates(df)
     if not named:
         return Identifier(None)
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(named)],
-                 *[F.approx_count_distinct(quoted(c), 0.02).alias(f"d{i}")
-                   for i, c in enumerate(named)]).first()
-    for i, name in enumerate(named):
-        if not row[f"n{i}"] or row[f"d{i}"] < (0.5 - SKETCH_MARGIN) * row["n"]:
-            continue
-        distinct = df.select(F.col(quoted(name)).alias("v")).where("v IS NOT NULL").distinct().count()
-        if distinct / row["n"] > 0.5:
-            kept = distinct + (1 if row[f"n{i}"] < row["n"] else 0)
-            return Identifier(name, row["n"] - kept)
-    return Identifier(None)
+    found, repeats, _ = _choose(df, named, df.agg(F.count(F.lit(1)).alias("n"), *parts).first())
+    if repeats:
+        discard(repeats.table)
+    return found
+
+
+def _split_repeats(df: DataFrame, identifier: str, repeats: Repeats, first_null: Column | None,
+                   later: bool) -> DataFrame:
+    """The rows that are not the first of their value (``later``), or all others.
+
+    Rows without a value never enter the join. Repeated values are broadcast if their counted number
+    allows; else the frequent ones are, and only the others meet their rows in a shuffle.
+    """
+    key = F.col(quoted(identifier))
+    columns = [F.col(quoted(c)) for c in df.columns]
+    known = df.where(key.isNotNull())
+    how = "inner" if later else "left"
+
+    def marked(rows: DataFrame, table: DataFrame) -> DataFrame:
+        again = F.col("_first") != F.col(ROW_ID)
+        joined = rows.join(table.select("_key", "_first"), key == F.col("_key"), how)
+        return joined.where(again if later else F.col("_first").isNull() | ~again).select(*columns)
+
+    threshold = max(HOT_ROWS, -(-repeats.rows // MAX_HOT))
+    if repeats.values <= BROADCAST_KEYS:
+        split = marked(known, F.broadcast(repeats.table))
+    elif repeats.largest <= threshold:
+        split = marked(known, repeats.table)
+    else:
+        hot = F.broadcast(repeats.table.where(F.col("_n") > threshold))
+        cold = repeats.table.where(F.col("_n") <= threshold)
+        frequent = known.join(hot, key == F.col("_key"), "left_semi")
+        rare = known.join(hot, key == F.col("_key"), "left_anti")
+        split = marked(frequent, hot).unionByName(marked(rare, cold))
+    if first_null is None:
+        return split
+    other = F.col(ROW_ID) != first_null if later else F.col(ROW_ID) == first_null
+    return split.unionByName(df.where(key.isNull() & other))
 
 
 def drop_double_logged(df: DataFrame, identifier: str) -> DataFrame:
     """Keep the first row (smallest ``_row_id``) per identifier value.
 
-    Rows without an identifier count as one value. Only values and row numbers are aggregated, with
-    map-side combining; the values that repeat are then joined back, so the table itself is not sorted.
+    Rows without an identifier count as one value. The values that repeat are found first (see
+    :func:`repeated_values`) and joined back, so the table itself is neither sorted nor shuffled while
+    they are few.
     """
-    key = F.col(quoted(identifier))
-    repeats = (df.select(key.alias("_key"), ROW_ID).groupBy("_key")
-               .agg(F.min(ROW_ID).alias("_first"), F.count(F.lit(1)).alias("_n"))
-               .where("_n > 1").drop("_n"))
-    later = F.col("_first").isNotNull() & (F.col("_first") != F.col(ROW_ID))
-    return df.join(repeats, key.eqNullSafe(F.col("_key")), "left").where(~later).select(
-        *[F.col(quoted(c)) for c in df.columns])
+    first_null = df.where(F.col(quoted(identifier)).isNull()).agg(F.min(ROW_ID)).scalar()
+    return _split_repeats(df, identifier, repeated_values(df, identifier), first_null, later=False)
 
 
 @dataclass
@@ -122,6 +213,15 @@ class ColumnFacts:
     whole: dict[str, int] = field(default_factory=dict)
     boolean: dict[str, int] = field(default_factory=dict)
 
+    def less(self, dropped: ColumnFacts) -> ColumnFacts:
+        """The facts of what is left when some rows are dropped."""
+        def rest(mine: dict[str, int], theirs: dict[str, int]) -> dict[str, int]:
+            return {c: n - theirs[c] for c, n in mine.items()}
+
+        return ColumnFacts(self.rows - dropped.rows, rest(self.filled, dropped.filled),
+                           rest(self.numeric, dropped.numeric), rest(self.whole, dropped.whole),
+                           rest(self.boolean, dropped.boolean))
+
     def empty(self) -> list[str]:
         return [c for c, n in self.filled.items() if n == 0]
 
@@ -133,8 +233,7 @@ class ColumnFacts:
                 if self.filled[c] and n / self.filled[c] >= COERCE_SHARE]
 
 
-def column_facts(df: DataFrame) -> ColumnFacts:
-    """One pass over the table; the numeric counts are for string columns."""
+def _fact_parts(df: DataFrame) -> list[Column]:
     names, texts = data_columns(df), text_columns(df)
     parts = [F.count(F.lit(1)).alias("n")]
     parts += [F.count(present(df, c)).alias(f"f{i}") for i, c in enumerate(names)]
@@ -143,7 +242,11 @@ def column_facts(df: DataFrame) -> ColumnFacts:
         parts += [F.count_if(col.rlike(NUMBER)).alias(f"k{i}"),
                   F.count_if(col.rlike(WHOLE)).alias(f"w{i}"),
                   F.count_if(col.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b{i}")]
-    row = df.agg(*parts).first()
+    return parts
+
+
+def _facts_of(df: DataFrame, row: Row) -> ColumnFacts:
+    names, texts = data_columns(df), text_columns(df)
     return ColumnFacts(
         row["n"], {c: row[f"f{i}"] for i, c in enumerate(names)},
         {c: row[f"k{i}"] for i, c in enumerate(texts)},
@@ -151,6 +254,11 @@ def column_facts(df: DataFrame) -> ColumnFacts:
         {c: row[f"b{i}"] for i, c in enumerate(texts)})
 
 
+def column_facts(df: DataFrame) -> ColumnFacts:
+    """One pass over the table; the numeric counts are for string columns."""
+    return _facts_of(df, df.agg(*_fact_parts(df)).first())
+
+
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Read the given string columns as numbers; other tokens become missing."""
     return df.withColumns({c: as_number(c) for c in columns})
@@ -217,18 +325,26 @@ def repair(df: DataFrame, drop_duplicates: bool = True,
            malformed: int = 0) -> tuple[DataFrame, QualityReport]:
     """Dedupe, drop empty columns, type and coerce a raw table with ``_row_id``.
 
-    Only when rows repeat is the table shuffled, and then stored, once.
+    One pass counts what each column holds and sketches the identifiers. The facts of the result are those
+    of the whole less those of the dropped rows; the result is stored only if its repeats are too many to
+    broadcast.
     """
     raw = blank_missing(df)
-    before = column_facts(raw)
+    named, parts = _candidates(raw) if drop_duplicates else ([], [])
+    row = raw.agg(*_fact_parts(raw), *parts).first()
+    before = _facts_of(raw, row)
     types = native_types(before)
     duplicates, facts, rows = 0, before, raw
-    if drop_duplicates:
-        found = find_identifier(raw)
-        if found.repeats:
-            rows = materialize(drop_double_logged(raw, found.column), "deduplicated")
-            facts = column_facts(rows)
-            duplicates = found.repeats
+    found, repeats, first_null = _choose(raw, named, row)
+    if found.repeats:
+        facts = before.less(column_facts(_split_repeats(raw, found.column, repeats, first_null, later=True)))
+        rows = _split_repeats(raw, found.column, repeats, first_null, later=False)
+        if repeats.values > BROADCAST_KEYS:
+            rows = materialize(rows, "deduplicated")
+            discard(repeats.table)
+        duplicates = found.repeats
+    elif repeats:
+        discard(repeats.table)
     empty = facts.empty()
     kept = rows.drop(*empty)
     types = {c: t for c, t in types.items() if c not in empty}
