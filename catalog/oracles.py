@@ -616,6 +616,32 @@ ORACLES: dict[str, str] = {
                {r("CASE metric WHEN 'revenue' THEN naive_revenue ELSE naive_converted END", 4)} AS naive_effect,
                {r('att', 4)} AS psm_att, {r('se', 4)} AS se
         FROM effects, sizes, kept, found, caliper""",
+    # Of two metrics the first is significant if its p is at most a half of 0.05, or both are at most 0.05.
+    "g3_numeric": f"""WITH {fitted_pairs()}, units AS (
+          SELECT 'revenue' AS metric, variant_conf, CAST(revenue AS DOUBLE) AS y FROM experiment
+          UNION ALL SELECT 'converted', variant_conf, CAST(converted AS DOUBLE) FROM experiment),
+        {arms('metric', 'y', 'variant_conf', 'units')}, {WELCH},
+        tested AS (
+          SELECT metric, n_c, n_t, m_t - m_c AS naive,
+                 CASE metric WHEN 'revenue' THEN ABS(t)
+                   ELSE SQRT((n_c + n_t) * POWER(s_t * (n_c - s_c) - s_c * (n_t - s_t), 2)
+                             / (CAST(n_c AS DOUBLE) * n_t * (s_c + s_t) * (n_c + n_t - s_c - s_t))) END AS z FROM welch),
+        judged AS (SELECT *, 2 * {normal_tail('z')} AS p FROM tested),
+        facts AS (
+          SELECT a.*, a.p <= 0.025 OR GREATEST(a.p, b.p) <= 0.05 AS hit,
+                 POWER(a.n_c - 0.38 * (a.n_c + a.n_t), 2) / (0.38 * (a.n_c + a.n_t))
+                 + POWER(a.n_t - 0.62 * (a.n_c + a.n_t), 2) / (0.62 * (a.n_c + a.n_t)) AS chi2
+          FROM judged a, judged b WHERE a.metric = 'revenue' AND b.metric = 'converted'),
+        effect AS (SELECT COUNT(*) AS n, AVG(d_revenue) AS att, STDDEV_SAMP(d_revenue) / SQRT(COUNT(*)) AS se FROM pairs),
+        ruled AS (
+          SELECT *, chi2 > 10.827566170662733 AS off, CASE WHEN chi2 > 10.827566170662733 THEN 1
+            WHEN hit AND naive * att < 0 AND ABS(naive) > 1e-9 THEN 2
+            WHEN hit AND ABS(naive) > 1e-9 AND ABS(att) < 0.5 * ABS(naive) AND ABS(att) <= 1.96 * se THEN 3
+            WHEN hit THEN 4 ELSE 5 END AS rule FROM facts, effect)
+        SELECT CASE WHEN rule <= 3 THEN 'EXPERIMENT COMPROMISED' WHEN rule = 4 THEN 'SAFE TO ROLL OUT'
+                 ELSE 'NO SIGNIFICANT EFFECT' END AS verdict, rule, 1 AS n_reasons, {r('chi2', 6)} AS chi2,
+               off AS srm_detected, n AS n_matched_pairs, {r('naive', 4)} AS naive_effect, {r('att', 4)} AS psm_att
+        FROM ruled""",
     "f8_rosenbaum": f"""WITH {SIGNED} {rank_sums('signed', 'size', 'up', 'metric')}, curve AS (
           SELECT metric, gamma, LEAST(
             (rank_sum - g * n * (n + 1) / 2) / SQRT(g * (1 - g) * rank_sq_sum),

@@ -19,6 +19,7 @@ from fairsplit.operators.logistic import Block, fit_groups
 from fairsplit.operators.roles import classify
 from fairsplit.operators.srm import plans_from_json, srm_by_plan, srm_check
 from fairsplit.operators.verdict import decide_verdict
+from fairsplit.plans.attach import attach
 from fairsplit.plans.analyze import analyze
 from fairsplit.plans.ordered import bucket_splits, midranks, with_buckets
 from fairsplit.plans.psm import propensity_score_match
@@ -632,6 +633,19 @@ def g3_analyze(spark, sf_dir):
     return tables["verdict"]
 
 
+def g3_numeric(spark, sf_dir):
+    """The whole analysis with one numeric covariate, so that SQL can repeat it to the verdict."""
+    tables = analyze(
+        inputs.experiment(spark, sf_dir), variant_column="variant_conf", control_label=CONTROL,
+        treatment_label=TREATMENT, primary_metric="revenue", secondary_metrics=["converted"],
+        covariates=["pre_value"], expected_ratio=inputs.PLAN, row_id="user_id", store_input=True)
+    primary = tables["psm"].where("metric = 'revenue'").select(
+        "n_matched_pairs", rounded("naive_effect", 4).alias("naive_effect"), rounded("psm_att", 4).alias("psm_att"))
+    srm = tables["srm"].select(rounded("chi2", 6).alias("chi2"), "srm_detected")
+    verdict = tables["verdict"].select("verdict", "rule", F.size("reasons").alias("n_reasons"))
+    return attach(attach(verdict, srm), primary)
+
+
 def flagship(spark, sf_dir):
     """Verdict of the confounded experiment, roles given."""
     return g3_analyze(spark, sf_dir)
@@ -650,6 +664,6 @@ QUERIES: dict[str, Query] = {
         e1_midrank, e2_bh, e2_bh_fleet, e3_bonferroni,
         f1_standardise, f2_propensity_model, f2_by_device, f2_wide, f3_logit, f4_support, f5_caliper, f6_match,
         f7_bootstrap, f7_bootstrap_hashed, f8_rosenbaum, f9_psm, f9_psm_numeric,
-        g1_verdict, g2_balance_table, g3_analyze,
+        g1_verdict, g2_balance_table, g3_analyze, g3_numeric,
     )
 }

@@ -16,6 +16,7 @@ from ..operators.profile import Profile, profile_table
 from ..operators.roles import Roles, check_roles, infer_roles, with_primary
 from ..operators.srm import SRM_THRESHOLD, planned_ratio, srm_from_counts
 from ..operators.verdict import decide_verdict
+from .branches import run_branches
 from .psm import propensity_score_match
 from .storage import materialize
 
@@ -55,7 +56,8 @@ def analyze(
 
     The input is read once for the moments, once for the ranks and once for
     the complete cases. If it is itself a costly query, ``store_input=True``
-    first writes the columns in use to the scratch folder.
+    first writes the columns in use to the scratch folder. Tests and match run at the same time (see
+    ``branches.py``).
     """
     spark = df.sparkSession
     if expected_ratio is not None:
@@ -87,16 +89,25 @@ def analyze(
     out["srm"] = raise_first_issue(materialize(srm.summary, "srm"))
     out["srm_levels"] = srm.levels
 
-    tests = metric_tests(df, roles.metrics, roles.variant_column, roles.control_label,
-                         roles.treatment_label, moments=moments)
-    out["metric_tests"] = adjust_p_values(tests, correction)
-
     matched = [m for m in roles.metrics if m != adjusted]
-    psm = None
-    if matched and roles.covariates:
-        tables = propensity_score_match(
+
+    def tested() -> DataFrame:
+        tests = metric_tests(df, roles.metrics, roles.variant_column, roles.control_label,
+                             roles.treatment_label, moments=moments)
+        return materialize(adjust_p_values(tests, correction), "metric_tests")
+
+    def matches():
+        return propensity_score_match(
             df, matched, roles.variant_column, roles.control_label, roles.treatment_label,
             roles.covariates, **psm_options)
+
+    # Ranks and match read the same units but not each other.
+    branches = {"tests": tested} | ({"match": matches} if matched and roles.covariates else {})
+    found = run_branches(spark, branches)
+    out["metric_tests"] = found["tests"]
+    psm = None
+    if "match" in found:
+        tables = found["match"]
         psm = tables.result
         out.update(psm=psm, balance=tables.balance, sensitivity=tables.sensitivity)
     out["verdict"] = decide_verdict(out["srm"], out["metric_tests"], psm, roles.primary_metric)

@@ -22,6 +22,7 @@ from ..operators.matching import (UNIT, match_counts, matched_pairs, nearest_con
                                   within_caliper)
 from ..operators.propensity import common_support, fit_propensity, logit
 from .attach import HOT_ROWS
+from .branches import run_branches
 from .ordered import ROWS_PER_BUCKET, bucket_splits
 from .storage import discard, materialize
 
@@ -77,9 +78,9 @@ def propensity_score_match(
 ) -> PsmTables:
     """Effect on the treated by 1-NN caliper matching on the propensity logit.
 
-    The complete cases are stored once, narrow. Metrics without missing values
-    among them share one model and one match; any other metric is matched on
-    its own complete cases. ``row_id`` names a unique column that
+    The complete cases are stored once, narrow. Metrics that miss the same rows
+    among them share one model and one match, those without missing values for
+    instance; the matches of different gaps run at the same time. ``row_id`` names a unique column that
     settles ties between controls (text is compared as text); without it row numbers are drawn when the
     complete cases are stored. ``direction="auto"`` bounds a negative effect in
     its own direction instead of always testing the upper tail. Categories may have any number of levels;
@@ -107,28 +108,39 @@ def propensity_score_match(
         *[as_double(df, m).alias(y) for m, y in outcomes.items()],
     ), "complete_cases")
 
-    if row_id:
-        twice = stored.groupBy(UNIT).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
-        if twice is not None:
-            raise StatisticsError(f"'{row_id}' does not tell units apart: {twice[UNIT]!r} has {twice['n']} rows.")
+    spark = df.sparkSession
     rough = rough_levels(stored, list(columns.values()))
-    filled = stored.agg(F.count(F.lit(1)).alias("n"),
-                        *[F.count(y).alias(y) for y in outcomes.values()],
-                        *[v.alias(c) for c, v in rough.items()]).first()
+    gaps = {m: F.col(y).isNull() for m, y in outcomes.items()}
+
+    def repeated() -> Row | None:
+        return stored.groupBy(UNIT).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first() if row_id else None
+
+    def counted() -> Row:
+        # Metrics with one gap have as many rows without a value as rows where both lack it.
+        both = [F.count_if(gaps[m] & gaps[o]).alias(f"g_{outcomes[m]}_{outcomes[o]}")
+                for i, m in enumerate(metrics) for o in metrics[i:]]
+        return stored.agg(F.count(F.lit(1)).alias("n"), *both, *[v.alias(c) for c, v in rough.items()]).first()
+
+    checked = run_branches(spark, {"units": repeated, "gaps": counted})
+    twice, filled = checked["units"], checked["gaps"]
+    if twice is not None:
+        raise StatisticsError(f"'{row_id}' does not tell units apart: {twice[UNIT]!r} has {twice['n']} rows.")
     rough = {c: filled[c] for c in rough}
-    shared = [m for m, y in outcomes.items() if filled[y] == filled["n"]]
-    groups = [shared] if shared else []
-    groups += [[m] for m in metrics if m not in shared]
-    found = _Rows([], [], [], [])
-    for group in groups:
+    groups = _same_gaps(metrics, outcomes, filled)
+
+    def branch(group: list[str]):
         ys = {m: outcomes[m] for m in group}
-        rows = stored if group == shared else stored.where(F.col(ys[group[0]]).isNotNull())
-        part = _match(rows, ys, columns, caliper_sd, bootstrap_samples, rosenbaum_grid,
-                      random_state, direction, max_levels, rough, rows_per_bucket, hot_rows)
+        y = ys[group[0]]
+        rows = stored.where(F.col(y).isNotNull()) if filled[f"g_{y}_{y}"] else stored
+        return lambda: _match(rows, ys, columns, caliper_sd, bootstrap_samples, rosenbaum_grid,
+                              random_state, direction, max_levels, rough, rows_per_bucket, hot_rows)
+
+    found = _Rows([], [], [], [])
+    parts = run_branches(spark, {f"match-{outcomes[group[0]]}": branch(group) for group in groups})
+    for part in parts.values():
         for target, new in zip(found, part, strict=True):
             target.extend(new)
     discard(stored)
-    spark = df.sparkSession
     order = {m: i for i, m in enumerate(metrics)}
     return PsmTables(
         spark.createDataFrame(sorted(found.result, key=lambda r: order[r["metric"]]), RESULT_SCHEMA),
@@ -136,6 +148,21 @@ def propensity_score_match(
         spark.createDataFrame(found.sensitivity, SENSITIVITY_SCHEMA))
 
 
+def _same_gaps(metrics: Sequence[str], outcomes: dict[str, str], counts: Row) -> list[list[str]]:
+    """Metrics in groups that lack a value in the same rows; the group without gaps comes first."""
+    groups: list[list[str]] = []
+    for m in metrics:
+        y = outcomes[m]
+        for group in groups:
+            o = outcomes[group[0]]
+            if counts[f"g_{y}_{y}"] == counts[f"g_{o}_{o}"] == counts[f"g_{o}_{y}"]:
+                group.append(m)
+                break
+        else:
+            groups.append([m])
+    return sorted(groups, key=lambda group: counts[f"g_{outcomes[group[0]]}_{outcomes[group[0]]}"] > 0)
+
+
 def _after_match(pairs: DataFrame, covariates: Covariates,
                  diffs: dict[str, str]) -> tuple[ArmStats, ArmStats, Row]:
     """Feature statistics of both sides of the pairs and of the differences."""
@@ -227,22 +254,32 @@ def _match(rows: DataFrame, ys: dict[str, str], columns: dict[str, str], caliper
         UNIT, "control_id", "gap", *slots, *[f"c_{s}" for s in slots],
         *[(F.col(y) - F.col(f"c_{y}")).alias(diffs[m]) for m, y in ys.items()]), "pairs")
 
-    treated, control, effect = _after_match(pairs, covariates, diffs)
-    n_pairs = effect["n"]
-    att = {m: effect[f"a_{d}"] for m, d in diffs.items()}
     spark = rows.sparkSession
-    b = bootstrap_samples
-    drawn = bootstrap_effects(pairs, diffs, b, seed, n_pairs)
+    b, n_pairs = bootstrap_samples, counts["matched"]
+
+    def effects():
+        treated, control, effect = _after_match(pairs, covariates, diffs)
+        return treated, control, effect, {m: effect[f"a_{d}"] for m, d in diffs.items()}
+
+    def bounded():
+        sizes = pairs.select(*[F.abs(d).alias(f"d{i}") for i, d in enumerate(diffs.values())])
+        cuts = bucket_splits(sizes, sizes.columns, n_pairs, rows_per_bucket)
+        att = pairs.agg(*[F.avg(d).alias(d) for d in diffs.values()]).first() if direction == "auto" else None
+        sign = {m: -1 for m, d in diffs.items() if att is not None and att[d] < 0}
+        return rosenbaum_bounds(signed_rank_totals(pairs, diffs, cuts, sign), grid).collect()
+
+    def resampled():
+        return materialize(bootstrap_effects(pairs, diffs, b, seed, n_pairs), "resamples")
+
+    # All three read the stored pairs only.
+    after = run_branches(spark, {"effects": effects, "resamples": resampled, "bounds": bounded})
+    (treated, control, effect, att), drawn, bounds = after["effects"], after["resamples"], after["bounds"]
     estimates = spark.createDataFrame(list(att.items()), "metric string, psm_att double")
     boot = {r["metric"]: r for r in bootstrap_summary(drawn, estimates).collect()}
+    discard(drawn)
     for r in boot.values():
         if (r["resamples"] or 0) < 2:
             raise StatisticsError("Fewer than two resamples have an effect.")
-
-    sizes = pairs.select(*[F.abs(d).alias(f"d{i}") for i, d in enumerate(diffs.values())])
-    cuts = bucket_splits(sizes, sizes.columns, n_pairs, rows_per_bucket)
-    sign = {m: -1 for m in diffs if direction == "auto" and att[m] < 0}
-    bounds = rosenbaum_bounds(signed_rank_totals(pairs, diffs, cuts, sign), grid).collect()
     found = _Rows([], [], [], [])
     for x, block in zip(wide, blocks, strict=True):
         found.wide_balance.append(_level_balance(
