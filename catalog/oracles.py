@@ -234,11 +234,14 @@ def clip_logit(p: str) -> str:
     return f"LN({clipped} / (1 - {clipped}))"
 
 
+#: Columns of the experiment, and whether they are numeric.
+PROFILED = {"user_id": True, "variant": False, "variant_conf": False, "pre_value": True,
+            "device": False, "converted": True, "revenue": True, "basket": True}
+
+
 def profile_rows() -> str:
-    numeric = {"user_id": True, "variant": False, "variant_conf": False, "pre_value": True,
-               "device": False, "converted": True, "revenue": True, "basket": True}
     rows = []
-    for i, (name, is_number) in enumerate(numeric.items()):
+    for i, (name, is_number) in enumerate(PROFILED.items()):
         outcome = f"MIN({name}) = 0 AND MAX({name}) = 1" if is_number else "FALSE"
         rows.append(f"""
   SELECT {i} AS position, '{name}' AS "column", {str(is_number).upper()} AS is_numeric,
@@ -376,6 +379,13 @@ ORACLES: dict[str, str] = {
         SELECT "column", is_numeric, is_binary_candidate,
                CASE WHEN is_binary_candidate THEN low || ',' || high ELSE '' END AS levels,
                {r('missing_frac', 8)} AS missing_frac FROM profile""",
+    "b7_merged": f"""WITH {EXPERIMENT_SQL}, facts AS ({' UNION ALL '.join(f"""
+          SELECT '{c}' AS "column", {str(number).upper()} AS is_numeric, COUNT(*) AS n_rows, COUNT({c}) AS filled,
+                 {f'CAST(MIN({c}) AS DOUBLE)' if number else 'CAST(NULL AS DOUBLE)'} AS lowest,
+                 {f'CAST(MAX({c}) AS DOUBLE)' if number else 'CAST(NULL AS DOUBLE)'} AS highest FROM experiment"""
+          for c, number in PROFILED.items())})
+        SELECT "column", is_numeric, n_rows, filled, {r('1 - filled / CAST(n_rows AS DOUBLE)', 8)} AS missing_frac,
+               {r('lowest', 4)} AS low, {r('highest', 4)} AS high FROM facts""",
     "b8_roles": f"""WITH {EXPERIMENT_SQL}, {profile_rows()}, named AS (
           SELECT *, {name_class()} AS name_class,
                  ROW_NUMBER() OVER (ORDER BY is_binary_candidate DESC, LOWER("column") NOT IN

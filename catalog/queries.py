@@ -16,6 +16,7 @@ from fairsplit.operators.metrics import (apply_cuped, arm_moments, compare_arms,
 from fairsplit.operators.profile import profile_table
 from fairsplit.operators.levels import Levels, sparse_design
 from fairsplit.operators.logistic import Block, fit_groups
+from fairsplit.operators.profile_store import merged_profile, sketch_load
 from fairsplit.operators.roles import classify
 from fairsplit.operators.srm import plans_from_json, srm_by_plan, srm_check
 from fairsplit.operators.verdict import decide_verdict
@@ -156,6 +157,16 @@ def b7_profile(spark, sf_dir):
         rounded("missing_frac", 8).alias("missing_frac"))
 
 
+def b7_merged(spark, sf_dir):
+    """Three loads sketched one by one, then the profile of all of them from the stored sketches."""
+    rows = materialize(inputs.experiment(spark, sf_dir), "loads")
+    sketched = [sketch_load(rows.where(F.col("user_id") % 3 == i), f"load {i}") for i in range(3)]
+    stored = materialize(sketched[0].unionByName(sketched[1]).unionByName(sketched[2]), "sketches")
+    return merged_profile(stored).select(
+        "column", "is_numeric", "n_rows", "filled", rounded("missing_frac", 8).alias("missing_frac"),
+        rounded("low", 4).alias("low"), rounded("high", 4).alias("high"))
+
+
 def b8_roles(spark, sf_dir):
     profile = profile_table(inputs.experiment(spark, sf_dir))
     return classify(profile.table(spark)).select("column", "name_class", "role")
@@ -654,7 +665,7 @@ def flagship(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         a1_csv_scan, a2_malformed_count, a3_na_tokens, a4_sinks,
-        b1_identifier, b2_dedupe, b3_all_null, b4_coerce, b5_missingness, b6_quality, b7_profile,
+        b1_identifier, b2_dedupe, b3_all_null, b4_coerce, b5_missingness, b6_quality, b7_profile, b7_merged,
         b8_roles,
         c1_arm_filter, c2_complete_cases, c3_design_matrix, c3_wide, c4_cuped_column, c5_adapt, c6_sample,
         c7_significance,
