@@ -32,57 +32,46 @@ PERCENT = 80
 BROADCAST_ROWS = 1_000_000
 #: Neighbours in an order are compared up to this distance, and if so many of their bands are equal.
 NEAR, EQUAL_BANDS = 4, 4
-#: Band points are multiples of 2^40, which tells them from hashes.
-_LOW_BITS = (1 << 40) - 1
-_POINTS = [((j << 64) // BANDS & ~_LOW_BITS) - (1 << 63) for j in range(BANDS)]
+#: The band points, in order.
+_POINTS = [(j << 64) // BANDS - (1 << 63) for j in range(BANDS)]
 
 
 def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r\f\v")))
 
 
-def _runs(chunk: Column, width: int, step: int) -> Column:
-    """Overlapping cuts of a text: every ``step`` characters, each long enough for all shingles that start in it."""
-    last = F.greatest(F.lit(0), F.floor((F.length(chunk) - F.lit(SHINGLE)) / F.lit(step))).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda c: F.substr(chunk, c * step + 1, F.lit(width)))
-
-
 def shingles(line: Column) -> Column:
     """Distinct 64-bit hashes of a line's shingles; a shorter line is one shingle.
 
-    The line is cut twice before single shingles are taken, since a substring costs its distance from
-    the start.
+    Four bytes per character make a shingle a slice at a known place. The one-element array binds these
+    bytes, which the optimizer would else compute again for every shingle.
     """
-    def hashes(piece: Column) -> Column:
-        last = F.greatest(F.lit(1), F.length(piece) - F.lit(SHINGLE - 1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substr(piece, i, F.lit(SHINGLE))))
-
-    pieces = F.flatten(F.transform(_runs(line, 4096 + SHINGLE - 1, 4096), lambda p: _runs(p, 64 + SHINGLE - 1, 64)))
-    return F.array_distinct(F.flatten(F.transform(pieces, hashes)))
+    width = 4 * SHINGLE
 
+    def hashes(code: Column) -> Column:
+        last = F.greatest(F.lit(1), F.octet_length(code) - F.lit(width - 1))
+        return F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda i: F.xxhash64(F.substr(code, i, F.lit(width))))
 
-def circle(line: Column) -> Column:
-    """Sorted distinct hashes of the shingles, and the band points among them."""
-    return F.sort_array(F.concat(shingles(line), F.array(*(F.lit(p) for p in _POINTS))))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), hashes)))
 
 
 def band_keys(lines: DataFrame, line: str) -> DataFrame:
     """The other columns, and ``keys``: one per band point, of the next ``ROWS`` hashes on the circle.
 
-    The beginning of the circle is repeated at its end. Each step is a column, so that none is computed
-    once per band.
+    The points are sorted in among the hashes; the place of point j less the j points before it is the place of
+    the next hash. The beginning of the circle is repeated at its end. Each step is a column that the next
+    one uses more than once, so that none is computed once per band.
     """
     rest = [c for c in lines.columns if c != line]
-    reach = ROWS + BANDS
-    ring = lines.select(*rest, circle(F.col(line)).alias("_ring"))
-    ring = ring.select(*rest, F.concat("_ring", F.slice("_ring", 1, reach)).alias("_ring"))
+    real = lines.select(*rest, F.sort_array(shingles(F.col(line))).alias("_real"))
+    both = real.select(*rest, F.concat("_real", F.slice("_real", 1, ROWS)).alias("_ring"),
+                       F.sort_array(F.concat("_real", F.array(*(F.lit(p) for p in _POINTS)))).alias("_all"))
 
-    def key(point: Column) -> Column:
-        ahead = F.slice("_ring", F.array_position("_ring", point).cast("int") + 1, F.lit(reach))
-        real = F.filter(ahead, lambda x: x.bitwiseAND(F.lit(_LOW_BITS)) != 0)
-        return F.xxhash64(point, F.slice(real, 1, ROWS))
+    def key(j: int, point: int) -> Column:
+        start = F.array_position("_all", F.lit(point)).cast("int") - F.lit(j)
+        return F.xxhash64(F.lit(point), F.slice("_ring", start, F.lit(ROWS)))
 
-    return ring.select(*rest, F.transform(F.array(*(F.lit(p) for p in _POINTS)), key).alias("keys"))
+    return both.select(*rest, F.array(*(key(j, p) for j, p in enumerate(_POINTS))).alias("keys"))
 
 
 def attached(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -109,13 +98,13 @@ def confirmed_ties(lines: DataFrame, ties: DataFrame, percent: int) -> DataFrame
     ends = stored(ties.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
     texts = line_texts(lines, ends)
     discard(ends)
-    found = (ties.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-            .select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
-            .withColumn("n", F.size(F.array_intersect("x", "y")))
-            .where(100 * F.col("n") >= percent * (F.size("x") + F.size("y") - F.col("n")))
-            .select("a", "b"))
-    found = stored(found, "confirmed")
+    # Stored with its result: a filter here would be pushed down and take the shingles several times.
+    judged = (ties.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
+              .join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+              .select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
+              .withColumn("n", F.size(F.array_intersect("x", "y")))
+              .select("a", "b", (100 * F.col("n") >= percent * (F.size("x") + F.size("y") - F.col("n"))).alias("alike")))
+    found = stored(judged, "confirmed").where("alike").select("a", "b")
     discard(texts)
     return found
 
