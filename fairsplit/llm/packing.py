@@ -14,19 +14,20 @@ the counts of earlier tasks, so no length is ever gathered in one task.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_groups
+from .common import GROUP_BYTES, stored, text_groups
 
 WINDOW = 2048
 END_ID = 1
@@ -54,56 +55,90 @@ class WordEncoder:
 
     MARK = "0"
     #: A full stop or comma between an ASCII letter and a gap is a part of its own.
-    STOP = re.compile(r".*[A-Za-z][.,]\Z", re.DOTALL)
+    STOP = r"[A-Za-z][.,]\z"
+    #: Where texts are prepared like this, a word of these letters is one part: lower-cased, and its bytes as characters.
+    LETTERS = "\\A[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\\z"
+    _SMALL = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+\\Z")
+    NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    PARTS = [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+              "behavior": "Removed", "invert": True},
+             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+    #: Bytes of these letters that have no visible character of their own stand as others.
+    BYTES = (("\x9f", "\u0141"), ("\xa0", "\u0142"), ("\xad", "\u0143"))
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        #: For words of such letters: merges only.
+        self.merges = None
+        own = json.loads(self.tokenizer.to_str())
+        if ((own["normalizer"] or {}).get("normalizers"), (own["pre_tokenizer"] or {}).get("pretokenizers")) == (
+                self.NORMAL, self.PARTS):
+            self.merges = Tokenizer(self.tokenizer.model)
+            self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known: dict[str, bytes] = {"": b""}
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new words; of a word and its full stop, each by itself."""
-        stopped = [w for w in words if self.STOP.match(w)]
-        parts = words.difference(stopped).union([w[:-1] for w in stopped], [w[-1] for w in stopped])
-        out = self._learn_parts(list(parts.difference(self.known)))
-        for w in stopped:
-            head, tail = (out[x] if x in out else self.known[x] for x in (w[:-1], w[-1]))
-            out[w] = head + tail
-        return out
-
     def _learn_parts(self, words: list[str]) -> dict[str, bytes]:
         """Ids of new words: joined by a mark that none of them holds, cut apart again."""
-        plain = [w for w in words if self.MARK not in w and len(w) <= CACHE_CHARS and "<|" not in w]
-        out: dict[str, bytes] = {}
-        if plain and len(self.mark) == 1:
-            joined = self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(plain)], add_special_tokens=False)[0]
-            ids = np.array(joined.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            if len(cuts) == len(plain) - 1:
-                bounds = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-                raw = ids.tobytes()
-                out = {w: raw[4 * a:4 * b] for w, a, b in zip(plain, *bounds)}
+        lower = [w for w in words if self._SMALL.match(w) and len(w) <= CACHE_CHARS] if self.merges else []
+        out = self._joined(self.merges, lower, True)
+        out |= self._joined(self.tokenizer, [
+            w for w in words if w not in out and self.MARK not in w and len(w) <= CACHE_CHARS and "<|" not in w])
         rest = [w for w in words if w not in out]
         for word, encoding in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             out[word] = np.array(encoding.ids, "<u4").tobytes()
         return out
 
+    def _joined(self, tokenizer, words: list[str], as_bytes: bool = False) -> dict[str, bytes]:
+        """Ids of words that do not hold the mark."""
+        if not words or len(self.mark) != 1:
+            return {}
+        text = f" {self.MARK} ".join(words)
+        if as_bytes:
+            text = text.encode().decode("latin-1")
+            for byte, visible in self.BYTES:
+                text = text.replace(byte, visible)
+        joined = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        ids = np.array(joined.ids, "<u4")
+        cuts = np.flatnonzero(ids == self.mark[0])
+        if len(cuts) != len(words) - 1:
+            return {}
+        raw = ids.tobytes()
+        return {w: raw[4 * a:4 * b] for w, a, b in zip(words, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])}
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        """Little-endian 32-bit ids of each text: each word is looked up once, and its ids are copied to all its places."""
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary
+        stopped = pc.match_substring_regex(words, self.STOP)
+        heads = pc.if_else(stopped, pc.utf8_slice_codeunits(words, 0, -1), words)
+        if self.merges:
+            heads = pc.if_else(pc.match_substring_regex(heads, self.LETTERS), pc.utf8_lower(heads), heads)
+        heads = heads.dictionary_encode()
+        names = [*heads.dictionary.to_numpy(zero_copy_only=False).tolist(), ".", ","]
         # A difference from the dictionary itself looks the words up; one from its keys would walk over all of them.
-        new = set(chain.from_iterable(words)).difference(self.known)
-        learned = self._learn(new) if new else {}
-        long = {w: x for w, x in learned.items() if len(w) > CACHE_CHARS}
+        new = set(names).difference(self.known)
+        learned = self._learn_parts(list(new)) if new else {}
         if len(self.known) + len(learned) > CACHE_WORDS:
             self.known = {"": b""}
-            learned = self._learn(set(chain.from_iterable(words)).difference(self.known))
+            learned = self._learn_parts(list(set(names).difference(self.known)))
         self.known.update(learned)
-        out = [b"".join(map(self.known.__getitem__, x)) for x in words]
-        for word in long:
-            self.known.pop(word, None)
-        return out
+        own = [self.known[w] for w in names]
+        for word in learned:
+            if len(word) > CACHE_CHARS:
+                del self.known[word]
+        ends = pa.scalar(own[-2], pa.large_binary()), pa.scalar(own[-1], pa.large_binary())
+        tails = pc.if_else(stopped, pc.if_else(pc.ends_with(words, "."), *ends), pa.scalar(b"", pa.large_binary()))
+        whole = pc.binary_join_element_wise(
+            pa.array(own[:-2], pa.large_binary()).take(heads.indices), tails, pa.scalar(b"", pa.large_binary()))
+        ids = whole.take(coded.indices)
+        _, ends, data = ids.buffers()
+        bounds = np.frombuffer(ends, np.int64, len(ids) + 1)[np.asarray(parts.offsets)].tolist()
+        raw = memoryview(data or b"")
+        return [bytes(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def _pieces(path: str | None, window: int, end_id: int, schema: pa.Schema):
@@ -113,10 +148,11 @@ def _pieces(path: str | None, window: int, end_id: int, schema: pa.Schema):
         part = TaskContext.get().partitionId()
         ordinals: Counter[int] = Counter()
         end = np.array([end_id], "<u4").tobytes()
-        for batch, texts in text_groups(batches, "text"):
+        ids_of, waiting, size = [], [], 0
+
+        def pieces() -> pa.RecordBatch:
             rows = []
-            encoded = encoder.encode([x.decode() if x else "" for x in texts])
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded):
+            for doc_id, ids in zip(ids_of, encoder.encode([x.decode() if x else "" for x in waiting])):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):
@@ -124,8 +160,17 @@ def _pieces(path: str | None, window: int, end_id: int, schema: pa.Schema):
                     crc = zlib.crc32(ids[4 * start:4 * (start + length)])
                     rows.append((doc_id, start, length, crc, total, part, ordinals[length]))
                     ordinals[length] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+        for batch, texts in text_groups(batches, "text"):
+            ids_of += batch.column("doc_id").to_pylist()
+            waiting += texts
+            size += sum(len(x or b"") for x in texts)
+            if size >= GROUP_BYTES:
+                yield pieces()
+                ids_of, waiting, size = [], [], 0
+        if waiting:
+            yield pieces()
     return run
 
 

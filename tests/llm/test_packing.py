@@ -99,3 +99,19 @@ def test_least_squares_meets_the_histogram():
         for n in pattern:
             got[n] += times
     assert all(abs(got[n] - c) < 1 for n, c in counts.items())
+
+
+def test_words_of_letters_need_merges_only():
+    """Lower-cased and written as bytes, they have the tokenizer's ids, and words of other case are not merged again."""
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    letters = [chr(c) for c in range(0x41, 0x100) if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA)]
+    draw = random.Random(7)
+    words = [*letters, *("".join(draw.choices(letters, k=draw.randrange(2, 15))) for _ in range(3000))]
+    merged = []
+    joined = encoder._joined
+    encoder._joined = lambda tokenizer, new, *more: merged.append((tokenizer, len(new))) or joined(tokenizer, new, *more)
+    text = " ".join(words)
+    for x in (text, text.lower(), text):
+        assert np.frombuffer(encoder.encode([x])[0], "<u4").tolist() == reference(x).tolist()
+    assert sum(n for t, n in merged if t is encoder.merges) == len({w.lower() for w in words})
+    assert sum(n for t, n in merged if t is encoder.tokenizer) == len(".,")
