@@ -3,7 +3,8 @@
 Alternating star contraction: every node's neighbours are tied to its smallest
 neighbour, first the larger ones, then the smaller ones, until nothing changes.
 Each round is two aggregates with map-side combining and two joins; the links
-are written to the shared folder between rounds.
+are written to the shared folder between rounds. Few links are joined by
+broadcast, so that a round is two shuffles only.
 """
 
 from __future__ import annotations
@@ -14,18 +15,27 @@ from pyspark.sql import functions as F
 from ..plans.storage import discard
 from .common import stored
 
+#: The least neighbours of so many links at most are broadcast; more are shuffled.
+BROADCAST_LINKS = 250_000
 
-def _large_star(links: DataFrame) -> DataFrame:
+
+def _large_star(links: DataFrame, few: bool) -> DataFrame:
     both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(_side(least, few), "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, few: bool) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = down.join(_side(least, few), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # Links that are repeated are no more than the round began with, and go when their nodes are tied to the smallest.
+    both = moved.unionAll(least.select("u", F.col("m").alias("v")))
+    return both if few else both.distinct()
+
+
+def _side(least: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(least) if few else least
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -42,5 +52,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if (new.n, new.s) == mark or new.n == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = (new.n, new.s)
-        old, now = now, stored(_small_star(_large_star(now)), "links")
+        few = new.n <= BROADCAST_LINKS
+        old, now = now, stored(_small_star(_large_star(now, few), few), "links")
         discard(old)

@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from fairsplit.llm import components as module
 from fairsplit.llm.components import components
 
 
@@ -36,3 +37,13 @@ def test_components(spark, name):
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == brute(links)
     assert len(got) == len({r.node for r in got})
+
+
+def test_few_links_are_not_shuffled_for_joins(spark, monkeypatch):
+    draw = random.Random(5)
+    links = spark.createDataFrame([(draw.randrange(150), draw.randrange(150)) for _ in range(90)], "u long, v long")
+    plan = module._small_star(module._large_star(links, True), True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    few = {tuple(r) for r in components(links, "u", "v").collect()}
+    monkeypatch.setattr(module, "BROADCAST_LINKS", 0)
+    assert {tuple(r) for r in components(links, "u", "v").collect()} == few
