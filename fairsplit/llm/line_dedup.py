@@ -22,14 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import discard
-from .common import stored
+from .common import attached, stored
 from .components import components
 
 SHINGLE = 12
 BANDS, ROWS = 12, 3
 PERCENT = 80
-#: A side of a join is broadcast only if it was counted and has at most so many narrow rows.
-BROADCAST_ROWS = 1_000_000
 #: Neighbours in an order are compared up to this distance, and if so many of their bands are equal.
 NEAR, EQUAL_BANDS = 4, 4
 #: The band points, in order.
@@ -74,12 +72,6 @@ def band_keys(lines: DataFrame, line: str) -> DataFrame:
     return both.select(*rest, F.array(*(key(j, p) for j, p in enumerate(_POINTS))).alias("keys"))
 
 
-def attached(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Join with a stored table that is broadcast if its counted size allows, and shuffled else."""
-    few = small.count() <= BROADCAST_ROWS
-    return big.join(F.broadcast(small) if few else small, on, how)
-
-
 def lines_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """doc_id, place and line of every line that is not blank."""
     return (docs.where(F.col(id_column).isNotNull())
@@ -135,22 +127,33 @@ def rarest_pairs(lines: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
     Two sets at the threshold share ``percent`` of the larger and 2 ``percent`` / (100 + ``percent``) of the
     smaller one at least. With shingles in one order, the rarest first, a set less that overlap and one more
     is a prefix that meets the other's, and the rest after the first common place bounds what they share.
+
+    Shingles of one component come first in that order and have no pairs, so their number is enough; a line
+    of which they leave less than ``percent`` has no partner at all.
     """
     texts = line_texts(lines, crowd.select("node"))
-    sets = stored(texts.join(crowd, "node").select("node", "c", shingles(F.col("line")).alias("all"))
-                  .select("node", "c", F.size("all").alias("n"), F.explode("all").alias("shingle")), "crowded-shingles")
-    often = stored(sets.groupBy("shingle").agg(F.count("*").alias("often")), "often")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    sets = stored(attached(texts, crowd, "node").select("node", "c", shingles(F.col("line")).alias("all"))
+                  .select("node", "c", F.size("all").alias("n"), "all"), "crowded-shingles")
+    discard(texts)
+    live = stored(sets.select("c", F.explode("all").alias("shingle")).groupBy("shingle")
+                  .agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("often"))
+                  .where("low != high").select("shingle", "often"), "often")
     n = F.col("n")
-    ranked = (sets.join(often.hint("merge"), "shingle").withColumn("place", place - 1)
+    met = (attached(sets.select("node", "n", F.explode("all").alias("shingle")), live.select("shingle"), "shingle")
+           .groupBy("node", "n").agg(F.count("*").alias("shared")))
+    able = stored(met.where(100 * F.col("shared") >= percent * n).select("node", (n - F.col("shared")).alias("alone")), "able")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) + F.col("alone") - 1
+    each = attached(sets, able, "node").select("node", "c", "n", "alone", F.explode("all").alias("shingle"))
+    ranked = (attached(each, live, "shingle").withColumn("place", place)
               .where(F.col("place") <= n - F.ceil(percent * n / 100))
               .withColumn("small", F.col("place") <= n - F.ceil(2 * percent * n / (100 + percent))))
     ranked = stored(ranked.select("shingle", "node", "c", "n", "place", "small"), "rarest")
+    discard(sets, live, able)
     # A shingle of one component has no pairs: a family that is tied goes no further.
     live = ranked.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("small").alias("paired"))
     every, ranked = ranked, stored(
         ranked.join(live.where("low != high and paired").select("shingle").hint("merge"), "shingle"), "open-rarest")
-    discard(texts, sets, often, every)
+    discard(every)
     x, y = ranked.alias("x"), ranked.where("small").alias("y")
     most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     met = x.join(y.hint("merge"), F.col("x.shingle") == F.col("y.shingle")).where(
@@ -171,9 +174,11 @@ def similar_lines(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = stored(keyed.select("node", *(F.col("keys")[i].alias(n) for i, n in enumerate(names)))
                    .groupBy("node").agg(*(F.min(n).alias(n) for n in names)), "line-bands")
     rows = nodes.select("node", F.explode(F.array(*names)).alias("key"))
-    shared = stored(rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
                     .where("low != high"), "shared-bands")
-    ties = attached(rows, shared, "key").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    # Of two lines, both ends are all: only bands of more can hold pairs that are not compared.
+    large = stored(attached(rows, shared.where("n > 2").select("key"), "key"), "large-bands")
+    ties = attached(rows, shared.drop("n"), "key").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
     ties = stored(ties.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                   .distinct(), "ties")
     links = confirmed_ties(lines, ties, percent)
@@ -181,34 +186,34 @@ def similar_lines(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     discard(shared, ties, links)
     # Lines of one band that are still apart, beyond the two ends: the other pairs of the band were not compared.
     for exactly in (False, True):
-        crowd = _crowded(nodes, rows, tied)
+        crowd = _crowded(large, tied)
         if crowd is None:
             break
         if not exactly:
-            ties = stored(neighbours(crowd), "neighbours")
+            keyed = attached(nodes, crowd, "node").select("node", "c", F.array(*names).alias("keys"))
+            ties = stored(neighbours(keyed), "neighbours")
+            discard(nodes)
         else:
-            ties = rarest_pairs(lines, crowd.select("node", "c"), percent)
+            ties = rarest_pairs(lines, crowd, percent)
         links = confirmed_ties(lines, ties, percent)
         stars = tied.select(F.col("component").alias("a"), F.col("node").alias("b"))
         wider = components(stars.unionAll(links))
         discard(crowd, ties, links, tied)
         tied = wider
-    discard(nodes)
+    discard(nodes, large)
     return tied
 
 
-def _crowded(nodes: DataFrame, rows: DataFrame, tied: DataFrame) -> DataFrame | None:
-    """``node``, ``c`` (component) and ``keys`` of the lines of bands with three lines or more that are not one component."""
-    apart = rows.join(tied, "node", "left").select("node", "key", F.coalesce("component", "node").alias("c"))
-    open_ = stored(apart.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
-                   .where("n > 2 and low != high").select("key"), "open-bands")
+def _crowded(large: DataFrame, tied: DataFrame) -> DataFrame | None:
+    """``node`` and ``c`` (component) of the lines of large bands that are not one component."""
+    apart = attached(large, tied, "node", "left").select("node", "key", F.coalesce("component", "node").alias("c"))
+    open_ = stored(apart.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+                   .where("low != high").select("key"), "open-bands")
     if open_.isEmpty():
         discard(open_)
         return None
-    lines = stored(attached(apart, open_, "key").select("node", "c").distinct(), "open-lines")
-    crowd = stored(attached(nodes, lines, "node").select(
-        "node", "c", F.array(*[f"k{i}" for i in range(BANDS)]).alias("keys")), "crowded-lines")
-    discard(open_, lines)
+    crowd = stored(attached(apart, open_, "key").select("node", "c").distinct(), "crowded-lines")
+    discard(open_)
     return crowd
 
 

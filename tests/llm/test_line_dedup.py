@@ -93,3 +93,21 @@ def test_lines_without_word_breaks(spark):
     rows = list(enumerate(runs + ["".join(draw.choice("abcdefg") for _ in range(9)) + r for r in runs]))
     got = line_dedup.deduplicate_lines(table(spark, rows)).collect()
     assert {r.doc_id: r.text for r in got} == brute(rows)
+
+
+def test_lines_that_share_too_little_are_not_ranked(spark, monkeypatch):
+    """Of a family with one common passage, only the lines that share most of their shingles go on to the exact join."""
+    draw = random.Random(8)
+    start = prose(draw, 12)
+    apart = [f"{start} {prose(draw, 60)}" for _ in range(20)]
+    alike = f"{start} {prose(draw, 60)}"
+    lines = spark.createDataFrame([(x.lower(),) for x in [*apart, alike, alike + " end"]], "line string")
+    crowd = lines.select(F.xxhash64("line").alias("node"), F.xxhash64("line").alias("c"))
+    ranked = []
+    stored = line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: ranked.append(
+        (name, stored(df, name))) or ranked[-1][1])
+    monkeypatch.setattr(line_dedup, "discard", lambda *tables: None)
+    pairs = line_dedup.rarest_pairs(lines, crowd, 80).collect()
+    assert dict(ranked)["rarest"].select("node").distinct().count() == 2
+    assert len(pairs) == 1
