@@ -106,10 +106,9 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], names=["bucket", "n"])
 
     counted = (docs.select(F.col(text).alias("text")).mapInArrow(count, "bucket int, n long")
-               .groupBy("bucket").agg(F.sum("n").alias("n")).collect())
+               .groupBy("bucket").agg(F.sum("n").alias("n")).toArrow())
     out = np.zeros(BUCKETS + 1, np.int64)
-    for row in counted:
-        out[row.bucket] = row.n
+    out[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     return out[:BUCKETS], int(out[BUCKETS])
 
 
