@@ -3,8 +3,8 @@
 Alternating star contraction: every node's neighbours are tied to its smallest
 neighbour, first the larger ones, then the smaller ones, until nothing changes.
 Each round is two aggregates with map-side combining and two joins; the links
-are written to the shared folder between rounds. Few links are joined by
-broadcast, so that a round is two shuffles only.
+are written to the shared folder between rounds. Few links (a counted, fixed bound)
+lie in one partition and are joined by broadcast, so that a round shuffles nothing.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from ..plans.storage import discard
 from .common import stored
 
-#: The least neighbours of so many links at most are broadcast; more are shuffled.
+#: So many links at most lie in one partition and have their least neighbours broadcast; more are shuffled.
 BROADCAST_LINKS = 250_000
 
 
 def _large_star(links: DataFrame, few: bool) -> DataFrame:
-    both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    # Not a union, which would not keep few links in their one partition.
+    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = links.select(F.explode(ways).alias("way")).select("way.u", "way.v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.join(_side(least, few), "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
@@ -53,5 +55,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = (new.n, new.s)
         few = new.n <= BROADCAST_LINKS
-        old, now = now, stored(_small_star(_large_star(now, few), few), "links")
+        one = now.coalesce(1) if few else now
+        moved = _small_star(_large_star(one, few), few)
+        old, now = now, stored(moved.coalesce(1) if few else moved, "links")
         discard(old)

@@ -47,3 +47,14 @@ def test_few_links_are_not_shuffled_for_joins(spark, monkeypatch):
     few = {tuple(r) for r in components(links, "u", "v").collect()}
     monkeypatch.setattr(module, "BROADCAST_LINKS", 0)
     assert {tuple(r) for r in components(links, "u", "v").collect()} == few
+
+
+def test_rounds_of_few_links_shuffle_nothing(spark, monkeypatch):
+    plans, real = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    draw = random.Random(7)
+    links = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)]
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == brute(links)
+    assert len(plans) > 2 and not any("Exchange hashpartitioning" in p for p in plans[1:])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from fairsplit.llm import near_dedup
@@ -102,3 +103,22 @@ def test_width_of_shingles(spark):
         got = near_dedup.near_duplicates(table(spark, texts), words=words).collect()
         assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == expected
         assert [r.n_shingles for r in sorted(got, key=lambda r: r.doc_id)][2:4] == ([2, 2] if words == 2 else [1, 1])
+
+
+def test_few_open_pairs_are_tested_in_one_pass(spark, monkeypatch):
+    """One pass over all of them, or the best of each two components first: the same components."""
+    sets = [list(range(20)), list(range(19)), [*range(20), 50], [*range(40, 60)], [*range(40, 59)], [*range(18), 90]]
+    docs = spark.createDataFrame([(i, np.array(s, np.uint64).tobytes()) for i, s in enumerate(sets)], "doc_id long, shingles binary")
+    pairs = spark.createDataFrame([(i, j, 1.0) for i in range(6) for j in range(i + 1, 6)], "a long, b long, score float")
+    tied = spark.createDataFrame([(4, 3)], "node long, component long")
+    tested = spark.createDataFrame([(3, 4, True)], "a long, b long, linked boolean")
+    names, real = [], near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: names.append(name) or real(df, name))
+    passes = []
+    for most in (20_000, 0):
+        monkeypatch.setattr(near_dedup, "PAIRS_AT_ONCE", most)
+        found = near_dedup._closed(pairs, tied, tested, docs, 80)[0].collect()
+        assert {r.node: r.component for r in found} == {1: 0, 2: 0, 5: 0, 4: 3}
+        passes.append(names.count("checked"))
+        names.clear()
+    assert passes == [1, 2]
