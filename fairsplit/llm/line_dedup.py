@@ -1,12 +1,15 @@
 """Fuzzy line deduplication by MinHash, as DataFrame operations only.
 
 A line is lower-cased and trimmed; its shingles are the runs of ``SHINGLE``
-characters. One hash per shingle is enough for all bands: the sorted hashes lie on
+characters. Bands are taken from fewer hashes, its marks: one for each two words in a
+row, which are about as long as a shingle, and all shingles of a word that is longer
+than two shingles. One hash per mark is enough for all bands: the sorted hashes lie on
 a circle, and a band is the ``ROWS`` next ones after one of ``BANDS`` fixed points,
 which is the minimum under a shifted order, then the second, and so on. Lines that
 share a band are tied to the smallest and the largest line of that band, each tie is
-confirmed by the exact Jaccard similarity of the shingle sets. Lines of a band that
-is not one component by then are put in order by their further bands and tied to their
+confirmed by the exact Jaccard similarity of the shingle sets. Of a band of up to
+``REGION`` lines that is not one component by then all other pairs are compared. Lines
+of a larger one are put in order by their further bands and tied to their
 neighbours; what is still apart is joined exactly by its rarest shingles, of which a
 pair at the threshold shares one. Of every component of confirmed ties one line
 stays: the first by document and place.
@@ -28,6 +31,8 @@ from .components import components
 SHINGLE = 12
 BANDS, ROWS = 12, 3
 PERCENT = 80
+#: Lines of a band that are compared with each other; more are put in order, then joined by their rarest shingles.
+REGION = 12
 #: Neighbours in an order are compared up to this distance, and if so many of their bands are equal.
 NEAR, EQUAL_BANDS = 4, 4
 #: The band points, in order.
@@ -53,6 +58,20 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), hashes)))
 
 
+def marks(line: Column) -> Column:
+    """Distinct 64-bit hashes of each two words in a row, and of the shingles of words longer than two shingles."""
+    def each(words: Column) -> Column:
+        return F.transform(words, lambda word, i: F.xxhash64(word, F.get(words, i + 1)))
+
+    def cut(words: Column) -> Column:
+        return F.flatten(F.transform(words, lambda word, i: F.when(
+            F.length(word) > 2 * SHINGLE, shingles(word)).otherwise(F.array(F.xxhash64(word, F.get(words, i + 1))))))
+
+    words = F.array(F.split(line, " "))
+    long = line.rlike(f"[^ ]{{{2 * SHINGLE + 1}}}")
+    return F.array_distinct(F.flatten(F.when(long, F.transform(words, cut)).otherwise(F.transform(words, each))))
+
+
 def band_keys(lines: DataFrame, line: str) -> DataFrame:
     """The other columns, and ``keys``: one per band point, of the next ``ROWS`` hashes on the circle.
 
@@ -61,7 +80,7 @@ def band_keys(lines: DataFrame, line: str) -> DataFrame:
     one uses more than once, so that none is computed once per band.
     """
     rest = [c for c in lines.columns if c != line]
-    real = lines.select(*rest, F.sort_array(shingles(F.col(line))).alias("_real"))
+    real = lines.select(*rest, F.sort_array(marks(F.col(line))).alias("_real"))
     both = real.select(*rest, F.concat("_real", F.slice("_real", 1, ROWS)).alias("_ring"),
                        F.sort_array(F.concat("_real", F.array(*(F.lit(p) for p in _POINTS)))).alias("_all"))
 
@@ -80,25 +99,30 @@ def lines_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def line_texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node`` and ``line`` of some nodes; a hot line is cut down to one row per task before it is shuffled."""
+    """``node`` and ``line`` of some nodes, stored; a hot line is cut down to one row per task before it is shuffled."""
     texts = lines.select(F.xxhash64("line").alias("node"), "line")
     return stored(attached(texts, nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line")), "texts")
 
 
-def confirmed_ties(lines: DataFrame, ties: DataFrame, percent: int) -> DataFrame:
-    """The ties whose lines share at least ``percent`` of the union of their shingles."""
-    ends = stored(ties.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    texts = line_texts(lines, ends)
-    discard(ends)
+def confirmed_ties(texts: DataFrame, ties: DataFrame, percent: int) -> DataFrame:
+    """The ties whose lines, of ``texts`` (node, line), share at least ``percent`` of the union of their shingles."""
     # Stored with its result: a filter here would be pushed down and take the shingles several times.
     judged = (ties.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
               .join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
               .select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
               .withColumn("n", F.size(F.array_intersect("x", "y")))
               .select("a", "b", (100 * F.col("n") >= percent * (F.size("x") + F.size("y") - F.col("n"))).alias("alike")))
-    found = stored(judged, "confirmed").where("alike").select("a", "b")
-    discard(texts)
-    return found
+    return stored(judged, "confirmed").where("alike").select("a", "b")
+
+
+def pairs_of_bands(rows: DataFrame) -> DataFrame:
+    """Pairs of lines of different components in each band, less those of a band's two ends, which were compared.
+
+    ``rows`` has ``node``, ``c`` (component), ``key`` and the ends ``low`` and ``high``, for bands of at most ``REGION`` lines.
+    """
+    inner = rows.where("node != low AND node != high").groupBy("key").agg(F.collect_list(F.struct("node", "c")).alias("all"))
+    one = inner.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
+    return one.where("x.node < y.node AND x.c != y.c").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -176,43 +200,45 @@ def similar_lines(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = nodes.select("node", F.explode(F.array(*names)).alias("key"))
     shared = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
                     .where("low != high"), "shared-bands")
-    # Of two lines, both ends are all: only bands of more can hold pairs that are not compared.
-    large = stored(attached(rows, shared.where("n > 2").select("key"), "key"), "large-bands")
-    ties = attached(rows, shared.drop("n"), "key").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    members = stored(attached(rows, shared, "key"), "members")
+    # The only lines that are compared from here on; their texts are looked up once.
+    texts = line_texts(lines, stored(members.select("node").distinct(), "ends"))
+    ties = members.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
     ties = stored(ties.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                   .distinct(), "ties")
-    links = confirmed_ties(lines, ties, percent)
+    links = confirmed_ties(texts, ties, percent)
     tied = components(links)
     discard(shared, ties, links)
-    # Lines of one band that are still apart, beyond the two ends: the other pairs of the band were not compared.
-    for exactly in (False, True):
-        crowd = _crowded(large, tied)
+    # The pairs of a band with its two ends are all pairs of three lines; of more, others were not compared.
+    for step in ("small", "near", "exact"):
+        crowd = _crowded(members.where(F.col("n").between(4, REGION) if step == "small" else F.col("n") > REGION), tied)
         if crowd is None:
-            break
-        if not exactly:
-            keyed = attached(nodes, crowd, "node").select("node", "c", F.array(*names).alias("keys"))
-            ties = stored(neighbours(keyed), "neighbours")
-            discard(nodes)
+            continue
+        if step == "small":
+            ties = stored(pairs_of_bands(crowd), "band-pairs")
+        elif step == "near":
+            keyed = attached(nodes, stored(crowd.select("node", "c").distinct(), "crowded-lines"), "node")
+            ties = stored(neighbours(keyed.select("node", "c", F.array(*names).alias("keys"))), "neighbours")
         else:
-            ties = rarest_pairs(lines, crowd, percent)
-        links = confirmed_ties(lines, ties, percent)
+            ties = rarest_pairs(texts.select("line"), stored(crowd.select("node", "c").distinct(), "crowded-lines"), percent)
+        links = confirmed_ties(texts, ties, percent)
         stars = tied.select(F.col("component").alias("a"), F.col("node").alias("b"))
         wider = components(stars.unionAll(links))
         discard(crowd, ties, links, tied)
         tied = wider
-    discard(nodes, large)
+    discard(nodes, members, texts)
     return tied
 
 
-def _crowded(large: DataFrame, tied: DataFrame) -> DataFrame | None:
-    """``node`` and ``c`` (component) of the lines of large bands that are not one component."""
-    apart = attached(large, tied, "node", "left").select("node", "key", F.coalesce("component", "node").alias("c"))
-    open_ = stored(apart.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-                   .where("low != high").select("key"), "open-bands")
+def _crowded(members: DataFrame, tied: DataFrame) -> DataFrame | None:
+    """The rows of ``members`` (node, key, low, high) of bands that are not one component, with their component ``c``."""
+    apart = attached(members, tied, "node", "left").select("node", "key", "low", "high", F.coalesce("component", "node").alias("c"))
+    open_ = stored(apart.groupBy("key").agg(F.min("c").alias("first"), F.max("c").alias("last"))
+                   .where("first != last").select("key"), "open-bands")
     if open_.isEmpty():
         discard(open_)
         return None
-    crowd = stored(attached(apart, open_, "key").select("node", "c").distinct(), "crowded-lines")
+    crowd = stored(attached(apart, open_, "key").select("node", "key", "low", "high", "c"), "crowded-bands")
     discard(open_)
     return crowd
 

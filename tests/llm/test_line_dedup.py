@@ -111,3 +111,36 @@ def test_lines_that_share_too_little_are_not_ranked(spark, monkeypatch):
     pairs = line_dedup.rarest_pairs(lines, crowd, 80).collect()
     assert dict(ranked)["rarest"].select("node").distinct().count() == 2
     assert len(pairs) == 1
+
+
+def test_bands_need_few_hashes(spark):
+    """A line of words has a mark for each; unbroken text has all its shingles, whatever words stand beside it."""
+    draw = random.Random(12)
+    run = "".join(draw.choice("abcdefgh") for _ in range(90))
+    words = prose(draw, 60).lower()
+    rows = spark.createDataFrame([(words,), (run,), (f"{words} {run}",)], "t string")
+    of_words, of_run, both = (set(r[0]) for r in rows.select(line_dedup.marks(F.col("t"))).collect())
+    assert len(of_words) <= 60 and len(of_run) == 79
+    assert of_run <= both and len(of_words & both) >= len(of_words) - 1
+
+
+def test_small_bands_are_compared_in_whole(spark, monkeypatch):
+    """Pairs of lines inside a band of a few lines are found without the exact join."""
+    monkeypatch.setattr(line_dedup, "rarest_pairs", None)
+    draw = random.Random(9)
+    start = prose(draw, 40)
+    own = [prose(draw, 6) for _ in range(9)]
+    own[5] = own[3][:14] + own[5][14:]
+    rows = [(i, f"{start} {x}") for i, x in enumerate(own)]
+    got = line_dedup.deduplicate_lines(table(spark, rows)).collect()
+    assert {r.doc_id: r.text for r in got} == brute(rows)
+
+
+def test_lines_are_read_once_for_all_comparisons(spark, monkeypatch):
+    names, real = [], line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: names.append(name) or real(df, name))
+    draw = random.Random(3)
+    start = prose(draw, 40)
+    rows = [(i, f"{start} {prose(draw, 6)}") for i in range(30)]
+    line_dedup.similar_lines(line_dedup.lines_of(table(spark, rows), "doc_id", "text")).collect()
+    assert names.count("confirmed") > 1 and names.count("ends") == 1
