@@ -3,7 +3,7 @@
 A line is lower-cased and trimmed; its shingles are the runs of ``SHINGLE``
 characters. Bands are taken from fewer hashes, its marks: one for each two words in a
 row, which are about as long as a shingle, and all shingles of a word that is longer
-than two shingles. One hash per mark is enough for all bands: the sorted hashes lie on
+than two shingles; a short line has all its shingles there. One hash per mark is enough for all bands: the sorted hashes lie on
 a circle, and a band is the ``ROWS`` next ones after one of ``BANDS`` fixed points,
 which is the minimum under a shifted order, then the second, and so on. Lines that
 share a band are tied to the smallest and the largest line of that band, each tie is
@@ -33,6 +33,8 @@ BANDS, ROWS = 12, 3
 PERCENT = 80
 #: Lines of a band that are compared with each other; more are put in order, then joined by their rarest shingles.
 REGION = 12
+#: Lines of up to so many characters have bands of all their shingles, from so many on bands of their marks; those between, both.
+FINE, COARSE = 160, 128
 #: Neighbours in an order are compared up to this distance, and if so many of their bands are equal.
 NEAR, EQUAL_BANDS = 4, 4
 #: The band points, in order.
@@ -73,14 +75,21 @@ def marks(line: Column) -> Column:
 
 
 def band_keys(lines: DataFrame, line: str) -> DataFrame:
-    """The other columns, and ``keys``: one per band point, of the next ``ROWS`` hashes on the circle.
+    """The other columns, ``fine`` and ``keys``: one per band point, of the next ``ROWS`` hashes on the circle.
+
+    A short line has few marks, so its shingles are taken (``fine``); a line of middling length has a row of each kind.
 
     The points are sorted in among the hashes; the place of point j less the j points before it is the place of
     the next hash. The beginning of the circle is repeated at its end. Each step is a column that the next
     one uses more than once, so that none is computed once per band.
     """
-    rest = [c for c in lines.columns if c != line]
-    real = lines.select(*rest, F.sort_array(marks(F.col(line))).alias("_real"))
+    rest = [*(c for c in lines.columns if c != line), "fine"]
+    size = F.length(line)
+    kinds = F.when(size < COARSE, F.array(F.lit(True))).when(size > FINE, F.array(F.lit(False))).otherwise(
+        F.array(F.lit(True), F.lit(False)))
+    lines = lines.withColumn("fine", F.explode(kinds))
+    real = lines.select(*rest, F.sort_array(F.when(F.col("fine"), shingles(F.col(line))).otherwise(
+        marks(F.col(line)))).alias("_real"))
     both = real.select(*rest, F.concat("_real", F.slice("_real", 1, ROWS)).alias("_ring"),
                        F.sort_array(F.concat("_real", F.array(*(F.lit(p) for p in _POINTS)))).alias("_all"))
 
@@ -195,8 +204,8 @@ def similar_lines(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     keyed = band_keys(lines.select(F.xxhash64("line").alias("node"), "line"), "line")
     # Equal lines have equal keys: one row per line, by columns so that the aggregate combines map-side.
     names = [f"k{i}" for i in range(BANDS)]
-    nodes = stored(keyed.select("node", *(F.col("keys")[i].alias(n) for i, n in enumerate(names)))
-                   .groupBy("node").agg(*(F.min(n).alias(n) for n in names)), "line-bands")
+    nodes = stored(keyed.select("node", "fine", *(F.col("keys")[i].alias(n) for i, n in enumerate(names)))
+                   .groupBy("node", "fine").agg(*(F.min(n).alias(n) for n in names)), "line-bands")
     rows = nodes.select("node", F.explode(F.array(*names)).alias("key"))
     shared = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
                     .where("low != high"), "shared-bands")

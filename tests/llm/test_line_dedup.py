@@ -144,3 +144,16 @@ def test_lines_are_read_once_for_all_comparisons(spark, monkeypatch):
     rows = [(i, f"{start} {prose(draw, 6)}") for i in range(30)]
     line_dedup.similar_lines(line_dedup.lines_of(table(spark, rows), "doc_id", "text")).collect()
     assert names.count("confirmed") > 1 and names.count("ends") == 1
+
+
+def test_short_lines_with_another_ending_share_a_band(spark):
+    draw = random.Random(21)
+    lines = [prose(draw, 6).lower() for _ in range(40)]
+    rows = spark.createDataFrame([(2 * i + k, x + "mbqk" * k) for i, x in enumerate(lines) for k in (0, 1)], "id long, t string")
+    keys = {}
+    for r in line_dedup.band_keys(rows, "t").collect():
+        keys.setdefault(r.id, set()).update(r["keys"])
+    assert all(keys[2 * i] & keys[2 * i + 1] for i in range(len(lines)))
+    both = spark.createDataFrame([("ab " * n,) for n in (20, 50, 90)], "t string")
+    kinds = line_dedup.band_keys(both.withColumn("n", F.length("t")), "t").select("n", "fine").collect()
+    assert sorted(map(tuple, kinds)) == [(60, True), (150, False), (150, True), (270, False)]
