@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import discard
-from .common import attached, stored
+from .common import BROADCAST_ROWS, attached, stored
 from .components import components
 
 SHINGLE = 12
@@ -39,6 +39,9 @@ FINE, COARSE = 160, 128
 NEAR, EQUAL_BANDS = 4, 4
 #: The band points, in order.
 _POINTS = [(j << 64) // BANDS - (1 << 63) for j in range(BANDS)]
+_KEYS = [f"k{i}" for i in range(BANDS)]
+#: Tables of lines and bands are broadcast up to so many counted rows, which is some 15 MB of the driver's memory each.
+BROADCAST_LINES = 250_000
 
 
 def normal(line: Column) -> Column:
@@ -107,10 +110,31 @@ def lines_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
             .withColumn("line", normal(F.col("line"))).where("line != ''"))
 
 
+def likely(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
+    """Rows of ``big`` whose ``on``, a 64-bit hash, is in the stored table ``small``, and about one in 16 of the others.
+
+    What is broadcast is a bitmap, 64 places to a row and 16 places per counted row of ``small``: a few bytes of the
+    driver's memory per row instead of some fifty. A larger one than ``BROADCAST_ROWS`` is no longer broadcast.
+    """
+    words = small.count() // 4 + 1
+    if words > BROADCAST_ROWS:
+        return big.join(small.select(on).hint("merge"), on, "left_semi")
+
+    def word(of: str) -> Column:
+        return F.expr(f"shiftright(pmod(`{of}`, {64 * words}L), 6)").alias("_word")
+
+    def bit(of: str) -> Column:
+        return F.expr(f"shiftleft(1L, cast(`{of}` & 63L as int))")
+
+    bitmap = small.select(word(on), bit(on).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = big.select("*", word(on)).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(bit(on)) != 0)
+    return found.select(*big.columns)
+
+
 def line_texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node`` and ``line`` of some nodes, stored; a hot line is cut down to one row per task before it is shuffled."""
+    """``node`` and ``line`` of the ``nodes``, and of a few others, stored; a hot line is one row per task before it is shuffled."""
     texts = lines.select(F.xxhash64("line").alias("node"), "line")
-    return stored(attached(texts, nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line")), "texts")
+    return stored(likely(texts, nodes, "node").groupBy("node").agg(F.min("line").alias("line")), "texts")
 
 
 def confirmed_ties(texts: DataFrame, ties: DataFrame, percent: int) -> DataFrame:
@@ -199,17 +223,32 @@ def rarest_pairs(lines: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
     return pairs
 
 
-def similar_lines(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``node`` and ``component`` of lines that are tied to a smaller one; nodes are hashes of the line."""
-    keyed = band_keys(lines.select(F.xxhash64("line").alias("node"), "line"), "line")
-    # Equal lines have equal keys: one row per line, by columns so that the aggregate combines map-side.
-    names = [f"k{i}" for i in range(BANDS)]
-    nodes = stored(keyed.select("node", "fine", *(F.col("keys")[i].alias(n) for i, n in enumerate(names)))
-                   .groupBy("node", "fine").agg(*(F.min(n).alias(n) for n in names)), "line-bands")
-    rows = nodes.select("node", F.explode(F.array(*names)).alias("key"))
-    shared = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
-                    .where("low != high"), "shared-bands")
-    members = stored(attached(rows, shared, "key"), "members")
+def banded_lines(lines: DataFrame) -> DataFrame:
+    """doc_id, place, ``node`` (the line's hash) and bands of every line, stored; a line of middling length has two rows.
+
+    ``listed`` marks one row of each line. Equal lines have a row each: they come together when bands are counted.
+    """
+    keyed = band_keys(lines.select("doc_id", "place", F.xxhash64("line").alias("node"), "line",
+                                   (F.length("line") > FINE).alias("coarse")), "line")
+    keys = (F.col("keys")[i].alias(name) for i, name in enumerate(_KEYS))
+    return stored(keyed.select("doc_id", "place", "node", (F.col("fine") | F.col("coarse")).alias("listed"), *keys), "line-bands")
+
+
+def similar_lines(lines: DataFrame, percent: int = PERCENT, banded: DataFrame | None = None) -> DataFrame:
+    """``node`` and ``component`` of lines that are tied to a smaller one; nodes are hashes of the line.
+
+    ``banded`` is what ``banded_lines`` stored of ``lines``, if that is there already.
+    """
+    nodes = banded_lines(lines) if banded is None else banded
+    rows = nodes.select("node", F.explode(F.array(*_KEYS)).alias("key"))
+    shared = stored(rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+                    .where("low != high").select("key"), "shared-bands")
+    # Bands of one line that the bitmap lets through have equal ends and go with them.
+    found = stored(likely(rows, shared, "key").distinct(), "found")
+    ends = stored(found.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
+                  .where("low != high"), "band-ends")
+    members = stored(attached(found, ends, "key", limit=BROADCAST_LINES), "members")
+    discard(shared, found, ends)
     # The only lines that are compared from here on; their texts are looked up once.
     texts = line_texts(lines, stored(members.select("node").distinct(), "ends"))
     ties = members.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
@@ -217,7 +256,7 @@ def similar_lines(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
                   .distinct(), "ties")
     links = confirmed_ties(texts, ties, percent)
     tied = components(links)
-    discard(shared, ties, links)
+    discard(ties, links)
     # The pairs of a band with its two ends are all pairs of three lines; of more, others were not compared.
     for step in ("small", "near", "exact"):
         crowd = _crowded(members.where(F.col("n").between(4, REGION) if step == "small" else F.col("n") > REGION), tied)
@@ -226,8 +265,9 @@ def similar_lines(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
         if step == "small":
             ties = stored(pairs_of_bands(crowd), "band-pairs")
         elif step == "near":
-            keyed = attached(nodes, stored(crowd.select("node", "c").distinct(), "crowded-lines"), "node")
-            ties = stored(neighbours(keyed.select("node", "c", F.array(*names).alias("keys"))), "neighbours")
+            keyed = attached(nodes, stored(crowd.select("node", "c").distinct(), "crowded-lines"), "node", limit=BROADCAST_LINES)
+            keyed = keyed.select("node", "c", *_KEYS).distinct()
+            ties = stored(neighbours(keyed.select("node", "c", F.array(*_KEYS).alias("keys"))), "neighbours")
         else:
             ties = rarest_pairs(texts.select("line"), stored(crowd.select("node", "c").distinct(), "crowded-lines"), percent)
         links = confirmed_ties(texts, ties, percent)
@@ -235,19 +275,21 @@ def similar_lines(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
         wider = components(stars.unionAll(links))
         discard(crowd, ties, links, tied)
         tied = wider
-    discard(nodes, members, texts)
+    discard(members, texts)
+    if banded is None:
+        discard(nodes)
     return tied
 
 
 def _crowded(members: DataFrame, tied: DataFrame) -> DataFrame | None:
     """The rows of ``members`` (node, key, low, high) of bands that are not one component, with their component ``c``."""
-    apart = attached(members, tied, "node", "left").select("node", "key", "low", "high", F.coalesce("component", "node").alias("c"))
+    apart = attached(members, tied, "node", "left", limit=BROADCAST_LINES).select("node", "key", "low", "high", F.coalesce("component", "node").alias("c"))
     open_ = stored(apart.groupBy("key").agg(F.min("c").alias("first"), F.max("c").alias("last"))
                    .where("first != last").select("key"), "open-bands")
     if open_.isEmpty():
         discard(open_)
         return None
-    crowd = stored(attached(apart, open_, "key").select("node", "key", "low", "high", "c"), "crowded-bands")
+    crowd = stored(attached(apart, open_, "key", limit=BROADCAST_LINES).select("node", "key", "low", "high", "c"), "crowded-bands")
     discard(open_)
     return crowd
 
@@ -266,18 +308,19 @@ def deduplicate_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     """
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), *keep)
     lines = lines_of(source, "doc_id", "text")
-    tied = similar_lines(lines, percent)
-    placed = stored(lines.select("doc_id", "place", F.xxhash64("line").alias("node")), "lines")
-    named = attached(placed, tied, "node", "left").select(
+    banded = banded_lines(lines)
+    tied = similar_lines(lines, percent, banded)
+    placed = banded.where("listed").select("doc_id", "place", "node")
+    named = attached(placed, tied, "node", "left", limit=BROADCAST_LINES).select(
         "doc_id", "place", F.coalesce("component", "node").alias("component"))
     repeated = stored(named.groupBy("component").agg(
         F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
         .select("component", "first"), "repeated")
-    removed = (attached(named, repeated, "component").where(F.struct("doc_id", "place") != F.col("first"))
+    removed = (attached(named, repeated, "component", limit=BROADCAST_LINES).where(F.struct("doc_id", "place") != F.col("first"))
                .groupBy("doc_id").agg(F.collect_set("place").alias("gone")))
     every = F.split(F.col("text"), "\n")
     removed = stored(removed, "removed")
-    discard(tied, placed, repeated)
+    discard(tied, banded, repeated)
     kept = F.array_join(F.filter(every, lambda line, i: ~F.array_contains("gone", i)), "\n")
     filled = F.size(F.filter(every, lambda line: normal(line) != ""))
     return source.join(removed.hint("merge"), "doc_id", "left").select(

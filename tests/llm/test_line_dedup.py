@@ -157,3 +157,37 @@ def test_short_lines_with_another_ending_share_a_band(spark):
     both = spark.createDataFrame([("ab " * n,) for n in (20, 50, 90)], "t string")
     kinds = line_dedup.band_keys(both.withColumn("n", F.length("t")), "t").select("n", "fine").collect()
     assert sorted(map(tuple, kinds)) == [(60, True), (150, False), (150, True), (270, False)]
+
+
+def test_likely_rows_by_a_small_bitmap(spark, tmp_path):
+    """Every row of the table passes, about one in 16 of the others, and the broadcast has a row for 64 places."""
+    spark.range(4000).select(F.xxhash64("id").alias("node")).write.parquet(str(tmp_path / "small"))
+    small = spark.read.parquet(str(tmp_path / "small"))
+    big = spark.range(40000).select("id", F.xxhash64("id").alias("node"))
+    found = line_dedup.likely(big, small, "node")
+    ids = [r.id for r in found.collect()]
+    assert found.columns == big.columns and len(ids) == len(set(ids)) and set(range(4000)) <= set(ids)
+    assert 0.04 < (len(ids) - 4000) / 36000 < 0.08
+    assert line_dedup.likely(big, small.limit(0), "node").count() == 0
+
+
+def test_tables_beyond_the_broadcast_bound(spark, monkeypatch):
+    """The same lines go if no table of lines or bands may be broadcast, nor a bitmap."""
+    rows = list(enumerate(cases(random.Random(4))))
+    bounds = []
+    attached = line_dedup.attached
+    monkeypatch.setattr(line_dedup, "attached", lambda *a, **b: bounds.append(b.get("limit")) or attached(*a, **b))
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    got = line_dedup.deduplicate_lines(table(spark, rows)).collect()
+    assert {r.doc_id: r.text for r in got} == brute(rows) and bounds.count(0) >= 3
+
+
+def test_lines_are_split_twice(spark, monkeypatch):
+    """Once for their bands, which hold their place too, and once for the texts that are compared."""
+    names, real = [], line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: names.append((name, df.count() if name == "line-bands" else 0)) or real(df, name))
+    short, middle, long = "a line", "ab " * 50, "ab " * 90
+    docs = table(spark, [(1, f"{short}\n{middle}\n{long}"), (2, f"{short}\n\n{long}")])
+    kept = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.deduplicate_lines(docs).collect()}
+    assert "lines" not in dict(names) and dict(names)["line-bands"] == 6 and kept == {1: (3, 1), 2: (2, 2)}
