@@ -45,7 +45,11 @@ BROADCAST_LINES = 250_000
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\r\f\v")))
+    return F.lower(trimmed(line))
+
+
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\f\v"))
 
 
 def shingles(line: Column) -> Column:
@@ -72,9 +76,11 @@ def marks(line: Column) -> Column:
         return F.flatten(F.transform(words, lambda word, i: F.when(
             F.length(word) > 2 * SHINGLE, shingles(word)).otherwise(F.array(F.xxhash64(word, F.get(words, i + 1))))))
 
-    words = F.array(F.split(line, " "))
-    long = line.rlike(f"[^ ]{{{2 * SHINGLE + 1}}}")
-    return F.array_distinct(F.flatten(F.when(long, F.transform(words, cut)).otherwise(F.transform(words, each))))
+    def hashes(words: Column) -> Column:
+        long = F.exists(words, lambda word: F.length(word) > 2 * SHINGLE)
+        return F.when(long, cut(words)).otherwise(each(words))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(F.split(line, " ")), hashes)))
 
 
 def band_keys(lines: DataFrame, line: str) -> DataFrame:
@@ -107,7 +113,7 @@ def lines_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """doc_id, place and line of every line that is not blank."""
     return (docs.where(F.col(id_column).isNotNull())
             .select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("place", "line"))
-            .withColumn("line", normal(F.col("line"))).where("line != ''"))
+            .where(trimmed(F.col("line")) != "").withColumn("line", normal(F.col("line"))))
 
 
 def likely(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
@@ -322,7 +328,7 @@ def deduplicate_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     removed = stored(removed, "removed")
     discard(tied, banded, repeated)
     kept = F.array_join(F.filter(every, lambda line, i: ~F.array_contains("gone", i)), "\n")
-    filled = F.size(F.filter(every, lambda line: normal(line) != ""))
+    filled = F.size(F.filter(every, lambda line: trimmed(line) != ""))
     return source.join(removed.hint("merge"), "doc_id", "left").select(
         "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(filled).cast("long").alias("n_lines"),
