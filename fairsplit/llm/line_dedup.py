@@ -6,8 +6,9 @@ row, which are about as long as a shingle, and all shingles of a word that is lo
 than two shingles; a short line has all its shingles there. One hash per mark is enough for all bands: the sorted hashes lie on
 a circle, and a band is the ``ROWS`` next ones after one of ``BANDS`` fixed points,
 which is the minimum under a shifted order, then the second, and so on. Lines that
-share a band are tied to the smallest and the largest line of that band, each tie is
-confirmed by the exact Jaccard similarity of the shingle sets. Of a band of up to
+share a band are tied to the smallest line of that band, each tie is confirmed by the
+exact Jaccard similarity of the shingle sets, unless bitmaps of the two sets show that
+they differ too much, which rules out most ties for less. Of a band of up to
 ``REGION`` lines that is not one component by then all other pairs are compared. Lines
 of a larger one are put in order by their further bands and tied to their
 neighbours; what is still apart is joined exactly by its rarest shingles, of which a
@@ -21,6 +22,8 @@ are numbered by a 64-bit hash of their text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ from ..plans.storage import discard
 from .common import BROADCAST_ROWS, attached, stored
 from .components import components
 
+BLANKS = " \t\r\f\v"
 SHINGLE = 12
 BANDS, ROWS = 12, 3
 PERCENT = 80
@@ -37,6 +41,8 @@ REGION = 12
 FINE, COARSE = 160, 128
 #: Neighbours in an order are compared up to this distance, and if so many of their bands are equal.
 NEAR, EQUAL_BANDS = 4, 4
+#: 64-bit words of a line's bitmap, which rules out most ties before their shingles are compared.
+WORDS = 32
 #: The band points, in order.
 _POINTS = [(j << 64) // BANDS - (1 << 63) for j in range(BANDS)]
 _KEYS = [f"k{i}" for i in range(BANDS)]
@@ -49,7 +55,9 @@ def normal(line: Column) -> Column:
 
 
 def trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r\f\v"))
+    """``line`` without blanks at its ends; few lines have any, and trimming looks at every character."""
+    ends = reduce(Column.__or__, [at(line, F.lit(blank)) for blank in BLANKS for at in (F.startswith, F.endswith)])
+    return F.when(ends, F.btrim(line, F.lit(BLANKS))).otherwise(line)
 
 
 def shingles(line: Column) -> Column:
@@ -77,7 +85,8 @@ def marks(line: Column) -> Column:
             F.length(word) > 2 * SHINGLE, shingles(word)).otherwise(F.array(F.xxhash64(word, F.get(words, i + 1))))))
 
     def hashes(words: Column) -> Column:
-        long = F.exists(words, lambda word: F.length(word) > 2 * SHINGLE)
+        # Bytes are at hand, characters have to be counted.
+        long = F.exists(words, lambda word: (F.octet_length(word) > 2 * SHINGLE) & (F.length(word) > 2 * SHINGLE))
         return F.when(long, cut(words)).otherwise(each(words))
 
     return F.array_distinct(F.flatten(F.transform(F.array(F.split(line, " ")), hashes)))
@@ -143,23 +152,66 @@ def line_texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(likely(texts, nodes, "node").groupBy("node").agg(F.min("line").alias("line")), "texts")
 
 
+def line_bitmaps(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node``, ``most`` (shingles, repeated ones included) and ``bits`` of the ``nodes``, stored.
+
+    Each shingle sets one of ``64 * WORDS`` places by its hash. A row per shingle keeps this in generated code.
+    """
+    some = attached(texts, nodes, "node", limit=BROADCAST_LINES).repartition("node")
+    code = some.select("node", F.encode("line", "UTF-32").alias("code"))
+    width = 4 * SHINGLE
+    last = F.greatest(F.lit(1), F.octet_length("code") - F.lit(width - 1))
+    each = code.select("node", "code", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("at"))
+    hashed = each.select("node", F.xxhash64(F.substr("code", F.col("at"), F.lit(width))).alias("hash"))
+    bit = "shiftleft(1L, cast(hash & 63L as int))"
+    # Four words to a row, as a column each: few groups for the shingles, and few rows for the aggregate of many columns.
+    fours = hashed.groupBy("node", F.expr(f"pmod(shiftright(hash, 8), {WORDS // 4}L)").alias("four")).agg(
+        *(F.bit_or(F.expr(f"if((shiftright(hash, 6) & 3L) = {k}L, {bit}, 0L)")).alias(f"w{k}") for k in range(4)),
+        F.count("*").alias("n"))
+    whole = [F.coalesce(F.max(F.when(F.col("four") == i, F.col(f"w{k}"))), F.lit(0)) for i in range(WORDS // 4) for k in range(4)]
+    return stored(fours.groupBy("node").agg(F.sum("n").alias("most"), F.array(*whole).alias("bits")), "bitmaps")
+
+
+def with_ends(ties: DataFrame, rows: DataFrame) -> DataFrame:
+    """The stored ``ties`` with the other columns of ``rows`` (by ``node``) for their ends, as structs ``x`` and ``y``."""
+    ends = [rows.select(F.col("node").alias(end), F.struct(*(c for c in rows.columns if c != "node")).alias(side))
+            for end, side in (("a", "x"), ("b", "y"))]
+    if ties.count() > BROADCAST_LINES:
+        return ties.join(ends[0], "a").join(ends[1], "b")
+    # Few ties go to the rows, so only the rows of their ends are shuffled, and those of one line are spread.
+    first, second = (end.join(F.broadcast(ties), name) for end, name in zip(ends, ("a", "b")))
+    return first.join(second.hint("merge"), ["a", "b"])
+
+
+def possible_ties(bitmaps: DataFrame, ties: DataFrame, percent: int) -> DataFrame:
+    """The ties less those that cannot reach ``percent``, stored.
+
+    A place that only one of two bitmaps has is a shingle that only this line has, so at least as many shingles
+    differ. Of n shingles in both sets together, d of which differ, (n - d) / (n + d) is the similarity.
+    """
+    # Functions of arrays, as the words one by one make more code than the JVM compiles.
+    words = F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    differ = F.aggregate(words, F.lit(0), lambda total, n: total + n)
+    able = (100 + percent) * differ <= (100 - percent) * (F.col("x.most") + F.col("y.most"))
+    return stored(with_ends(ties, bitmaps).where(able).select("a", "b"), "possible")
+
+
 def confirmed_ties(texts: DataFrame, ties: DataFrame, percent: int) -> DataFrame:
     """The ties whose lines, of ``texts`` (node, line), share at least ``percent`` of the union of their shingles."""
     # Stored with its result: a filter here would be pushed down and take the shingles several times.
-    judged = (ties.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
-              .join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-              .select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
+    judged = (with_ends(ties, texts)
+              .select("a", "b", shingles(F.col("x.line")).alias("x"), shingles(F.col("y.line")).alias("y"))
               .withColumn("n", F.size(F.array_intersect("x", "y")))
               .select("a", "b", (100 * F.col("n") >= percent * (F.size("x") + F.size("y") - F.col("n"))).alias("alike")))
     return stored(judged, "confirmed").where("alike").select("a", "b")
 
 
 def pairs_of_bands(rows: DataFrame) -> DataFrame:
-    """Pairs of lines of different components in each band, less those of a band's two ends, which were compared.
+    """Pairs of lines of different components in each band, less those of its smallest line, which were compared.
 
-    ``rows`` has ``node``, ``c`` (component), ``key`` and the ends ``low`` and ``high``, for bands of at most ``REGION`` lines.
+    ``rows`` has ``node``, ``c`` (component), ``key`` and the smallest line ``low``, for bands of at most ``REGION`` lines.
     """
-    inner = rows.where("node != low AND node != high").groupBy("key").agg(F.collect_list(F.struct("node", "c")).alias("all"))
+    inner = rows.where("node != low").groupBy("key").agg(F.collect_list(F.struct("node", "c")).alias("all"))
     one = inner.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
     return one.where("x.node < y.node AND x.c != y.c").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
@@ -256,46 +308,48 @@ def similar_lines(lines: DataFrame, percent: int = PERCENT, banded: DataFrame |
     members = stored(attached(found, ends, "key", limit=BROADCAST_LINES), "members")
     discard(shared, found, ends)
     # The only lines that are compared from here on; their texts are looked up once.
-    texts = line_texts(lines, stored(members.select("node").distinct(), "ends"))
-    ties = members.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
-    ties = stored(ties.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                  .distinct(), "ties")
-    links = confirmed_ties(texts, ties, percent)
+    compared = stored(members.select("node").distinct(), "ends")
+    texts = line_texts(lines, compared)
+    bitmaps = line_bitmaps(texts, compared)
+    ties = stored(members.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "ties")
+    possible = possible_ties(bitmaps, ties, percent)
+    links = confirmed_ties(texts, possible, percent)
     tied = components(links)
-    discard(ties, links)
-    # The pairs of a band with its two ends are all pairs of three lines; of more, others were not compared.
-    for step in ("small", "near", "exact"):
-        crowd = _crowded(members.where(F.col("n").between(4, REGION) if step == "small" else F.col("n") > REGION), tied)
+    discard(ties, possible, links, compared)
+    # Of a band of two lines that is the only pair; of more, others were not compared.
+    for step in ("near", "exact"):
+        crowd = _crowded(members.where(F.col("n") > (2 if step == "near" else REGION)), tied)
         if crowd is None:
             continue
-        if step == "small":
-            ties = stored(pairs_of_bands(crowd), "band-pairs")
-        elif step == "near":
-            keyed = attached(nodes, stored(crowd.select("node", "c").distinct(), "crowded-lines"), "node", limit=BROADCAST_LINES)
+        if step == "near":
+            large = crowd.where(F.col("n") > REGION)
+            keyed = attached(nodes, stored(large.select("node", "c").distinct(), "crowded-lines"), "node", limit=BROADCAST_LINES)
             keyed = keyed.select("node", "c", *_KEYS).distinct()
-            ties = stored(neighbours(keyed.select("node", "c", F.array(*_KEYS).alias("keys"))), "neighbours")
+            ties = stored(pairs_of_bands(crowd.where(F.col("n") <= REGION)).unionAll(
+                neighbours(keyed.select("node", "c", F.array(*_KEYS).alias("keys")))), "near-pairs")
         else:
             ties = rarest_pairs(texts.select("line"), stored(crowd.select("node", "c").distinct(), "crowded-lines"), percent)
-        links = confirmed_ties(texts, ties, percent)
+        possible = possible_ties(bitmaps, ties, percent)
+        links = confirmed_ties(texts, possible, percent)
         stars = tied.select(F.col("component").alias("a"), F.col("node").alias("b"))
         wider = components(stars.unionAll(links))
-        discard(crowd, ties, links, tied)
+        discard(crowd, ties, possible, links, tied)
         tied = wider
-    discard(members, texts)
+    discard(members, texts, bitmaps)
     if banded is None:
         discard(nodes)
     return tied
 
 
 def _crowded(members: DataFrame, tied: DataFrame) -> DataFrame | None:
-    """The rows of ``members`` (node, key, low, high) of bands that are not one component, with their component ``c``."""
-    apart = attached(members, tied, "node", "left", limit=BROADCAST_LINES).select("node", "key", "low", "high", F.coalesce("component", "node").alias("c"))
+    """The rows of ``members`` (node, key, n, low) of bands that are not one component, with their component ``c``."""
+    apart = attached(members, tied, "node", "left", limit=BROADCAST_LINES).select("node", "key", "n", "low", F.coalesce("component", "node").alias("c"))
     open_ = stored(apart.groupBy("key").agg(F.min("c").alias("first"), F.max("c").alias("last"))
                    .where("first != last").select("key"), "open-bands")
     if open_.isEmpty():
         discard(open_)
         return None
-    crowd = stored(attached(apart, open_, "key", limit=BROADCAST_LINES).select("node", "key", "low", "high", "c"), "crowded-bands")
+    crowd = stored(attached(apart, open_, "key", limit=BROADCAST_LINES).select("node", "key", "n", "low", "c"), "crowded-bands")
     discard(open_)
     return crowd
 

@@ -191,3 +191,41 @@ def test_lines_are_split_twice(spark, monkeypatch):
     docs = table(spark, [(1, f"{short}\n{middle}\n{long}"), (2, f"{short}\n\n{long}")])
     kept = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.deduplicate_lines(docs).collect()}
     assert "lines" not in dict(names) and dict(names)["line-bands"] == 6 and kept == {1: (3, 1), 2: (2, 2)}
+
+
+def test_few_ties_are_compared_by_their_shingles(spark, monkeypatch):
+    """Of lines with a common start, bitmaps rule out the pairs far below the threshold, and none at it or above."""
+    draw = random.Random(5)
+    start = prose(draw, 40)
+    rows = [(i, f"{start} {prose(draw, 30)}") for i in range(20)]
+    rows += [(20 + i, text + " and more") for i, (_, text) in enumerate(rows[:5])]
+    compared, real = [], line_dedup.confirmed_ties
+    monkeypatch.setattr(line_dedup, "confirmed_ties", lambda texts, ties, percent: compared.append(ties.count()) or real(texts, ties, percent))
+    got = line_dedup.deduplicate_lines(table(spark, rows)).collect()
+    assert {r.doc_id: r.text for r in got} == brute(rows) and 0 < sum(compared) <= 20
+
+
+def test_bitmaps_keep_every_pair_at_the_threshold(spark, monkeypatch):
+    """Lines with ever more other words, some of repeated words and some of other letters: the bound never exceeds what differs."""
+    draw = random.Random(7)
+    base, lines = prose(draw, 60).lower().split(" "), ["ab " * 60 + "cd", "ab " * 70 + "cd", "é" * 40, "é" * 41 + "x", "tiny", "tony"]
+    for n in range(30):
+        lines.append(" ".join(prose(draw, 1).lower() if i < n else word for i, word in enumerate(base)))
+    sets = [{x[k:k + line_dedup.SHINGLE] for k in range(max(1, len(x) - line_dedup.SHINGLE + 1))} for x in lines]
+    alike = {(i, j) for j in range(len(lines)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    texts = line_dedup.stored(spark.createDataFrame(list(enumerate(lines)), "node long, line string"), "some")
+    ids = texts.select("node")
+    ties = line_dedup.stored(ids.crossJoin(ids.select(F.col("node").alias("b"))).where("node < b").withColumnRenamed("node", "a"), "all")
+    bitmaps = line_dedup.line_bitmaps(texts, ids)
+    for bound in (line_dedup.BROADCAST_LINES, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", bound)
+        found = {(r.a, r.b) for r in line_dedup.possible_ties(bitmaps, ties, 80).collect()}
+        assert alike <= found and len(found) < ties.count() / 2
+    assert {(r.a, r.b) for r in line_dedup.confirmed_ties(texts, ties, 80).collect()} == alike
+
+
+def test_lines_are_trimmed_where_they_have_blanks(spark):
+    blanks = [" ", "\t", "\r", "\f", "\v", ""]
+    texts = [a + b + core + b + a for a in blanks for b in blanks for core in ("", "x", "a b", "é\tz")] + [" x "]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", line_dedup.trimmed(F.col("t")).alias("u")).collect()
+    assert all(r.u == r.t.strip(" \t\r\f\v") for r in got)
