@@ -157,8 +157,7 @@ def line_bitmaps(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Each shingle sets one of ``64 * WORDS`` places by its hash. A row per shingle keeps this in generated code.
     """
-    some = attached(texts, nodes, "node", limit=BROADCAST_LINES).repartition("node")
-    code = some.select("node", F.encode("line", "UTF-32").alias("code"))
+    code = texts.join(nodes.hint("merge"), "node").select("node", F.encode("line", "UTF-32").alias("code"))
     width = 4 * SHINGLE
     last = F.greatest(F.lit(1), F.octet_length("code") - F.lit(width - 1))
     each = code.select("node", "code", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("at"))
@@ -173,14 +172,10 @@ def line_bitmaps(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def with_ends(ties: DataFrame, rows: DataFrame) -> DataFrame:
-    """The stored ``ties`` with the other columns of ``rows`` (by ``node``) for their ends, as structs ``x`` and ``y``."""
-    ends = [rows.select(F.col("node").alias(end), F.struct(*(c for c in rows.columns if c != "node")).alias(side))
-            for end, side in (("a", "x"), ("b", "y"))]
-    if ties.count() > BROADCAST_LINES:
-        return ties.join(ends[0], "a").join(ends[1], "b")
-    # Few ties go to the rows, so only the rows of their ends are shuffled, and those of one line are spread.
-    first, second = (end.join(F.broadcast(ties), name) for end, name in zip(ends, ("a", "b")))
-    return first.join(second.hint("merge"), ["a", "b"])
+    """The ``ties`` with the other columns of ``rows`` (by ``node``) for their ends, as structs ``x`` and ``y``; nothing is broadcast."""
+    for end, side in (("a", "x"), ("b", "y")):
+        ties = ties.join(rows.select(F.col("node").alias(end), F.struct(*(c for c in rows.columns if c != "node")).alias(side)).hint("merge"), end)
+    return ties
 
 
 def possible_ties(bitmaps: DataFrame, ties: DataFrame, percent: int) -> DataFrame:
@@ -254,12 +249,12 @@ def rarest_pairs(lines: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
                   .agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("often"))
                   .where("low != high").select("shingle", "often"), "often")
     n = F.col("n")
-    met = (attached(sets.select("node", "n", F.explode("all").alias("shingle")), live.select("shingle"), "shingle")
+    met = (attached(sets.select("node", "n", F.explode("all").alias("shingle")), live.select("shingle"), "shingle", limit=BROADCAST_LINES)
            .groupBy("node", "n").agg(F.count("*").alias("shared")))
     able = stored(met.where(100 * F.col("shared") >= percent * n).select("node", (n - F.col("shared")).alias("alone")), "able")
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) + F.col("alone") - 1
     each = attached(sets, able, "node").select("node", "c", "n", "alone", F.explode("all").alias("shingle"))
-    ranked = (attached(each, live, "shingle").withColumn("place", place)
+    ranked = (attached(each, live, "shingle", limit=BROADCAST_LINES).withColumn("place", place)
               .where(F.col("place") <= n - F.ceil(percent * n / 100))
               .withColumn("small", F.col("place") <= n - F.ceil(2 * percent * n / (100 + percent))))
     ranked = stored(ranked.select("shingle", "node", "c", "n", "place", "small"), "rarest")
