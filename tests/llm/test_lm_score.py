@@ -80,3 +80,62 @@ def test_rows_are_sorted_as_two_byte_numbers(monkeypatch):
     np.add.at(gradient, rows.ravel(), np.repeat(slope, 5, axis=0))
     assert np.allclose(seen, gradient ** 2) and np.allclose(table, -lm_score.RATE * gradient / (1 + np.abs(gradient)))
     assert kinds == [np.uint16]
+
+
+def test_words_beyond_the_most_frequent_are_learned(spark):
+    """Two thousand words that occur equally often, each always followed by the same one."""
+    draw = random.Random(5)
+    names = [f"w{i}x" for i in range(2000)]
+    starts = [draw.randrange(2000) for _ in range(2500)]
+    texts = [" ".join(names[(s + k) % 2000] for k in range(60)) for s in starts]
+    row = (lm_score.score(table(spark, texts).coalesce(1), lm_score.held_out()).where("held_out")
+           .agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("b"), F.sum("score").alias("s")).first())
+    assert row.b / row.n < -3 and row.s / row.n > -2
+
+
+def test_paths_of_all_words_add_up_to_one(spark):
+    """Words with a path, the groups of all others, and within a group its words and one unseen word."""
+    draw = random.Random(7)
+    texts = [" ".join(f"w{int(draw.paretovariate(0.7)) % 1000} r{draw.randrange(40_000)}" for _ in range(50))
+             for _ in range(600)]
+    counts = Counter(t for x in texts for t in tokens(x))
+    hashes, n, others = lm_score.vocabulary(lm_score.word_counts(table(spark, texts)))
+    assert len(counts) > len(hashes) > 255 and n.sum() + others.sum() == sum(counts.values())
+    assert len(others) >= len(counts) / 16
+    model = lm_score.start_model(hashes, n, others)
+    ranks = np.arange(len(n) + len(others))
+    assert sorted([*model.ranks, *model.groups]) == ranks.tolist()
+    shares = np.exp(log_of_paths(model, ranks))
+    expected = (np.concatenate([n, others]) + 0.5) / (n.sum() + others.sum() + len(ranks) / 2)
+    assert shares[np.concatenate([model.ranks, model.groups])] == pytest.approx(expected, rel=1e-3)
+    weights = np.random.default_rng(3)
+    model.of_step = weights.normal(size=(1 << 10, 16)).astype(np.float32)
+    model.of_class = weights.normal(size=model.of_class.shape).astype(np.float32)
+    assert np.exp(log_of_paths(model, ranks)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def log_of_paths(model, ranks):
+    """Of every path after the same two words."""
+    model.of_step = np.zeros((1 << 10, 16), np.float32) if model.of_step is None else model.of_step
+    texts = np.column_stack([np.zeros(len(ranks), np.int64), np.ones(len(ranks), np.int64), ranks]).ravel()
+    words = np.where(np.arange(len(texts)) % 3 == 2, 0, texts + 1).astype(np.uint64) << np.uint64(32)
+    return lm_score.path_log_probabilities(model, texts, words, np.full(len(ranks), 3))[2::3]
+
+
+def test_frequent_words_have_short_paths():
+    counts = np.sort((1e7 / np.arange(1, 100_001) ** 1.1).astype(np.int64))[::-1]
+    tree, base = lm_score.tree_of(counts)
+    ranks = np.arange(len(counts))
+    depth = tree.depth(ranks)
+    assert (np.diff(depth) >= 0).all() and tree.symbol(ranks).max() < lm_score.SYMBOLS
+    begins, nodes, children = tree.steps(ranks)
+    paths = {(s, *zip(nodes[a:b].tolist(), children[a:b].tolist()))
+             for s, a, b in zip(tree.symbol(ranks).tolist(), begins[:-1].tolist(), begins[1:].tolist())}
+    assert len(paths) == len(counts) and nodes.max() < len(base)
+    assert np.average(depth, weights=counts) < 1.4
+
+
+def test_exponentials_of_large_weights():
+    z = np.array([[500, 499] + [0] * 14, [-500] * 16], np.float32)
+    assert lm_score._softmax(z.copy()).sum(axis=1) == pytest.approx([1, 1])
+    assert lm_score._log_softmax(z.copy(), np.array([1, 3])) == pytest.approx([-1 - math.log1p(math.exp(-1)), -math.log(16)])
